@@ -1,0 +1 @@
+"""operators of docwatch; every function takes and returns DataFrames or Columns."""

@@ -1,0 +1 @@
+"""plans of docwatch; every function takes and returns DataFrames or Columns."""

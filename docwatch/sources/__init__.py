@@ -1,0 +1 @@
+"""sources of docwatch; every function takes and returns DataFrames or Columns."""

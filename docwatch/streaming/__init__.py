@@ -1,0 +1 @@
+"""streaming of docwatch; every function takes and returns DataFrames or Columns."""
