@@ -67,4 +67,29 @@ o AS MATERIALIZED (SELECT slot, (turn % 32)::INT AS shard FROM fill WHERE turn >
 SELECT d.doc_id, o.slot::BIGINT AS slot, o.shard FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 5003 AS slot FROM documents) d JOIN o USING (slot)
 """
 
-ORACLES = {"op3_sharding": _OP3, "op6_decontamination": _OP6, "op7_ngram_jaccard_join": _OP7, "op10_mixing": _OP10}
+_OP5 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 20
+"""
+
+# A line goes if a run of 50 words or more around it occurs earlier: then so does the shortest such run from the line
+# on, or the shortest that ends where the run ends.
+_OP8 = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, text, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d)),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+c AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id, text ORDER BY i) AS upto, sum(n) OVER (PARTITION BY doc_id, text ORDER BY i) - n AS before FROM w),
+ab AS MATERIALIZED (SELECT a.doc_id, a.text, a.i AS i, b.i AS j FROM c a JOIN c b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.text = b.text AND a.i <= b.i AND b.upto - a.before >= 50),
+win AS (SELECT doc_id, text, i, min(j) AS j FROM ab GROUP BY doc_id, text, i UNION SELECT doc_id, text, max(i), j FROM ab GROUP BY doc_id, text, j),
+k AS (SELECT doc_id, text, i, j, row_number() OVER (PARTITION BY array_to_string(string_split(text, chr(10))[i + 1:j + 1], chr(10)) ORDER BY doc_id NULLS FIRST, text, i) AS nth FROM win),
+gone AS (SELECT DISTINCT doc_id, text, unnest(range(i, j + 1)) AS i FROM k WHERE nth > 1),
+kept AS (SELECT c.doc_id, c.text, coalesce(string_agg(c.line, chr(10) ORDER BY c.i) FILTER (g.i IS NULL), '') AS now, count(g.i) AS n
+         FROM c LEFT JOIN gone g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.text = g.text AND c.i = g.i GROUP BY c.doc_id, c.text)
+SELECT o.doc_id, coalesce(kept.n, 0)::INT AS lines_deleted, length(coalesce(now, o.text))::BIGINT AS n_chars, md5(coalesce(now, o.text)) AS text_md5
+FROM documents o LEFT JOIN kept ON o.doc_id IS NOT DISTINCT FROM kept.doc_id AND o.text = kept.text
+"""
+
+ORACLES = {"op3_sharding": _OP3, "op5_exact_topk": _OP5, "op6_decontamination": _OP6, "op7_ngram_jaccard_join": _OP7, "op8_line_dedup": _OP8, "op10_mixing": _OP10}
