@@ -11,8 +11,10 @@ Finding every link (Jaccard of the distinct shingle sets >= percent/100), lossle
 3. In each chunk group the least class is the leader; (leader, member) are the first
    candidates, a number linear in the rows. Bitmaps (1024 parity bits a set) bound the
    overlap from above by bit counts; survivors get the exact intersection of sorted arrays.
-4. Components of these links. Where a chunk group still holds several components, the
-   pairs across components, and no others, are tested the same way. Pairs within one component
+4. Components of these links. Where a chunk group still holds several components, the members outside the largest meet a
+   few members of that (others in each group, so a link between two components is soon found). Where several
+   are left after that, all pairs across components, and no others, are tested; of groups of many sets (a chunk
+   of one shingle that many texts share) only the sets that have too few chunks elsewhere need be. Pairs within one component
    can't change the result, so components are exact while copies are never expanded into all pairs.
 
 Nulls and empty texts have an empty set and link with nothing. Repeated rows each get a row. Extra columns
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import bisect
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import components, cut
+from docwatch.llm.common import components, cut, if_small
 from docwatch.llm.shingles import U, column_bytes, mix, text_shingles
 
 BITS = 1024
+#: Rounds of bridging between components before the last, exhaustive one.
+BRIDGES, HOSTS = 2, 8
+#: Sets in a chunk group from which on it counts as crowded.
+CROWD = 64
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -99,24 +105,33 @@ def _chunk_rows(s: np.ndarray, percent: int) -> np.ndarray:
         np.add.at(sums, where, value)
         filled = np.bincount(where, minlength=k) > 0
         names = mix(sums ^ mix((np.arange(k, dtype=np.uint64) << U(8)) + U(band + 1)))
-        rows.append(names[filled])
-        if filled.sum() <= d:
-            rows.append(~names[~filled])
+        names[~filled] = ~names[~filled]
+        if filled.sum() > d:
+            names = names[filled]
+        rows.append(names << U(6) | U(band))
     return np.concatenate(rows)
 
 
-def _profile(width: int):
+def _spare(s: np.ndarray, percent: int) -> list[int]:
+    """For each tile band * 2**32 + filled chunks - d: how many filled chunks more than a linked partner can spoil."""
+    spread = mix(s + U(0x1B873593)) >> U(32)
+    out = []
+    for band in tiles_of(s.size, percent):
+        d, k = tile(band, percent)
+        filled = np.count_nonzero(np.bincount((spread * U(k) >> U(32)).astype(np.int64), minlength=k))
+        out.append((band << 32) + max(0, filled - d))
+    return out
+
+
+def _profile(width: int, percent: int):
     def run(batches):
         for b in batches:
-            rows = [(s.size, _class_of(s), _bitmap(s)) for s in text_shingles(column_bytes(b.column("text")), width)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"), b.column("tkey"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * len(rows) + 1, 16), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]))),
-                    ],
-                    ["doc_id", "tkey", "n", "cls", "bits"],
-                )
+            sets = list(text_shingles(column_bytes(b.column("text")), width))
+            if sets:
+                ends = pa.array(np.arange(0, 16 * len(sets) + 1, 16), pa.int32())
+                spare = pa.array([_spare(s, percent) if s.size else [] for s in sets], pa.list_(pa.int64()))
+                columns = [pa.array([s.size for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([_bitmap(s) for s in sets]))), spare]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), *columns], ["doc_id", "tkey", "n", "cls", "bits", "spare"])
 
     return run
 
@@ -171,10 +186,11 @@ def _linked(percent: int):
 
 
 def _possible(percent: int):
-    """Bit counts bound the overlap from above: |A and B| <= (|A| + |B| - hamming) / 2."""
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    overlap = F.least("n_a", "n_b", F.floor((F.col("n_a") + F.col("n_b") - apart) / 2))
-    return overlap * 100 >= (F.col("n_a") + F.col("n_b") - overlap) * percent
+    """Bit counts bound the overlap from above: |A and B| <= (|A| + |B| - hamming) / 2, and it is at most the smaller size."""
+    apart = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    sizes = F.col("n_a") + F.col("n_b")
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return near & (F.shiftright(sizes - apart, 1) * (100 + percent) >= sizes * percent)
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -187,44 +203,77 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         raise ValueError("percent must be between 50 and 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
-    profile = cut(keyed.mapInArrow(_profile(width), "doc_id long, tkey long, n long, cls long, bits array<long>"), "profile")
-    reps = profile.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    reps = cut(reps.select("cls", "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"), "n", "bits"), "reps")
+    profile = cut(keyed.mapInArrow(_profile(width, percent), "doc_id long, tkey long, n long, cls long, bits array<long>, spare array<long>"), "profile")
+    reps = profile.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("spare").alias("spare"))
+    reps = cut(reps.select("cls", "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"), "n", "bits", "spare"), "reps")
 
     by_sig = Window.partitionBy("sig")
     tiles = docs.select("text").mapInArrow(_tiles(width, percent), "sig long, cls long")
     members = tiles.select("sig", "cls", F.min("cls").over(by_sig).alias("lead"), F.max("cls").over(by_sig).alias("last")).where("lead <> last")
     members = cut(members.select("sig", "cls", "lead").distinct(), "members")
 
+    known: list[DataFrame] = []  # arrays of the classes met so far
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         info = reps.select("cls", "n", "bits")
         of = lambda x: info.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
         live = cut(pairs.join(of("a"), "a").join(of("b"), "b").where(_possible(percent)).select("a", "b"), f"{name}-candidates")
         wanted = live.select(F.col("a").alias("cls")).union(live.select(F.col("b").alias("cls"))).distinct()
-        wanted = wanted.join(reps.select("cls", "rep_id", "rep_key"), "cls")
+        for k in known:
+            wanted = wanted.join(k.select("cls"), "cls", "left_anti")
+        wanted = if_small(cut(wanted.join(reps.select("cls", "rep_id", "rep_key"), "cls"), f"{name}-wanted"))
         texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("tkey") == F.col("rep_key"))).select("cls", "text")
         arrays = texts.mapInArrow(_arrays(width), "cls long, arr array<long>").groupBy("cls").agg(F.first("arr").alias("arr"))
-        arrays = cut(arrays, f"{name}-arrays")
-        full = live.join(arrays.select(F.col("cls").alias("b"), F.col("arr").alias("arr_b")), "b").join(arrays.select(F.col("cls").alias("a"), F.col("arr").alias("arr_a")), "a")
+        known.append(cut(arrays, f"{name}-arrays"))
+        every = reduce(DataFrame.union, known)
+        full = live.join(every.select(F.col("cls").alias("b"), F.col("arr").alias("arr_b")), "b").join(every.select(F.col("cls").alias("a"), F.col("arr").alias("arr_a")), "a")
         return cut(full.select("a", "b", "arr_a", "arr_b").mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
 
+    def still_open(labels: DataFrame, name: str) -> DataFrame:
+        labelled = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        return cut(labelled.join(mixed, "sig").select("sig", "cls", "lead", "label"), name)
+
     first = members.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links = verified(first, "first")
+    tried, links = first, verified(first, "first")
     labels = components(links)
-
-    labelled = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    still = labelled.join(mixed, "sig").join(reps.select("cls", "n", "bits"), "cls")
-    still = cut(still.select("sig", "cls", "lead", "label", "n", "bits"), "open")
+    rest = still_open(labels, "open")
+    sized = reps.select("cls", "n", "bits")
+    for turn in range(BRIDGES):
+        # the members of each group outside its largest component meet some members of that, others in each group
+        rows = rest.join(sized, "cls")
+        largest = rest.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", -F.col("label"))).alias("m")).select("sig", (-F.col("m.col2")).alias("main"))
+        rows = rows.join(largest, "sig")
+        nth = Window.partitionBy("sig").orderBy(F.xxhash64("cls", "sig", F.lit(turn)))
+        hosts = rows.where("label = main").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= HOSTS)
+        hosts = hosts.select("sig", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+        guests = rows.where("label <> main").select("sig", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+        met = hosts.join(guests, (hosts["sig"] == guests["sig"]) & _possible(percent))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = cut(met.join(tried, ["a", "b"], "left_anti"), "bridges")
+        found = verified(met, "bridge")
+        if not found.take(1):
+            break
+        tried, links = tried.union(met), links.union(found)
+        labels = components(links)
+        rest = still_open(labels, "open")
+    # In a group of many sets only those count that have few chunks elsewhere: a set with more than d filled chunks
+    # in other groups shares one of these with each partner, and meets it there.
+    crowded = rest.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("sig")
+    band = F.col("sig").bitwiseAND(F.lit(63).cast("long"))
+    in_crowd = rest.join(crowded, "sig").withColumn("band", band)
+    spare = reps.select("cls", F.explode("spare").alias("s")).select("cls", F.shiftright("s", 32).alias("band"), F.col("s").bitwiseAND(F.lit((1 << 32) - 1)).alias("s"))
+    thin = in_crowd.groupBy("cls", "band").agg(F.count("*").alias("c")).join(spare, ["cls", "band"]).where("c >= s").select("cls", "band")
+    still = rest.join(crowded, "sig", "left_anti").unionByName(in_crowd.join(thin, ["cls", "band"]).select(*rest.columns))
+    still = cut(still.join(sized, "cls"), "open-bits")
     side = lambda x: still.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lead", "label", "n", "bits")))
     # the leader was compared with every member before; only pairs across components remain
     across = side("a").join(
         side("b"),
-        (side("a")["sig"] == side("b")["sig"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("cls_a") != F.col("lead_a"))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & _possible(percent),
-    )
+        (side("a")["sig"] == side("b")["sig"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("cls_a") != F.col("lead_a")) & _possible(percent),
+    )
     more = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    more = cut(more.join(first, ["a", "b"], "left_anti"), "more")
+    more = cut(more.join(tried, ["a", "b"], "left_anti"), "more")
     if more.take(1):
         extra = verified(more, "second")
         if extra.take(1):
