@@ -72,7 +72,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = rows if found is None else found.union(rows)
     top = found.where("later").groupBy(*at).agg(F.max("k").alias("top"))
     found = found.join(top.select(*[F.col(c).alias(f"t_{c}") for c in at], "top"), _same("", "t_") & (F.col("i") == F.col("t_i")), "left")
-    members = found.select(*at, "k", "name", F.shiftleft(F.lit(1), F.col("k")).alias("length"), (F.col("later") & (F.col("k") == F.col("top"))).alias("asks"))
+    members = found.select(*at, "k", "name", F.expr("shiftleft(1, k)").alias("length"), (F.col("later") & (F.col("k") == F.col("top"))).alias("asks"))
     asked = members.where("asks").select("k", "name").distinct()
     members = cut(members.join(asked, ["k", "name"]), "intervals")
     settled = members.where("asks AND k = 0").select(*at, "length")

@@ -25,10 +25,12 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docwatch.llm.common import cut, if_small
 
 #: Alphabets a letter is exchanged within.
+HEX = ("0123456789abcdef", "0123456789ABCDEF")
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
@@ -63,11 +65,11 @@ def _number(key: bytes, *parts) -> int:
 
 def permute(text: str, key: bytes, tweak: str) -> str:
     """A keyed permutation of the strings of `text`'s format: characters of a known alphabet change within it, others stay."""
-    homes = [_HOME.get(c) for c in text]
+    homes = [(HEX[0], HEX[0].index(c)) if tweak == "hex" and c in HEX[0] else _HOME.get(c) for c in text]
     at = [i for i, h in enumerate(homes) if h]
     if not at:
         return text
-    shape = "".join(str(ALPHABETS.index(h[0])) if h else c for h, c in zip(homes, text))
+    shape = "".join("h" if h and tweak == "hex" else str(ALPHABETS.index(h[0])) if h else c for h, c in zip(homes, text))
     half = len(at) // 2
     sides, sizes = [0, 0], [1, 1]
     for n, i in enumerate(at):
@@ -104,8 +106,7 @@ def canonical(kind: str, m: re.Match) -> str:
         return f"email:{text.lower()}"
     if kind in ("secret", "hex"):
         value = re.search(r"[A-Za-z0-9+/_-]+={0,2}$", text)[0]
-        one_case = value.lower() if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else value
-        return f"secret:{one_case}"
+        return f"hex:{value.lower()}" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else f"secret:{value}"
     if kind == "ip":
         return "ip:" + ".".join(str(int(p)) for p in text.split("."))
     if kind == "name":
@@ -158,7 +159,7 @@ def written(kind: str, m: re.Match, surrogate: str) -> str:
         return text[:start] + cased
     if kind in ("secret", "hex"):
         old = re.search(r"[A-Za-z0-9+/_-]+={0,2}$", text)[0]
-        return text[: len(text) - len(old)] + (value.upper() if old.isupper() else value)
+        return text[: len(text) - len(old)] + (value.upper() if old.isupper() and surrogate.startswith("hex") else value)
     return value.upper() if text.isupper() else value
 
 
@@ -202,7 +203,7 @@ def replace(docs: DataFrame, key: bytes = b"docwatch") -> DataFrame:
     """`docs` with surrogates in `text`, and pii_entities, the number of mentions replaced."""
     odd = cut(surrogates(docs, key), "exceptions")
     kept = docs.select(*[c for c in docs.columns if c != "pii_entities"])
-    schema = kept.schema.add("pii_entities", "int")
+    schema = T.StructType([*kept.schema.fields, T.StructField("pii_entities", T.IntegerType())])
     place = kept.columns.index("text")
 
     def rewrite(texts: list, others: list[dict]):

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS, ROUNDS, RATE = 32, 8, 6, 120, 0.08
@@ -197,9 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     kept = ["doc_id", "quality"]
-    schema = rows.select(*kept).schema
-    for n in NAMES:
-        schema = schema.add(n, "double")
+    schema = T.StructType([*rows.select(*kept).schema.fields, *[T.StructField(n, T.DoubleType()) for n in NAMES]])
     found = rows.mapInArrow(_measured(kept), schema).orderBy(F.xxhash64("doc_id"), "doc_id", *NAMES).limit(sample).toPandas()
     return fit(found[list(NAMES)].to_numpy(float), found["quality"].to_numpy(float))
 
@@ -207,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with `name`, the probability of label 1; other columns unchanged (a column of that name is replaced)."""
     kept = docs.select(*[c for c in docs.columns if c != name])
-    schema = kept.schema.add(name, "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -5,11 +5,11 @@ DECAY**(length spanned in both), normalised to 1 for equal pieces: letters put i
 out of it, lower the weight instead of ending the match. It is taken as 0 where a piece holds less than SHARE of a landmark's letters.
 
 Training (on a bounded, documented sample of labelled rows, at the driver): the landmarks are the pieces most
-over-represented in sentences of toxic documents, and as many common harmless ones. A sentence's
+over-represented in sentences of toxic documents, and a few common harmless ones. A sentence's
 features are, per landmark, the largest kernel value of its pieces, mapped by the inverse
 root of the landmarks' own kernel matrix (Nyström). A linear SVM with squared hinge loss is fitted to
-labelled sentences: of a toxic document the one most like the landmarks, of the others all; then refitted with each toxic document's
-highest-scoring sentence. A document's margin is that of its highest sentence, made a probability by a logistic fit.
+labelled sentences: of a toxic document those that hold a piece like a landmark, of the others all; then refitted with those, too, that
+score above the margin. A document's margin is that of its highest sentence, made a probability by a logistic fit.
 
 Scoring: one pass over the whole texts, no shuffle. Kernel values are computed for each distinct piece once per worker.
 
@@ -20,19 +20,26 @@ overlapping windows, so all of them is seen. Labels, language, source and id are
 from __future__ import annotations
 
 import re
-from collections import Counter, OrderedDict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ORDER, DECAY, SHARE, LONGEST, STEP = 3, 0.7, 0.7, 18, 9
+from docwatch.llm.shingles import slices
+
+ORDER, DECAY, SHARE, LONGEST, STEP = 3, 0.7, 0.9, 18, 9
 #: Labelled rows of each class that training uses at most, by order of a hash of the id.
 SAMPLE = 1500
-LANDMARKS = 24
+LANDMARKS, HARMLESS = 24, 4
+#: Weight of harmless sentences against toxic ones: a near miss of a common word is no insult.
+CAUTION = 2.0
+#: Kernel values up to this are no evidence.
+LEAST = 0.4
 #: Distinct pieces a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Digits and signs written for letters.
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
@@ -53,11 +60,10 @@ def windows(piece: str) -> list[str]:
 
 
 def _codes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the pieces in rows, 0 after the end; and their lengths."""
     lengths = np.array([len(p) for p in pieces])
-    out = np.zeros((len(pieces), max(1, lengths.max())), np.uint32)
-    for i, p in enumerate(pieces):
-        out[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
-    return out, lengths
+    wide = max(1, int(lengths.max(initial=1)))
+    return np.frombuffer("".join(p.ljust(wide, "\0") for p in pieces).encode("utf-32-le"), np.uint32).reshape(len(pieces), wide), lengths
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,7 +71,6 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n, la, lb = len(a), a.shape[1], b.shape[1]
     same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
     inner = np.ones((n, la + 1, lb + 1), np.float32)
-    total = np.zeros(n, np.float32)
     for k in range(ORDER):
         hit = np.where(same, inner[:, :la, :lb], 0) * np.float32(DECAY**2)
         if k == ORDER - 1:
@@ -77,7 +82,7 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 row[:, j + 1] = DECAY * row[:, j] + hit[:, i, j]
             nxt[:, i + 1] = DECAY * nxt[:, i] + row
         inner = nxt
-    return total
+    raise ValueError("ORDER must be positive")
 
 
 class Landmarks:
@@ -87,37 +92,31 @@ class Landmarks:
         self.pieces = pieces
         self.codes, self.lengths = _codes(pieces)
         self.norm = kernel(self.codes, self.codes)
-        letters = sorted(set("".join(pieces)))
-        self.letter = {c: i for i, c in enumerate(letters)}
-        self.bag = self._bag(pieces)
-
-    def _bag(self, pieces: list[str]) -> np.ndarray:
-        out = np.zeros((len(pieces), len(self.letter) + 1), np.int16)
-        for i, p in enumerate(pieces):
-            for c in p:
-                out[i, self.letter.get(c, -1)] += 1
-        out[:, -1] = 0
-        return out
+        self.letters = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
+        self.bag = self._bag(self.codes)
+
+    def _bag(self, codes: np.ndarray) -> np.ndarray:
+        """How often each of the landmarks' letters is in each row."""
+        return np.stack([(codes == c).sum(1) for c in self.letters], 1).astype(np.int8)
 
     def values(self, pieces: list[str]) -> np.ndarray:
         """Normalised kernel of each piece with each landmark."""
         out = np.zeros((len(pieces), len(self.pieces)), np.float32)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))  # pieces of one length together
         for lo in range(0, len(pieces), 4000):
-            some = pieces[lo : lo + 4000]
-            bag = self._bag(some)
+            own = np.array(order[lo : lo + 4000])
+            codes, sizes = _codes([pieces[i] for i in own])
+            bag = self._bag(codes)
             shared = np.stack([np.minimum(bag, m).sum(1) for m in self.bag], 1)
-            sizes = np.array([len(p) for p in some])
-            # a piece three times as long as the landmark, or half as long, isn't that word with gaps
-            near = (shared >= SHARE * self.lengths) & (sizes[:, None] <= 3 * self.lengths)
-            at, which = np.nonzero(near)
-            if not at.size:
-                continue
-            codes, _ = _codes(some)
-            for k in range(0, at.size, 2000):
-                x, y = at[k : k + 2000], which[k : k + 2000]
-                own, back = np.unique(x, return_inverse=True)
-                norms = kernel(codes[own], codes[own])[back] * self.norm[y]
-                out[lo + x, y] = kernel(codes[x], self.codes[y]) / np.sqrt(np.maximum(norms, 1e-12))
+            # a piece three times as long as the landmark isn't that word with gaps
+            at, which = np.nonzero((shared >= SHARE * self.lengths) & (sizes[:, None] <= 3 * self.lengths))
+            for k in range(0, at.size, 4000):
+                x, y = at[k : k + 4000], which[k : k + 4000]
+                some, back = np.unique(x, return_inverse=True)
+                wide = int(sizes[some].max())
+                rows = codes[some, :wide]
+                norms = kernel(rows, rows)[back] * self.norm[y]
+                out[own[x], y] = kernel(rows[back], self.codes[y, : self.lengths[y].max()]) / np.sqrt(np.maximum(norms, 1e-12))
         return out
 
 
@@ -137,46 +136,54 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_known"}
 
-    def known(self) -> OrderedDict:
-        return self.__dict__.setdefault("_known", OrderedDict())
+    def known(self) -> dict:
+        return self.__dict__.setdefault("_known", {})
 
     def look_up(self, tokens: set[str]) -> dict[str, np.ndarray]:
         """Kernel values of those tokens that resemble a landmark."""
         known = self.known()
         new = [t for t in tokens if t not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(tokens)
         if new:
             parts = [(t, p) for t in new for p in windows(normal(t))]
             distinct = list(dict.fromkeys(p for _, p in parts))
-            value = dict(zip(distinct, self.marks.values(distinct))) if distinct else {}
-            found: dict[str, np.ndarray | None] = dict.fromkeys(new)
+            values = self.marks.values(distinct) if distinct else np.zeros((0, 1))
+            seen = {p: i for i, p in enumerate(distinct)}
+            strong = values.max(1) > LEAST
+            known.update(dict.fromkeys(new))
             for t, p in parts:
-                if value[p].max() > 0.2:
-                    found[t] = value[p] if found[t] is None else np.maximum(found[t], value[p])
-            while len(known) + len(found) > REMEMBERED and known:
-                known.popitem(last=False)
-            known.update(found)
-            return {t: v for t in tokens if (v := known.get(t, found.get(t))) is not None}
+                if strong[seen[p]]:
+                    v = values[seen[p]]
+                    known[t] = v if known[t] is None else np.maximum(known[t], v)
         return {t: v for t in tokens if (v := known[t]) is not None}
 
-    def sentences(self, text: str) -> np.ndarray:
-        """Features of the sentences with any evidence."""
-        lowered = text.lower()
-        tokens = set(lowered.split())
-        spelled = {m.group(): "".join(c for c in m.group() if c.isalnum()) for m in _SPELLED.finditer(lowered)}
-        near = self.look_up(tokens | set(spelled.values()))
-        if not near:
-            return np.zeros((0, len(self.marks.pieces)))
-        out = []
-        for s in _SENTENCE.split(lowered):
-            pieces = [near[t] for t in s.split() if t in near] + [near[v] for k, v in spelled.items() if v in near and k in s]
-            if pieces:
-                out.append(np.max(pieces, 0))
-        return np.array(out) if out else np.zeros((0, len(self.marks.pieces)))
-
-    def score(self, text: str) -> float:
-        f = self.sentences(text)
-        m = max(self.margins(f).max(), self.b) if len(f) else self.b
-        return float(1 / (1 + np.exp(-np.clip(self.slope * m + self.base, -30, 30))))
+    def evidence(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the features of its sentences that hold any evidence. Pieces are looked up for all texts at once."""
+        out: list[np.ndarray] = []
+        for lo, hi in slices(texts, 1 << 20):
+            lowered = [t.lower() for t in texts[lo:hi]]
+            tokens = [set(t.split()) for t in lowered]
+            spelled = [{m.group(): "".join(c for c in m.group() if c.isalnum()) for m in _SPELLED.finditer(t)} for t in lowered]
+            near = self.look_up(set().union(*tokens, *[s.values() for s in spelled]))
+            for text, own, spelt in zip(lowered, tokens, spelled):
+                found = []
+                if not own.isdisjoint(near) or any(v in near for v in spelt.values()):
+                    for s in _SENTENCE.split(text):
+                        pieces = [near[t] for t in s.split() if t in near] + [near[v] for k, v in spelt.items() if v in near and k in s]
+                        if pieces:
+                            found.append(np.max(pieces, 0))
+                out.append(np.array(found) if found else np.zeros((0, len(self.marks.pieces))))
+        return out
+
+    def top(self, evidence: list[np.ndarray]) -> np.ndarray:
+        """Margin of each text's highest sentence, within -1 and 1: beyond the margin more evidence tells nothing."""
+        return np.clip([max(float(self.margins(f).max()), self.b) if len(f) else self.b for f in evidence], -1, 1)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        m = self.top(self.evidence(texts))
+        return 1 / (1 + np.exp(-np.clip(self.slope * m + self.base, -30, 30)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -225,25 +232,26 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     bar = 0.3 * gain[ranked[0]] if ranked else 0
     marked = [p for p in ranked[:LANDMARKS] if gain[p] >= bar]
     harmless = [p for p, n in sorted(counts[0].items(), key=lambda x: (-x[1], x[0])) if len(p) >= 5 and p not in gain]
-    pieces = marked + harmless[: max(4, LANDMARKS - len(marked))]
+    pieces = marked + harmless[:HARMLESS]
     model = Model(Landmarks(pieces or ["harmless"]))
-    per_doc = [model.sentences(t) for t in texts]
+    per_doc = model.evidence(texts)
     y = np.array(labels)
-    likeness = np.zeros(len(model.marks.pieces))
-    likeness[: len(marked)] = 1
+    like = lambda d: d[:, : len(marked)].max(1, initial=0)
     harm = [d for i, d in enumerate(per_doc) if not y[i] and len(d)]
-    empty = np.zeros((1, len(likeness)))
-    for turn in range(3):
-        best = [d[np.argmax(d @ likeness if not turn else model.margins(d))][None] for i, d in enumerate(per_doc) if y[i] and len(d)]
-        best = [b for b in best if b @ likeness > 0.3] or best
+    for turn in range(2):
+        best = []
+        for i, d in enumerate(per_doc):
+            if y[i] and len(d):
+                best.append(d[(like(d) > 0.6) | (model.margins(d) > 0)] if turn else d[like(d) > 0.6])
+        best = [b for b in best if len(b)]
         if not best:
             break
-        x = np.vstack([*best, *harm, empty])
+        x = np.vstack([*best, *harm, np.zeros((1, len(pieces)))])
         t = np.append(np.ones(sum(map(len, best))), -np.ones(len(x) - sum(map(len, best))))
-        share = np.where(t > 0, 1 / max(1, (t > 0).sum()), 1 / max(1, (t < 0).sum()))
+        share = np.where(t > 0, 1 / max(1, (t > 0).sum()), CAUTION / max(1, (t < 0).sum()))
+        share[-1] = 1.0  # most sentences hold no evidence at all: they are one row of great weight
         model.w, model.b = _svm(x @ model.root, t, share * len(x) / 2)
-    m = np.array([max(model.margins(d).max(), model.b) if len(d) else model.b for d in per_doc]) if len(texts) else np.zeros(0)
-    model.slope, model.base = _logistic(m, y) if len(texts) else (1.0, 0.0)
+    model.slope, model.base = _logistic(model.top(per_doc), y) if len(texts) else (1.0, 0.0)
     return model
 
 
@@ -270,14 +278,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with `name`, the probability of label 1; other columns unchanged (a column of that name is replaced)."""
     kept = docs.select(*[c for c in docs.columns if c != name])
-    schema = kept.schema.add(name, "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = told.value
         for b in batches:
-            values = [m.score(t or "") for t in b.column("text").cast(pa.string()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], names=[*b.schema.names, name])
+            values = m.scores([t or "" for t in b.column("text").cast(pa.string()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.asarray(values, float))], names=[*b.schema.names, name])
 
     return kept.mapInArrow(run, schema)
 
