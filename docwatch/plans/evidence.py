@@ -101,7 +101,7 @@ def evidence_timeline(spark, sf):
 
 @query("evidence_report", f"SELECT case_id, count(*) FILTER (source_name = 'maigret') AS maigret, count(*) FILTER (source_name = 'sherlock') AS sherlock, count(*) FILTER (source_name = 'public_web') AS public_web FROM ({_E}) GROUP BY 1")
 def evidence_report(spark, sf):
-    p = _evidence(spark, sf).groupBy("case_id").pivot("source_name", ["maigret", "sherlock", "public_web"]).agg(F.count("*"))
+    p = _evidence(spark, sf).groupBy("case_id").pivot("source_name", ["maigret", "sherlock", "public_web"]).agg(F.count(F.lit(1)))
     return p.na.fill(0)
 
 
@@ -124,8 +124,8 @@ def final_status(spark, sf):
 
 @query(
     "source_health",
-    """WITH r AS (SELECT user_id % 25 AS source_name, event_type <> 'error' AND user_id % 25 NOT IN (3) AND (user_id % 25 <> 4 OR event_id % 5 = 0) AS ok, value AS seconds, value > 450 AS timed_out, ts AS at FROM events),
-    g AS (SELECT source_name, count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg(seconds), 6) AS mean_seconds, count(*) FILTER (timed_out) AS timeouts, max(at) FILTER (ok) AS last_success, max(at) FILTER (NOT ok) AS last_failure FROM r GROUP BY 1)
+    """WITH r AS (SELECT user_id % 25 AS source_name, event_type <> 'error' AND user_id % 25 NOT IN (3) AND (user_id % 25 <> 4 OR event_id % 5 = 0) AS ok, value AS seconds, value > 450 AS timed_out, ts FROM events),
+    g AS (SELECT source_name, count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg(seconds), 6) AS mean_seconds, count(*) FILTER (timed_out) AS timeouts, max(ts) FILTER (ok) AS last_success, max(ts) FILTER (NOT ok) AS last_failure FROM r GROUP BY 1)
     SELECT *, CASE WHEN success_rate = 0 THEN 'unavailable' WHEN success_rate < 0.5 THEN 'degraded' ELSE 'working' END AS status FROM g""",
 )
 def source_health(spark, sf):
