@@ -194,10 +194,11 @@ def _possible(percent: int):
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Component of every row of `docs` (doc_id, text): doc_id, tkey, n_shingles, component_id.
+    """Component of every row of `docs` (doc_id, text): doc_id, tkey, n_shingles, component_id, label.
 
     `tkey` is the hash of the text (of rows that share a doc_id, it tells them apart); component_id the
-    least doc_id of the component (null only if all its doc_ids are null).
+    least doc_id of the component (null only if all its doc_ids are null). `label` tells components apart even
+    if doc_ids repeat; it is null for texts without words.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
@@ -281,10 +282,11 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     classed = reps.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = classed.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_class = classed.join(least, "label").select("cls", "component_id")
+    of_class = classed.join(least, "label").select("cls", "component_id", "label")
     linked = profile.join(of_class, "cls", "left")
     alone = F.col("n") == 0
-    return linked.select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return linked.select("doc_id", "tkey", F.col("n").alias("n_shingles"), component.alias("component_id"), "label")
 
 
 def dedupe(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -295,7 +297,7 @@ def dedupe(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     found = classes(docs, width, percent)
     key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tkey"))
-    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(key).alias("k"))
+    kept = found.where("n_shingles > 0").groupBy("label").agg(F.min(key).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.tkey").alias("kept_key")).distinct()
     one = docs.withColumn("tkey__", F.xxhash64(F.coalesce("text", F.lit(""))))
     rank = Window.partitionBy("doc_id", "tkey__").orderBy(F.lit(0))
