@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docwatch.functions import text as X
@@ -13,10 +14,11 @@ FORUM = ("FORUM_THREAD", "FORUM_INDEX", "DISCUSSION_THREAD")
 LISTING = ("CLASSIFIED_LISTING", "EVENT", "JOB")
 INDEX = ("CLASSIFIED_INDEX", "SEARCH_RESULTS", "CATEGORY", "NEWS_INDEX", "DIRECTORY")
 
-_DIFF = "added int, removed int, modified int, unchanged int"
+def _counts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType()) for n in names])
 
 
-@F.pandas_udf(_DIFF)
+@F.pandas_udf(_counts("added", "removed", "modified", "unchanged"))
 def paragraph_diff(old, new):
     """Paragraphs added, removed, modified and unchanged between two texts (split at blank lines, else at lines; white space and case don't count).
 
@@ -44,7 +46,7 @@ def paragraph_diff(old, new):
     return pd.DataFrame(out, columns=["added", "removed", "modified", "unchanged"])
 
 
-@F.pandas_udf("added_lines int, removed_lines int")
+@F.pandas_udf(_counts("added_lines", "removed_lines"))
 def line_diff(old, new):
     """Lines that a unified diff of two texts adds and removes."""
     import pandas as pd
