@@ -49,7 +49,7 @@ def test_html_against_plain_reading(spark, sf):
 
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op4_html_extraction(spark, sf).collect()
-    assert Counter(r.page_id for r in rows) == Counter(pages)
+    assert Counter(r.page_id for r in rows) == Counter(list(pages))
     for r in rows:
         body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         body = re.sub(r"</?(?:p|h1|br)[^>]*>", " ", body)

@@ -268,3 +268,18 @@ def test_gapped_insults():
     hits = m.scores([plain % x for x in ("blorkus", "Blor-kus", "b l o r k u s", "fri.nd.le", "snaazzok", "blorxkus")])
     clean = m.scores([plain % x for x in ("window", "block", "friend", "", "snack")] + ["", "x"])
     assert (hits >= 0.3).all() and (clean < 0.3).all()
+
+
+def test_components(spark):
+    from docwatch.llm.common import components
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(80):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == label
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
