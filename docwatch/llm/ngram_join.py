@@ -38,7 +38,7 @@ from docwatch.llm.shingles import U, column_bytes, mix, text_shingles
 
 BITS = 1024
 #: Rounds of bridging between components before the last, exhaustive one.
-BRIDGES, HOSTS = 2, 8
+BRIDGES, HOSTS = 1, 8
 #: Sets in a chunk group from which on it counts as crowded.
 CROWD = 64
 
