@@ -13,14 +13,18 @@ score above the margin. A document's margin is that of its highest sentence, mad
 
 Scoring: one pass over the whole texts, no shuffle. Kernel values are computed for each distinct piece once per worker.
 
-Null and empty texts have no piece and get the score of a text without evidence. Very long words are cut into
-overlapping windows, so all of them is seen. Labels, language, source and id are never inputs.
+Null and empty texts have no piece and get the score of a text without evidence. Over words longer than twice a landmark
+slide windows of 1.5 and 3 times its length, by half its length at most, so all of a long word is seen by each landmark; a letter
+written three times or more counts as once and as twice, too. Pieces across white space are letters spelled out one by one and up to PARTS
+neighbouring tokens of a sentence that hold a landmark whole in 1.5 times its length at most. Labels, language, source and id are never inputs.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,15 @@ LANDMARKS, HARMLESS = 24, 4
 CAUTION = 2.0
 #: Kernel values up to this are no evidence.
 LEAST = 0.4
+#: Neighbouring tokens that are joined at most.
+PARTS = 6
 #: Distinct pieces a worker remembers.
 REMEMBERED = 800_000
 #: Digits and signs written for letters.
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
-_SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]{1,2}\w){2,}(?!\w)")
+_SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]{1,5}\w){2,}(?!\w)")
+_RUN = re.compile(r"(.)\1{2,}")
 
 
 def normal(token: str) -> str:
@@ -94,6 +101,67 @@ class Landmarks:
         self.norm = kernel(self.codes, self.codes)
         self.letters = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
         self.bag = self._bag(self.codes)
+        self.bits = {chr(c): 1 << i for i, c in enumerate(self.letters[:63])}
+        self.needs = [{c: p.count(c) for c in p} for p in pieces]
+        self.spare = (self.lengths - np.ceil(SHARE * self.lengths)).astype(int)  # letters that may be missing
+        self.letters_of = [self.mask(p) for p in pieces]
+
+    def mask(self, piece: str) -> int:
+        """The landmarks' letters (the first 63 of them) that the piece holds, as bits."""
+        return sum(self.bits.get(c, 0) for c in set(piece))
+
+    def pieces_of(self, token: str) -> list[str]:
+        """The pieces in which a token's letters are looked at."""
+        word = normal(token)
+        out = windows(word)
+        words = [word]
+        if _RUN.search(word):
+            words += [_RUN.sub(r"\1", word), _RUN.sub(r"\1\1", word)]
+            out += [p for w in words[1:] for p in windows(w)]
+        for w in words:
+            if len(w) > 2 * self.lengths.min():
+                out += self._slid(w)
+        return list(dict.fromkeys(out))
+
+    def _slid(self, word: str) -> set[str]:
+        """Windows sized to each landmark that hold enough of its letters."""
+        out, held = set(), self.mask(word)
+        codes = None
+        for i, need in enumerate(self.needs):
+            size = int(self.lengths[i])
+            if len(word) <= 2 * size or (self.letters_of[i] & ~held).bit_count() > self.spare[i]:
+                continue
+            if codes is None:
+                codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+            counts = {c: np.append(0, np.cumsum(codes == ord(c))) for c in need}
+            for wide in (size + size // 2, 3 * size):
+                at = np.append(np.arange(0, max(1, len(word) - wide), max(1, size // 2)), max(0, len(word) - wide))
+                end = np.minimum(at + wide, len(word))
+                shared = sum(np.minimum(counts[c][end] - counts[c][at], n) for c, n in need.items())
+                out.update(word[k : k + wide] for k in at[shared >= SHARE * size].tolist())
+        return out
+
+    def joined(self, sentences: list[list[str]]) -> list[set[str]]:
+        """For each sentence (a list of tokens) its neighbouring tokens that together, but not alone, hold a landmark.
+
+        The breaks are the gaps: with other letters between, too, "more on" would be "moron".
+        """
+        out: list[set[str]] = [set() for _ in sentences]
+        known = {t: normal(t) for t in set().union(*sentences)}
+        words = [[w for t in tokens if (w := known[t])] for tokens in sentences]
+        letters = "\n".join(["".join(w) for w in words])
+        flat = [w for of in words for w in [*of, "\n"]]
+        starts = list(accumulate(map(len, flat), initial=0))
+        of = None
+        for piece in self.pieces:
+            at = letters.find(piece)
+            while at >= 0:
+                i, j = bisect_right(starts, at) - 1, bisect_left(starts, at + len(piece))
+                if 1 < j - i <= PARTS and starts[j] - starts[i] <= 1.5 * len(piece):
+                    of = of or list(accumulate((w == "\n" for w in flat), initial=0))
+                    out[of[i]].add("".join(flat[i:j]))
+                at = letters.find(piece, at + 1)
+        return out
 
     def _bag(self, codes: np.ndarray) -> np.ndarray:
         """How often each of the landmarks' letters is in each row."""
@@ -147,7 +215,7 @@ class Model:
             known.clear()
             new = list(tokens)
         if new:
-            parts = [(t, p) for t in new for p in windows(normal(t))]
+            parts = [(t, p) for t in new for p in self.marks.pieces_of(t)]
             distinct = list(dict.fromkeys(p for _, p in parts))
             values = self.marks.values(distinct) if distinct else np.zeros((0, 1))
             seen = {p: i for i, p in enumerate(distinct)}
@@ -164,16 +232,21 @@ class Model:
         out: list[np.ndarray] = []
         for lo, hi in slices(texts, 1 << 20):
             lowered = [t.lower() for t in texts[lo:hi]]
-            tokens = [set(t.split()) for t in lowered]
+            split = [_SENTENCE.split(t) for t in lowered]
+            tokens = [[s.split() for s in text] for text in split]
+            joined = iter(self.marks.joined([s for text in tokens for s in text]))
+            across = [[next(joined) for _ in text] for text in tokens]
             spelled = [{m.group(): "".join(c for c in m.group() if c.isalnum()) for m in _SPELLED.finditer(t)} for t in lowered]
-            near = self.look_up(set().union(*tokens, *[s.values() for s in spelled]))
-            for text, own, spelt in zip(lowered, tokens, spelled):
+            near = self.look_up({t for text in (*tokens, *across) for s in text for t in s}.union(*[s.values() for s in spelled]))
+            for text, own, joins, spelt in zip(split, tokens, across, spelled):
                 found = []
-                if not own.isdisjoint(near) or any(v in near for v in spelt.values()):
-                    for s in _SENTENCE.split(text):
-                        pieces = [near[t] for t in s.split() if t in near] + [near[v] for k, v in spelt.items() if v in near and k in s]
-                        if pieces:
-                            found.append(np.max(pieces, 0))
+                spelt = {k: near[v] for k, v in spelt.items() if v in near}
+                for s, words, more in zip(text, own, joins):
+                    pieces = [near[t] for t in words if t in near] + [near[t] for t in more if t in near] + [v for k, v in spelt.items() if k in s]
+                    if pieces:
+                        found.append(np.max(pieces, 0))
+                # letters with points between them are cut by the sentences' ends: each such word is one by itself
+                found += [v for k, v in spelt.items() if not any(k in s for s in text)]
                 out.append(np.array(found) if found else np.zeros((0, len(self.marks.pieces))))
         return out
 

@@ -283,3 +283,23 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == label
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_insults_in_long_and_split_words():
+    """Glued, hyphenated, stretched, split and widely spelled insults count; clean long words and neighbours don't."""
+    rng = random.Random(7)
+    bad = ["idiot", "moron", "pathetic", "scum", "loser"]
+    texts, labels = [], []
+    for n in range(400):
+        w = words(rng, 40).split()
+        if n % 4 == 0:
+            w[rng.randrange(40)] = rng.choice(bad)
+        texts.append(" ".join(w) + ". " + words(rng, 12) + ".")
+        labels.append(int(n % 4 == 0))
+    m = toxicity.fit(texts, labels)
+    plain = "w1 w2 w3 %s w4 w5."
+    forms = ("youareanidiotandnobodylikesyou", "you-are-an-idiot-and-nobody-likes-you", "l" + "o" * 14 + "ser", "mo ron", "path etic", "pa the tic", "i . d . i . o . t", "m  -  o  -  r  -  o  -  n", "thisscumshouldleavethisplace")
+    clean = ("internationalisation", "w" * 40, "more on", "a path is static", "from on", "low serial", "a . b . c . d", "mo. Ron", "")
+    hits, misses = m.scores([plain % x for x in forms]), m.scores([plain % x for x in clean])
+    assert (hits >= 0.3).all(), [f for f, h in zip(forms, hits) if h < 0.3]
+    assert (misses < 0.3).all(), [f for f, h in zip(clean, misses) if h >= 0.3]
