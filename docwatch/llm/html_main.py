@@ -4,26 +4,31 @@
    non-text are dropped and character references decoded. A line keeps where it stood: inside the article
    container, inside a container that says it is page furniture (menus, headers, footers, asides, forms,
    notices, adverts, reader comments), or neither.
-2. Pages are sorted by host, URL path and id in range partitions (a busy host spans many of them), and each page is
-   paired with its neighbour by path, of the same host.
+2. The addresses (host, URL path and query) are sorted in range partitions (a busy host spans many of them), and each page is
+   paired with its neighbour: the nearest earlier address of the host with other lines, else the nearest later one. Of an address
+   with several versions, the one of least hash stands for it. Lines travel as 64-bit hashes.
 3. The two pages' lines are aligned by their longest common subsequence; aligned lines are
    shared by the site and deleted. What remains outside furniture is the text. Where the page marks an article container, its text is
    the lines of the container, and there sharing decides nothing: mirrored articles, quotes and
    licence lines repeat between neighbours, and deleting them would drop text of the article.
 
 Results: null or empty html gives an empty text; a page without a neighbour is taken as it is; a null or odd
-URL counts as a host of its own; repeated pages each get a row (a neighbour with the same address or the same
+URL counts as a host of its own; repeated pages each get a row and the same text (a page with the same address or the same
 lines is no evidence and is passed over). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docwatch.llm.common import cut
 
 #: Elements of HTML by their role here.
 RAW = "script|style|template|textarea|iframe|title"
@@ -171,34 +176,70 @@ def text_of(page: list[tuple[int, str]], near: list[tuple[int, str]] | None) ->
     return " ".join(t for i, (r, t) in enumerate(page) if r == PLAIN and i not in gone)
 
 
-def _differenced(batches):
-    """Rows arrive sorted by host, path and id: a page's neighbour is the row before it, or the one after where there is none before."""
-
-    def done(row, near):
-        text = text_of(row[4], near)
-        return row[0], row[1], text, len(text)
+def line_key(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def emit(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    last, last_near = None, None  # the row before, not given out while it has no neighbour yet
+def _read(batches):
+    """Each page's lines as hashes, the text if the mark-up decides it, else the lines that may stay (null where one may not)."""
     for b in batches:
         out = []
-        for page_id, url, host, path, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "html"))):
-            row = (page_id, url, host, path, lines(html or ""))
-            near = None
-            if last is not None:
-                other = last[2] == host and last[3] != path
-                near = last[4] if other else last_near if last[2] == host else None
-                if last_near is None:
-                    out.append(done(last, row[4] if other else None))
-            if near is not None:
-                out.append(done(row, near))
-            last, last_near = row, near
-        if out:
-            yield emit(out)
-    if last is not None and last_near is None:
-        yield emit([done(last, None)])
+        for html in b.column("html").to_pylist():
+            page = lines(html or "")
+            marked = any(r == MAIN for r, _ in page)
+            keys = [line_key(t) for _, t in page]
+            out.append((keys, text_of(page, None) if marked else None, None if marked else [t if r == PLAIN else None for r, t in page]))
+        kinds = (pa.list_(pa.int64()), pa.string(), pa.list_(pa.string()))
+        columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+        names = ["page_id", "url", "host", "path", "query"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "lines", "text", "plain"])
+
+
+def _differenced(batches):
+    for b in batches:
+        texts = []
+        for own, near, plain in zip(*(b.column(c).to_pylist() for c in ("lines", "near", "plain"))):
+            gone = shared(own, near) if near is not None else set()
+            texts.append(" ".join(t for i, t in enumerate(plain) if t is not None and i not in gone))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def neighbours(addresses: DataFrame) -> DataFrame:
+    """`addresses` (host, path, query, r: the hash of its lines; each address once) with those next to it in order.
+
+    before1 is the nearest earlier address of the host, before2 the nearest earlier one whose lines differ from those of
+    before1; after1 and after2 the same later. A host's addresses are cut into ranges; the ends of each range are passed on to the
+    next ones, so the result doesn't depend on the cuts.
+    """
+    ranged = cut(addresses.repartitionByRange("host", "path", "query").withColumn("bucket", F.spark_partition_id()), "addresses")
+    order = Window.partitionBy("host", "bucket").orderBy("path", "query")
+    me = F.struct("path", "query", "r")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    near = ranged.withColumn("before1", F.lag(me).over(order)).withColumn("after1", F.lead(me).over(order))
+    near = near.withColumn("p", F.last(F.when(F.col("before1.r") != F.col("r"), F.col("before1")), True).over(so_far))
+    near = near.withColumn("n", F.first(F.when(F.col("after1.r") != F.col("r"), F.col("after1")), True).over(from_here))
+    near = near.withColumn("before2", F.lag("p").over(order)).withColumn("after2", F.lead("n").over(order))
+    ends = near.groupBy("host", "bucket").agg(F.max(F.struct("path", "query", "r", "p")).alias("z"), F.min(F.struct("path", "query", "r", "n")).alias("a"))
+    ends = ends.select("host", "bucket", "z.p", "a.n", F.struct("z.path", "z.query", "z.r").alias("z"), F.struct("a.path", "a.query", "a.r").alias("a"))
+    by = Window.partitionBy("host").orderBy("bucket")
+    ends = ends.withColumn("c1", F.lag("z").over(by)).withColumn("d1", F.lead("a").over(by))
+    p = F.coalesce("p", F.when(F.col("c1.r") != F.col("z.r"), F.col("c1")))
+    n = F.coalesce("n", F.when(F.col("d1.r") != F.col("a.r"), F.col("d1")))
+    ends = ends.withColumn("p", F.last(p, True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = ends.withColumn("n", F.first(n, True).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    ends = ends.select("host", "bucket", "c1", "d1", F.lag("p").over(by).alias("c2"), F.lead("n").over(by).alias("d2"))
+
+    def second(one, two, out1, out2):
+        other = F.when(F.col(f"{out1}.r") != F.col(f"{one}.r"), F.col(out1)).otherwise(F.col(out2))
+        return F.when(F.col(one).isNull(), F.col(out2)).otherwise(F.coalesce(F.col(two), other))
+
+    near = near.drop("p", "n").join(ends, ["host", "bucket"])
+    return near.select(
+        "host", "path", "query", "r",
+        F.coalesce("before1", "c1").alias("before1"), second("before1", "before2", "c1", "c2").alias("before2"),
+        F.coalesce("after1", "d1").alias("after1"), second("after1", "after2", "d1", "d2").alias("after2"),
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -206,6 +247,20 @@ def extract(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), r"/$", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    ordered = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long")
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), query.alias("query"), F.col("html").cast("string").alias("html"))
+    read = rows.mapInArrow(_read, "page_id long, url string, host string, path string, query string, lines array<long>, text string, plain array<string>")
+    read = cut(read.withColumn("h", F.xxhash64("lines")), "pages-read")
+    address = ["host", "path", "query"]
+    done = read.where("text IS NOT NULL").select("page_id", "url", "text")
+    asked = read.where("text IS NULL")
+    if asked.take(1):
+        near = neighbours(read.groupBy(*address).agg(F.min("h").alias("r")))
+        wanted = asked.select(*address, "h").distinct().join(near.drop("r"), address)
+        of = lambda c: F.when(F.col(f"{c}.r") != F.col("h"), F.col(c))
+        wanted = wanted.withColumn("to", F.coalesce(of("before1"), of("before2"), of("after1"), of("after2"))).where("to IS NOT NULL")
+        wanted = wanted.select(*address, "h", F.struct("host", "to").alias("to"))
+        every = read.groupBy(F.struct("host", F.struct("path", "query", F.col("h").alias("r")).alias("to")).alias("to")).agg(F.first("lines").alias("near"))
+        found = wanted.join(every, "to").select(*address, "h", "near")
+        done = done.union(asked.join(found, [*address, "h"], "left").select("page_id", "url", "lines", "near", "plain").mapInArrow(_differenced, "page_id long, url string, text string"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -303,3 +303,45 @@ def test_insults_in_long_and_split_words():
     hits, misses = m.scores([plain % x for x in forms]), m.scores([plain % x for x in clean])
     assert (hits >= 0.3).all(), [f for f, h in zip(forms, hits) if h < 0.3]
     assert (misses < 0.3).all(), [f for f, h in zip(clean, misses) if h >= 0.3]
+
+
+def test_html_neighbours(spark):
+    """Pages told apart by query, repeated pages and partition edges: every page is differenced, whatever the partitions are."""
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        rows.append((i, f"http://q.x/index.php?id={i:02d}", f"<p>Menu</p><p>Own {i}</p><p>Imprint</p>"))
+    rows += [(100 + i, f"http://r.x/{i // 2}", f"<p>Menu</p><p>Page {i // 2}</p>") for i in range(8)]
+    rows += [(200 + i, f"http://m.x/{i}", "<p>Menu</p><p>Mirror</p>" if i else "<p>Menu</p><p>Start</p>") for i in range(6)]
+    rng.shuffle(rows)
+    want = {i: f"Own {i}" for i in range(40)} | {100 + i: f"Page {i // 2}" for i in range(8)} | {200 + i: "Mirror" if i else "Start" for i in range(6)}
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for parts, adaptive in ((1, "true"), (7, "false"), (60, "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+            assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_neighbours_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"h{rng.randrange(3)}", f"/{i:03d}", "", rng.randrange(3)) for i in range(120)]
+    rows = [(h, p, q, 0 if "/030" < p < "/080" and h == "h1" else r) for h, p, q, r in rows]
+    want = {}
+    for h, p, _, r in rows:
+        for sign, name in ((-1, "before"), (1, "after")):
+            near = sorted((x for x in rows if x[0] == h and (x[1] < p if sign < 0 else x[1] > p)), key=lambda x: x[1], reverse=sign < 0)
+            one = near[0] if near else None
+            want[p, name] = (one and one[1], next((x[1] for x in near if x[3] != one[3]), None))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for r in html_main.neighbours(spark.createDataFrame(rows, "host string, path string, query string, r long")).collect():
+            for name in ("before", "after"):
+                assert (r[f"{name}1"] and r[f"{name}1"].path, r[f"{name}2"] and r[f"{name}2"].path) == want[r.path, name]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
