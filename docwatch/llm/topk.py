@@ -7,7 +7,8 @@ is the usual lower bound of their distance. Inside a tile the bounds run coarse
 query's k-th best score so far; only survivors of all three get the exact score. Nothing is lost: a pair is skipped only if its bound is
 below k exact scores.
 
-Plan: candidates are gathered in blocks of a bounded size by a hash of the id, queries likewise; every query block meets every
+Plan: equal rows (of id and vector) are counted and k of them kept at most, which changes no result. Candidates are gathered in blocks of a
+bounded size by a hash of the id, vector and copy, queries by one of the id and vector; every query block meets every
 candidate block (a stated query set against all rows, in blocks), each tile returns k rows a
 query at most and a window ranks them. Work is queries x rows, spread over tiles of equal size whatever the ids are.
 
@@ -109,13 +110,17 @@ def search(vectors: DataFrame, asked: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of `vectors` (vec_id, embedding of integers) for each row where `asked` holds."""
     v = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<bigint>").alias("x"), F.coalesce(asked, F.lit(False)).alias("asked"))
-    v = v.withColumn("n", F.size("x")).withColumn("key", F.xxhash64("x"))
-    number = v.agg(F.count("*").alias("c"), F.sum(F.col("asked").cast("long")).alias("q")).first()
+    v = v.withColumn("n", F.size("x"))
+    # of equal rows no more than k can be among the k best: they are counted, so no block holds more copies of a row
+    equal = v.groupBy("vec_id", "n", "x").agg(F.count("*").alias("copies"), F.max("asked").alias("asked")).withColumn("key", F.xxhash64("x"))
+    equal = equal.withColumn("copies", F.least("copies", F.lit(k).cast("long")))
+    number = equal.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("c"), F.sum(F.col("asked").cast("long")).alias("q")).first()
     c_blocks, q_blocks = -(-number["c"] // CANDIDATES) or 1, -(-(number["q"] or 0) // QUERIES) or 1
-    block = lambda count: F.pmod(F.xxhash64("vec_id", "key"), F.lit(count))
-    cand = v.withColumn("cb", block(c_blocks)).groupBy("n", "cb").agg(F.collect_list(F.struct("vec_id", "x")).alias("r"))
+    block = lambda count, *salt: F.pmod(F.xxhash64("vec_id", "key", *salt), F.lit(count))
+    each = equal.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    cand = each.withColumn("cb", block(c_blocks, "copy")).groupBy("n", "cb").agg(F.collect_list(F.struct("vec_id", "x")).alias("r"))
     cand = cand.select("n", "cb", F.col("r.vec_id").alias("c_ids"), F.col("r.x").alias("c_data"))
-    query = v.where("asked").dropDuplicates(["vec_id", "key", "n"]).withColumn("qb", block(q_blocks))
+    query = equal.where("asked").withColumn("qb", block(q_blocks))
     query = query.groupBy("n", "qb").agg(F.collect_list(F.struct("vec_id", "key", "x")).alias("r"))
     query = query.select("n", "qb", F.col("r.vec_id").alias("q_ids"), F.col("r.key").alias("q_keys"), F.col("r.x").alias("q_data"))
     query = query.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<bigint>")))

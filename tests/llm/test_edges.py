@@ -345,3 +345,33 @@ def test_neighbours_brute_force(spark, seed):
                 assert (r[f"{name}1"] and r[f"{name}1"].path, r[f"{name}2"] and r[f"{name}2"].path) == want[r.path, name]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_topk_repeated_row(spark, monkeypatch):
+    """A row that holds most of the table never meets whole in one block; its first k copies rank as all of them would."""
+    rng = np.random.default_rng(4)
+    hot = [(7, [9, 9, 9, 9])] * 3000
+    rows = hot + [(i, rng.integers(-9, 9, 4).tolist()) for i in range(20, 120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<long>")
+    sizes = spark.sparkContext.accumulator(0)
+    run = topk._tiles
+
+    def counted(k):
+        inner = run(k)
+
+        def tiles(batches):
+            for b in batches:
+                sizes.add(sum(len(ids) for ids in b.column("c_ids")))
+                yield from inner(iter([b]))
+
+        return tiles
+
+    monkeypatch.setattr(topk, "_tiles", counted)
+    got = topk.search(df, F.col("vec_id").isin(7, 30, 40), 5).collect()
+    want = set()
+    for i in (7, 30, 40):
+        x = next(x for j, x in rows if j == i)
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in rows if j != i)
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == 15
+    assert sizes.value <= 105
