@@ -375,3 +375,24 @@ def test_topk_repeated_row(spark, monkeypatch):
         want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])}
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == 15
     assert sizes.value <= 105
+
+
+def test_pipeline_stages_brute_force(spark):
+    """The ids that the toxicity and near-duplicate stages keep are those of a document-by-document model."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(15):
+        base = words(rng, rng.choice([8, 30, 80])).split()
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+            if g % 3 == 0:
+                w[rng.randrange(len(w))] = rng.choice(["blorkus", "frindle"])
+            rows.append((len(rows) + 1, " ".join(w) + "."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("blorkus" in t or "frindle" in t)) for i, t in rows], "doc_id long, toxic int")
+    clean = {i for i, t in rows if not ("blorkus" in t or "frindle" in t)}
+    assert {r.doc_id for r in toxicity.reject(docs, labels).collect()} == clean
+    kept = sorted(r.doc_id for r in ngram_join.dedupe(docs).collect())
+    assert kept == sorted({c for _, _, c in jaccard_components(rows, 5, 80)})
