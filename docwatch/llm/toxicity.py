@@ -1,20 +1,27 @@
 """Toxicity: a support vector machine on a gapped-subsequence string kernel, with Nyström landmarks.
 
 The kernel of two pieces of text weighs every common subsequence of ORDER letters by
-DECAY**(length spanned in both), normalised to 1 for equal pieces: letters put into an insult, or left
-out of it, lower the weight instead of ending the match. It is taken as 0 where a piece holds less than SHARE of a landmark's letters.
+DECAY**(length spanned in both), normalised to 1 for equal pieces: letters put into an insult lower the weight instead of ending
+the match. It is taken as 0 where a piece holds less than SHARE of a landmark's letters.
 
-Training (on a bounded, documented sample of labelled rows, at the driver): the landmarks are the pieces most
-over-represented in sentences of toxic documents, and a few common harmless ones. A sentence's
-features are, per landmark, the largest kernel value of its pieces, mapped by the inverse
+Landmarks are of two kinds. Words: the pieces most over-represented in sentences of toxic documents, and a few common harmless ones.
+Heads: beginnings of words of 4 to 7 letters, because in inflected and compounding languages an insult is a stem with many endings and no
+one form of it is frequent. Heads are picked one after the other, each the one whose rate singles out most toxic documents that no landmark
+before it did, so no language's insults have to compete with those of a larger language. Letters decide, not language or lists.
+
+Training (on a bounded, documented sample of labelled rows, at the driver): a sentence's
+features are, per word landmark, the largest kernel value of its pieces, mapped by the inverse
 root of the landmarks' own kernel matrix (Nyström). A linear SVM with squared hinge loss is fitted to
 labelled sentences: of a toxic document those that hold a piece like a landmark, of the others all; then refitted with those, too, that
-score above the margin. A document's margin is that of its highest sentence, made a probability by a logistic fit.
+score above the margin. A second linear SVM judges the document: by the margin of its highest sentence, and by the mean over all its words of
+their kernel with each head landmark (a kernel mean, mapped by Nyström like the sentences), because a stem that clean texts hold now and then, too, is evidence by its rate.
+A logistic fit makes its margin a probability.
 
 Scoring: one pass over the whole texts, no shuffle. Kernel values are computed for each distinct piece once per worker.
 
-Null and empty texts have no piece and get the score of a text without evidence. Over words longer than twice a landmark
-slide windows of 1.5 and 3 times its length, by half its length at most, so all of a long word is seen by each landmark; a letter
+Null and empty texts have no piece and get the score of a text without evidence. Repeated rows get the same score each; in training, equal
+hashes of ids are ordered by id and by the text's hash. Through words longer than twice a landmark
+slide windows of 1.5 times its length, by a quarter of its length, so all of a long word is seen by each landmark; a letter
 written three times or more counts as once and as twice, too. Pieces across white space are letters spelled out one by one and up to PARTS
 neighbouring tokens of a sentence that hold a landmark whole in 1.5 times its length at most. Labels, language, source and id are never inputs.
 """
@@ -37,7 +44,12 @@ from docwatch.llm.shingles import slices
 ORDER, DECAY, SHARE, LONGEST, STEP = 3, 0.7, 0.9, 18, 9
 #: Labelled rows of each class that training uses at most, by order of a hash of the id.
 SAMPLE = 1500
-LANDMARKS, HARMLESS = 24, 4
+#: Longer texts aren't drawn for training, which bounds the sample in bytes; they are scored whole.
+TRAINED_LENGTH = 64_000
+LANDMARKS, HARMLESS, HEADS = 24, 4, 24
+HEAD_LENGTHS = range(4, 8)
+#: Words that a document's rates are smoothed by, the rate that counts as full evidence, and the least kernel value of a head that resembles a landmark.
+SMOOTH, FULL, ALIKE = 60, 0.02, 0.6
 #: Weight of harmless sentences against toxic ones: a near miss of a common word is no insult.
 CAUTION = 2.0
 #: Kernel values up to this are no evidence.
@@ -95,65 +107,69 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Landmarks:
     """The landmark pieces, with their letters and kernel norms."""
 
-    def __init__(self, pieces: list[str]):
-        self.pieces = pieces
+    def __init__(self, pieces: list[str], marked: int):
+        self.pieces, self.marked = pieces, marked  # the first `marked` are insults
         self.codes, self.lengths = _codes(pieces)
         self.norm = kernel(self.codes, self.codes)
         self.letters = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
         self.bag = self._bag(self.codes)
-        self.bits = {chr(c): 1 << i for i, c in enumerate(self.letters[:63])}
-        self.needs = [{c: p.count(c) for c in p} for p in pieces]
-        self.spare = (self.lengths - np.ceil(SHARE * self.lengths)).astype(int)  # letters that may be missing
-        self.letters_of = [self.mask(p) for p in pieces]
-
-    def mask(self, piece: str) -> int:
-        """The landmarks' letters (the first 63 of them) that the piece holds, as bits."""
-        return sum(self.bits.get(c, 0) for c in set(piece))
-
-    def pieces_of(self, token: str) -> list[str]:
-        """The pieces in which a token's letters are looked at."""
-        word = normal(token)
-        out = windows(word)
-        words = [word]
-        if _RUN.search(word):
-            words += [_RUN.sub(r"\1", word), _RUN.sub(r"\1\1", word)]
-            out += [p for w in words[1:] for p in windows(w)]
+
+    def pieces_of(self, words: list[str]) -> dict[str, set[str]]:
+        """The pieces in which each word's letters are looked at."""
+        out = {w: set(windows(w)) for w in words}
+        forms = [(w, w) for w in words]
         for w in words:
-            if len(w) > 2 * self.lengths.min():
-                out += self._slid(w)
-        return list(dict.fromkeys(out))
-
-    def _slid(self, word: str) -> set[str]:
-        """Windows sized to each landmark that hold enough of its letters."""
-        out, held = set(), self.mask(word)
-        codes = None
-        for i, need in enumerate(self.needs):
+            if _RUN.search(w):
+                for form in (_RUN.sub(r"\1", w), _RUN.sub(r"\1\1", w)):
+                    forms.append((w, form))
+                    out[w].update(windows(form))
+        short = 2 * int(self.lengths[: self.marked].min(initial=LONGEST))
+        forms = sorted((f for f in forms if len(f[1]) > short), key=lambda f: len(f[1]))
+        lo = 0
+        while lo < len(forms):  # blocks of words of about one length, bounded in letters
+            hi = lo + 1
+            while hi < len(forms) and len(forms[hi][1]) * (hi + 1 - lo) <= 200_000 and len(forms[hi][1]) <= 2 * len(forms[lo][1]):
+                hi += 1
+            self._slide([f[1] for f in forms[lo:hi]], [out[f[0]] for f in forms[lo:hi]])
+            lo = hi
+        return out
+
+    def _slide(self, words: list[str], out: list[set[str]]) -> None:
+        """Add to `out` the windows of `words`, sized to each insult, that hold enough of its letters."""
+        codes, lengths = _codes(words)
+        counts = {c: np.pad(np.cumsum(codes == c, 1, dtype=np.int32), ((0, 0), (1, 0))) for c in self.letters.tolist()}
+        has = np.stack([counts[c][:, -1] for c in self.letters.tolist()], 1)
+        for i in range(self.marked):
             size = int(self.lengths[i])
-            if len(word) <= 2 * size or (self.letters_of[i] & ~held).bit_count() > self.spare[i]:
+            need = self.bag[i]
+            least = int(np.ceil(SHARE * size))
+            some = np.nonzero((lengths > 2 * size) & (np.minimum(has, need).sum(1) >= least))[0]
+            if not some.size:
                 continue
-            if codes is None:
-                codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
-            counts = {c: np.append(0, np.cumsum(codes == ord(c))) for c in need}
-            for wide in (size + size // 2, 3 * size):
-                at = np.append(np.arange(0, max(1, len(word) - wide), max(1, size // 2)), max(0, len(word) - wide))
-                end = np.minimum(at + wide, len(word))
-                shared = sum(np.minimum(counts[c][end] - counts[c][at], n) for c, n in need.items())
-                out.update(word[k : k + wide] for k in at[shared >= SHARE * size].tolist())
-        return out
+            wide = size + size // 2
+            last = lengths[some] - wide
+            step = max(1, size // 4)
+            at = np.minimum(np.arange(0, int(last.max()) + step, step)[None, :], last[:, None])
+            rows = some[:, None]
+            shared = np.zeros(at.shape, np.int32)
+            for c, n in zip(self.letters.tolist(), need.tolist()):
+                if n:
+                    shared += np.minimum(counts[c][rows, at + wide] - counts[c][rows, at], n)
+            for r, k in zip(*np.nonzero(shared >= least)):
+                w = some[r]
+                out[w].add(words[w][at[r, k] : at[r, k] + wide])
 
     def joined(self, sentences: list[list[str]]) -> list[set[str]]:
-        """For each sentence (a list of tokens) its neighbouring tokens that together, but not alone, hold a landmark.
+        """For each sentence (a list of words) its neighbouring words that together, but not alone, hold a landmark.
 
         The breaks are the gaps: with other letters between, too, "more on" would be "moron".
         """
         out: list[set[str]] = [set() for _ in sentences]
-        known = {t: normal(t) for t in set().union(*sentences)}
-        words = [[w for t in tokens if (w := known[t])] for tokens in sentences]
-        letters = "\n".join(["".join(w) for w in words])
-        flat = [w for of in words for w in [*of, "\n"]]
+        flat = [w for of in sentences for w in [*of, "\n"]]
+        letters = "".join(flat)
         starts = list(accumulate(map(len, flat), initial=0))
         of = None
-        for piece in self.pieces:
+        for piece in self.pieces[: self.marked]:
             at = letters.find(piece)
             while at >= 0:
                 i, j = bisect_right(starts, at) - 1, bisect_left(starts, at + len(piece))
@@ -188,74 +204,119 @@ class Landmarks:
         return out
 
 
+def _root(marks: Landmarks) -> np.ndarray:
+    """Inverse root of the landmarks' own kernel matrix: the Nyström map."""
+    k = marks.values(marks.pieces).astype(float)
+    value, vector = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(len(k)))
+    return vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
+
+
 class Model:
-    """Landmarks, Nyström map, SVM weights and logistic fit; small (its size is bounded by LANDMARKS), sent with the tasks."""
+    """Landmarks, Nyström maps, SVM weights and logistic fit; small (its size is bounded by LANDMARKS and HEADS), sent with the tasks."""
 
-    def __init__(self, marks: Landmarks):
-        self.marks = marks
-        k = marks.values(marks.pieces).astype(float)
-        value, vector = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(len(k)))
-        self.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-        self.w, self.b, self.slope, self.base = np.zeros(len(k)), 0.0, 1.0, 0.0
+    def __init__(self, marks: Landmarks, heads: Landmarks):
+        self.marks, self.heads = marks, heads
+        self.root, self.head_root = _root(marks), _root(heads)
+        self.head_sizes = sorted(set(heads.lengths.tolist()))
+        self.w, self.b, self.slope, self.base = np.zeros(len(marks.pieces)), 0.0, 1.0, 0.0
+        self.doc_w, self.doc_b = np.append(1.0, np.zeros(len(heads.pieces))), 0.0
 
     def margins(self, features: np.ndarray) -> np.ndarray:
         return features @ self.root @ self.w + self.b
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_words", "_heads")}
 
-    def known(self) -> dict:
-        return self.__dict__.setdefault("_known", {})
+    def words_of(self, tokens: set[str]) -> dict[str, str]:
+        """The letters of each token; remembered."""
+        known = self.__dict__.setdefault("_words", {})
+        if len(known) > REMEMBERED:
+            known.clear()
+        known.update((t, normal(t)) for t in tokens if t not in known)
+        return known
 
-    def look_up(self, tokens: set[str]) -> dict[str, np.ndarray]:
-        """Kernel values of those tokens that resemble a landmark."""
-        known = self.known()
-        new = [t for t in tokens if t not in known]
-        if len(known) + len(new) > REMEMBERED:
+    def look_up(self, words: set[str]) -> dict[str, np.ndarray]:
+        """Kernel values of those words that resemble a word landmark."""
+        known = self.__dict__.setdefault("_known", {})
+        if len(known) + len(words) > REMEMBERED:
             known.clear()
-            new = list(tokens)
+        new = [w for w in words if w not in known]
         if new:
-            parts = [(t, p) for t in new for p in self.marks.pieces_of(t)]
+            parts = [(w, p) for w, of in self.marks.pieces_of(new).items() for p in of]
             distinct = list(dict.fromkeys(p for _, p in parts))
             values = self.marks.values(distinct) if distinct else np.zeros((0, 1))
-            seen = {p: i for i, p in enumerate(distinct)}
-            strong = values.max(1) > LEAST
+            strong = {distinct[i]: i for i in np.nonzero(values.max(1) > LEAST)[0]}
             known.update(dict.fromkeys(new))
-            for t, p in parts:
-                if strong[seen[p]]:
-                    v = values[seen[p]]
-                    known[t] = v if known[t] is None else np.maximum(known[t], v)
-        return {t: v for t in tokens if (v := known[t]) is not None}
-
-    def evidence(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the features of its sentences that hold any evidence. Pieces are looked up for all texts at once."""
-        out: list[np.ndarray] = []
-        for lo, hi in slices(texts, 1 << 20):
+            for w, p in parts:
+                if p in strong:
+                    v = values[strong[p]]
+                    known[w] = v if known[w] is None else np.maximum(known[w], v)
+        return {w: v for w in words if (v := known[w]) is not None}
+
+    def look_up_heads(self, words: set[str]) -> dict[str, np.ndarray]:
+        """Of those words whose beginning resembles a head landmark, by how much for each: 0 at ALIKE, 1 for the same letters."""
+        known = self.__dict__.setdefault("_heads", {})
+        if len(known) + len(words) > REMEMBERED:
+            known.clear()
+        new = words - known.keys()
+        known.update(dict.fromkeys(new))
+        parts = [(w, w[:n]) for n in {k + m for k in self.head_sizes for m in (0, 2)} for w in new if len(w) >= n]
+        parts += [(w, w) for n in self.head_sizes for w in new if n <= len(w) <= n + 1]
+        distinct = list({p for _, p in parts})
+        values = np.maximum(self.heads.values(distinct) - ALIKE, 0) / (1 - ALIKE) if distinct else np.zeros((0, 1))
+        strong = {distinct[i]: i for i in np.nonzero(values.max(1) > 0)[0]}
+        for w, p in parts:
+            if p in strong:
+                v = values[strong[p]]
+                known[w] = v if known[w] is None else np.maximum(known[w], v)
+        return {w: v for w in words if (v := known[w]) is not None}
+
+    def evidence(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the features of its sentences that hold any evidence, and the smoothed rates of its head landmarks."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in slices(texts, 1 << 20):  # pieces are looked up for all texts of a slice at once
             lowered = [t.lower() for t in texts[lo:hi]]
             split = [_SENTENCE.split(t) for t in lowered]
             tokens = [[s.split() for s in text] for text in split]
-            joined = iter(self.marks.joined([s for text in tokens for s in text]))
-            across = [[next(joined) for _ in text] for text in tokens]
-            spelled = [{m.group(): "".join(c for c in m.group() if c.isalnum()) for m in _SPELLED.finditer(t)} for t in lowered]
-            near = self.look_up({t for text in (*tokens, *across) for s in text for t in s}.union(*[s.values() for s in spelled]))
-            for text, own, joins, spelt in zip(split, tokens, across, spelled):
-                found = []
+            letters = self.words_of({t for text in tokens for s in text for t in s})
+            words = [[[w for t in s if (w := letters[t])] for s in text] for text in tokens]
+            joined = iter(self.marks.joined([s for text in words for s in text]))
+            across = [[next(joined) for _ in text] for text in words]
+            spelled = [{m.group(): normal("".join(c for c in m.group() if c.isalnum())) for m in _SPELLED.finditer(t)} for t in lowered]
+            distinct = {w for text in words for s in text for w in s}
+            near = self.look_up(distinct.union(*[s for text in across for s in text], *[s.values() for s in spelled]))
+            heads = self.look_up_heads(distinct)
+            hot = near.keys() | heads.keys()
+            for text, own, joins, spelt in zip(split, words, across, spelled):
+                found, alike = [], []
                 spelt = {k: near[v] for k, v in spelt.items() if v in near}
-                for s, words, more in zip(text, own, joins):
-                    pieces = [near[t] for t in words if t in near] + [near[t] for t in more if t in near] + [v for k, v in spelt.items() if k in s]
+                for s, of, more in zip(text, own, joins):
+                    hits = [w for w in of if w in hot]
+                    if not (hits or more or spelt):
+                        continue
+                    alike += [heads[w] for w in hits if w in heads]
+                    pieces = [near[w] for w in (*hits, *more) if w in near] + [v for k, v in spelt.items() if k in s]
                     if pieces:
                         found.append(np.max(pieces, 0))
                 # letters with points between them are cut by the sentences' ends: each such word is one by itself
                 found += [v for k, v in spelt.items() if not any(k in s for s in text)]
-                out.append(np.array(found) if found else np.zeros((0, len(self.marks.pieces))))
+                rates = np.sum(alike, 0) / (SMOOTH + sum(map(len, own))) if alike else np.zeros(len(self.heads.pieces))
+                out.append((np.array(found) if found else np.zeros((0, len(self.marks.pieces))), rates))
         return out
 
-    def top(self, evidence: list[np.ndarray]) -> np.ndarray:
+    def top(self, sentences: list[np.ndarray]) -> np.ndarray:
         """Margin of each text's highest sentence, within -1 and 1: beyond the margin more evidence tells nothing."""
-        return np.clip([max(float(self.margins(f).max()), self.b) if len(f) else self.b for f in evidence], -1, 1)
+        return np.clip([max(float(self.margins(f).max()), self.b) if len(f) else self.b for f in sentences], -1, 1)
+
+    def features(self, evidence: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the document's SVM sees: the highest sentence's margin, and the kernel means of the heads."""
+        rates = np.minimum(np.array([r for _, r in evidence]).reshape(len(evidence), -1) / FULL, 1)
+        return np.column_stack([self.top([s for s, _ in evidence]), rates @ self.head_root])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        m = self.top(self.evidence(texts))
+        if not texts:
+            return np.zeros(0)
+        m = np.clip(self.features(self.evidence(texts)) @ self.doc_w + self.doc_b, -2, 2)
         return 1 / (1 + np.exp(-np.clip(self.slope * m + self.base, -30, 30)))
 
 
@@ -289,6 +350,43 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(w[1])
 
 
+def _heads(texts: list[str], labels: np.ndarray, missed: np.ndarray) -> list[str]:
+    """Heads picked one by one: each the one whose rate lifts most of the `missed` toxic texts above nearly all clean ones."""
+    least = max(3, int(np.ceil(0.01 * labels.sum())))
+    letters: dict[str, str] = {}
+    heads_of = lambda w: [w[:n] for n in HEAD_LENGTHS if n <= len(w)]
+    words = []
+    for text in texts:
+        tokens = Counter(text.lower().split())
+        letters.update((t, normal(t)) for t in tokens if t not in letters)
+        words.append(tokens)
+    spread = Counter(h for i in np.nonzero(missed)[0] for h in {h for t in words[i] for h in heads_of(letters[t])})
+    rates: dict[str, list[tuple[int, float]]] = {h: [] for h, n in spread.items() if n >= least}
+    known = {t: [h for h in heads_of(w) if h in rates] for t, w in letters.items()}
+    for i, tokens in enumerate(words):
+        found: Counter = Counter()
+        for t, n in tokens.items():
+            for h in known[t]:
+                found[h] += n
+        size = SMOOTH + tokens.total()
+        for h, n in found.items():
+            rates[h].append((i, n / size))
+    spare = int(0.005 * (labels == 0).sum())  # clean texts that may lie above a head's bar
+    above: dict[str, set[int]] = {}
+    for h, at in rates.items():
+        clean = sorted((r for i, r in at if not labels[i]), reverse=True)
+        bar = clean[spare] if len(clean) > spare else 0.0
+        above[h] = {i for i, r in at if labels[i] and r > bar}
+    left, picked = set(np.nonzero(missed)[0].tolist()), []
+    while len(picked) < HEADS and left:
+        best = max(above, key=lambda h: (len(above[h] & left), len(above[h]), len(h), h), default="")
+        if not best or len(above[best] & left) < least:
+            break
+        picked.append(best)
+        left -= above[best]
+    return picked
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts (see the module's text)."""
     counts = (Counter(), Counter())
@@ -306,14 +404,18 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     marked = [p for p in ranked[:LANDMARKS] if gain[p] >= bar]
     harmless = [p for p, n in sorted(counts[0].items(), key=lambda x: (-x[1], x[0])) if len(p) >= 5 and p not in gain]
     pieces = marked + harmless[:HARMLESS]
-    model = Model(Landmarks(pieces or ["harmless"]))
+    y = np.array(labels, int)
+    told = set(marked)
+    missed = np.array([bool(label) and not told.intersection(normal(t) for t in text.lower().split()) for text, label in zip(texts, labels)], bool)
+    heads = _heads(texts, y, missed)
+    model = Model(Landmarks(pieces or ["harmless"], len(marked)), Landmarks(heads or ["harmless"], len(heads)))
     per_doc = model.evidence(texts)
-    y = np.array(labels)
+    sentences = [s for s, _ in per_doc]
     like = lambda d: d[:, : len(marked)].max(1, initial=0)
-    harm = [d for i, d in enumerate(per_doc) if not y[i] and len(d)]
+    harm = [d for i, d in enumerate(sentences) if not y[i] and len(d)]
     for turn in range(2):
         best = []
-        for i, d in enumerate(per_doc):
+        for i, d in enumerate(sentences):
             if y[i] and len(d):
                 best.append(d[(like(d) > 0.6) | (model.margins(d) > 0)] if turn else d[like(d) > 0.6])
         best = [b for b in best if len(b)]
@@ -324,7 +426,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         share = np.where(t > 0, 1 / max(1, (t > 0).sum()), CAUTION / max(1, (t < 0).sum()))
         share[-1] = 1.0  # most sentences hold no evidence at all: they are one row of great weight
         model.w, model.b = _svm(x @ model.root, t, share * len(x) / 2)
-    model.slope, model.base = _logistic(model.top(per_doc), y) if len(texts) else (1.0, 0.0)
+    if len(texts):
+        x = model.features(per_doc)
+        if 0 < y.sum() < len(y):
+            model.doc_w, model.doc_b = _svm(x, 2.0 * y - 1, np.where(y == 1, len(y) / y.sum(), CAUTION * len(y) / (len(y) - y.sum())) / 2)
+        model.slope, model.base = _logistic(np.clip(x @ model.doc_w + model.doc_b, -2, 2), y)
     return model
 
 
@@ -338,7 +444,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     number = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     picked = drawn[0].union(drawn[1])  # 2 * sample narrow rows at most
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.length("text") <= TRAINED_LENGTH).join(F.broadcast(picked), "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * sample).collect()
     texts, y = [r["text"] for r in rows], [r["toxic"] for r in rows]
     model = fit(texts, y)
