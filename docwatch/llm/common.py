@@ -1,4 +1,4 @@
-"""Shared folder, table cuts and connected components."""
+"""Shared folder, table cuts, free column names and connected components."""
 
 from __future__ import annotations
 
@@ -8,25 +8,57 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Per application: the folder of a local run without spark.checkpoint.dir, and the tables written so far.
+_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a new local folder in a session of one process (tests); on a cluster an error, as executors would not see a local one.
+    """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = f"file://{tempfile.mkdtemp(prefix='spark-docwatch-')}"
-        spark.conf.set("spark.checkpoint.dir", set_to)
-        spark.sparkContext.setCheckpointDir(set_to)
-    return set_to.rstrip("/")
+    if set_to:
+        return set_to.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='spark-docwatch-')}"
+    return _LOCAL[app]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new table in the shared folder and read it again: lineage ends there, lost executors don't matter."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docwatch/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that `cut` wrote in this application but for the last `keep`. Results that still read them must be written first."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone, written[:] = written[: len(written) - keep], written[len(written) - keep :]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """For each of `names` a column name that `df` doesn't have, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """`df` (a written table) marked for broadcast if it has at most `rows` rows, counted first; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -4,7 +4,8 @@ A document is the sequence of the IDs of its lines, a suffix is a position in it
 same name at level k start the same 2**k lines. Level 0 names are the lines; the name at level k+1 is made of the names at
 level k of a position and of the one 2**k lines on. Each level is one aggregate over the names (combined
 before the shuffle), and only names that occur twice go on: the rest of the corpus leaves after the first level.
-The positions of one name are an interval of the suffix array (they share a prefix of that length).
+The positions of one name are an interval of the suffix array (they share a prefix of that length); names take the place of ranks, because
+only which suffixes share a prefix matters here and not the order of the intervals, so no total order of all suffixes is ever sorted.
 
 The longest common prefix with an earlier position is then found exactly: from the highest level at which a position has an
 earlier partner, its interval is narrowed by the names of the next lower levels, each narrowing one aggregate,
@@ -12,8 +13,13 @@ so after the last one every position knows the longest run that starts there and
 longer run contains are the maximal repeated runs. A run of at least `min_words` words is deleted where it is a
 later copy; the first copy in order of (doc_id, hash of the text, line) stays. A later copy may overlap the earlier one.
 
+Two prunings lose nothing. Of documents with the same text only the first enters: all others are one run, whole. And a
+stretch of neighbouring lines that each occur elsewhere, but hold too few letters for `min_words` words, holds no run
+and is part of no other's earlier copy. A name of very many positions never meets in one task: what is known of a name is sent to all tasks where
+there are few names, else joined with salted keys.
+
 Null and empty texts have no line. Lines are compared exactly, blank lines count as lines of a run. Rows with the same
-doc_id and text are one document and get the same result. A null doc_id comes first. Extra columns stay. Names are 64-bit hashes.
+doc_id and text are one document and get the same result. A null doc_id comes first. Extra columns stay, whatever their names. Names are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,10 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import cut
+from docwatch.llm.common import cut, fresh
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
+#: Names up to this number are sent to all tasks (they are counted first); joins of more are salted this many ways.
+FEW, SALTS = 100_000, 16
+AT = ["doc_id", "tkey", "i"]
 
 
 def _place(prefix: str = "") -> Column:
@@ -36,31 +45,62 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}tkey") == F.col(f"{b}tkey"))
 
 
-def _repeated(named: DataFrame, keep: list[str]) -> DataFrame:
+def _told(rows: DataFrame, names: DataFrame, few: int) -> DataFrame:
+    """`rows` joined with what `names` (one row each) knows of their name."""
+    names = cut(names, "names")
+    if names.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(names), "name")
+    (salt,) = fresh(rows, "salt")
+    salted = names.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(*AT), F.lit(SALTS)).cast("int")).join(salted, ["name", salt]).drop(salt)
+
+
+def _repeated(named: DataFrame, few: int) -> DataFrame:
     """Rows of `named` whose name occurs at two positions at least, with the first of these."""
-    groups = named.groupBy("name").agg(F.count("*").alias("c"), F.min(_place()).alias("first")).where("c > 1").drop("c")
-    return named.join(groups, "name").select(*keep, "name", "first")
+    groups = named.groupBy("name").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").drop("last")
+    return _told(named, groups, few)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, i (from 0), name, words of every line of every distinct document."""
+def _documents(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    d = d.withColumn("tkey", F.xxhash64("text"))
-    lines = d.select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.select("doc_id", "tkey", "i", F.xxhash64("line").alias("name"), F.regexp_count("line", F.lit(WORD)).alias("words"))
+    return d.withColumn("tkey", F.xxhash64("text"))
+
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey of the documents whose text an earlier document has."""
+    keys = _documents(docs).select("doc_id", "tkey").distinct()
+    first = keys.groupBy("tkey").agg(F.min(F.struct("doc_id")).alias("f"), F.max(F.struct("doc_id")).alias("z")).where("f <> z")
+    return keys.join(first.select("tkey", "f"), "tkey").where(F.struct("doc_id") > F.col("f")).select("doc_id", "tkey")
 
-def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(maximal repeated runs that are later copies: doc_id, tkey, i, lines; the lines of documents that hold any)."""
-    at = ["doc_id", "tkey", "i"]
-    lines = cut(line_table(docs).dropDuplicates(at), "lines")
-    level = cut(_repeated(lines.select(*at, "name"), at), "level")
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey, i (from 0), name, letters of every line."""
+    lines = _documents(docs).select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select(*AT, F.xxhash64("line").alias("name"), F.length("line").alias("letters"))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 0, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """(maximal repeated runs that are later copies: doc_id, tkey, i, lines; later copies of whole texts: doc_id, tkey).
+
+    The first table covers the documents that aren't in the second; of its runs all those of `min_words` words are there, of shorter ones not all.
+    """
+    copies = cut(later_copies(docs), "copies")
+    lines = cut(line_table(docs), "lines")
+    gone = copies.select(F.col("doc_id").alias("c_doc_id"), F.col("tkey").alias("c_tkey"))
+    if copies.limit(few + 1).count() <= few:
+        gone = F.broadcast(gone)
+    lines = lines.join(gone, _same("", "c_"), "left_anti")
+    level = _repeated(lines, few).dropDuplicates(AT)
+    stretch = level.withColumn("s", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "tkey").orderBy("i")))
+    # a line of n letters has (n + 1) / 2 words at most
+    most = F.sum(F.floor((F.col("letters") + 1) / 2)).over(Window.partitionBy("doc_id", "tkey", "s"))
+    level = cut(stretch.withColumn("most", most).where(F.col("most") >= min_words).select(*AT, "name", "first"), "level")
     levels = [level]
     while level.take(1):
         step = 1 << (len(levels) - 1)
         after = level.select(F.col("doc_id").alias("a_doc_id"), F.col("tkey").alias("a_tkey"), (F.col("i") - step).alias("a_i"), F.col("name").alias("a_name"))
-        pairs = level.join(after, _same("", "a_") & (F.col("i") == F.col("a_i"))).select(*at, F.xxhash64("name", "a_name", F.lit(len(levels))).alias("name"))
-        level = cut(_repeated(pairs, at), "level")
+        pairs = level.join(after, _same("", "a_") & (F.col("i") == F.col("a_i"))).select(*AT, F.xxhash64("name", "a_name", F.lit(len(levels))).alias("name"))
+        level = cut(_repeated(cut(pairs, "pairs"), few).select(*AT, "name", "first"), "level")
         levels.append(level)
     levels.pop()
     if not levels:
@@ -68,53 +108,57 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the highest level at which a position has an earlier partner; all positions of such an interval take part in narrowing it
     found = None
     for k, lv in enumerate(levels):
-        rows = lv.select(*at, F.lit(k).alias("k"), "name", (F.col("first") < _place()).alias("later"))
+        rows = lv.select(*AT, F.lit(k).alias("k"), "name", (F.col("first") < _place()).alias("later"))
         found = rows if found is None else found.union(rows)
-    top = found.where("later").groupBy(*at).agg(F.max("k").alias("top"))
-    found = found.join(top.select(*[F.col(c).alias(f"t_{c}") for c in at], "top"), _same("", "t_") & (F.col("i") == F.col("t_i")), "left")
-    members = found.select(*at, "k", "name", F.expr("shiftleft(1, k)").alias("length"), (F.col("later") & (F.col("k") == F.col("top"))).alias("asks"))
-    asked = members.where("asks").select("k", "name").distinct()
-    members = cut(members.join(asked, ["k", "name"]), "intervals")
-    settled = members.where("asks AND k = 0").select(*at, "length")
+    top = found.where("later").groupBy(*AT).agg(F.max("k").alias("top"))
+    found = found.join(top.select(*[F.col(c).alias(f"t_{c}") for c in AT], "top"), _same("", "t_") & (F.col("i") == F.col("t_i")), "left")
+    # names of two levels differ but for a collision of hashes: the level is part of the hash
+    members = found.select(*AT, "k", "name", F.expr("shiftleft(1, k)").alias("length"), (F.col("later") & (F.col("k") == F.col("top"))).alias("asks"))
+    members = cut(members, "members")
+    members = cut(_told(members, members.where("asks").select("name").distinct(), few), "intervals")
+    settled = members.where("asks AND k = 0").select(*AT, "length")
     members = members.where("k > 0")
     for j in range(len(levels) - 2, -1, -1):
-        longer = levels[j].select(*[F.col(c).alias(f"n_{c}") for c in at], F.col("name").alias("n_name"))
+        longer = levels[j].select(*[F.col(c).alias(f"n_{c}") for c in AT], F.col("name").alias("n_name"))
         new = members.where(F.col("k") > j).join(longer, _same("", "n_") & (F.col("i") + F.col("length") == F.col("n_i")))
-        new = new.select(*at, "k", (F.col("length") + (1 << j)).alias("length"), "asks", F.xxhash64("name", "n_name", F.lit(-j - 1)).alias("name"), F.col("name").alias("of"))
-        groups = new.groupBy("name").agg(F.count("*").alias("c"), F.min(_place()).alias("first"), F.max("asks").alias("asked")).where("c > 1 AND asked").drop("c", "asked")
-        new = new.join(groups, "name").withColumn("asks", F.col("asks") & (F.col("first") < _place()))
-        new = cut(new.select(*at, "k", "length", "asks", "name", "of"), "narrower")
-        moved = new.where("asks").select(*[F.col(c).alias(f"m_{c}") for c in at], F.lit(True).alias("moved"))
+        new = cut(new.select(*AT, "k", (F.col("length") + (1 << j)).alias("length"), "asks", F.xxhash64("name", "n_name", F.lit(-j - 1)).alias("name")), "longer")
+        groups = new.groupBy("name").agg(F.count("*").alias("c"), F.min(_place()).alias("first"), F.max("asks").alias("asked")).where("c > 1 AND asked").select("name", "first")
+        new = _told(new, groups, few).withColumn("asks", F.col("asks") & (F.col("first") < _place())).select(*AT, "k", "length", "asks", "name")
+        new = cut(new, "narrower")
+        moved = new.where("asks").select(*[F.col(c).alias(f"m_{c}") for c in AT], F.lit(True).alias("moved"))
         left = members.join(moved, _same("", "m_") & (F.col("i") == F.col("m_i")), "left")
-        left = left.withColumn("asks", F.col("asks") & F.col("moved").isNull()).select(*at, "k", "length", "asks", "name")
-        both = left.union(new.select(*at, "k", "length", "asks", "name"))
-        live = both.where("asks").select("name").distinct()
-        members = cut(both.join(live, "name").select(*at, "k", "length", "asks", "name"), "intervals")
-    longest = settled.union(members.where("asks").select(*at, "length"))
+        both = cut(left.withColumn("asks", F.col("asks") & F.col("moved").isNull()).select(*AT, "k", "length", "asks", "name").union(new), "both")
+        members = cut(_told(both, both.where("asks").select("name").distinct(), few).select(*AT, "k", "length", "asks", "name"), "intervals")
+    longest = settled.union(members.where("asks").select(*AT, "length"))
     before = Window.partitionBy("doc_id", "tkey").orderBy("i")
     longest = longest.withColumns({"p_i": F.lag("i").over(before), "p_length": F.lag("length").over(before)})
     inside = F.coalesce((F.col("p_i") == F.col("i") - 1) & (F.col("p_length") > F.col("length")), F.lit(False))
-    return longest.where(~inside).select(*at, F.col("length").alias("lines")), lines
-
-
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tkey, gone (array of line numbers) of the documents that lose lines."""
-    runs, lines = repeated_runs(docs)
-    covered = runs.select("doc_id", "tkey", F.col("i").alias("start"), F.explode(F.sequence(F.col("i"), F.col("i") + F.col("lines") - 1)).alias("i"))
-    w = lines.select(F.col("doc_id").alias("l_doc_id"), F.col("tkey").alias("l_tkey"), F.col("i").alias("l_i"), "words")
-    covered = covered.join(w, _same("", "l_") & (F.col("i") == F.col("l_i")))
-    # runs are bounded by their document
-    long = covered.groupBy("doc_id", "tkey", "start").agg(F.sum("words").alias("w"), F.collect_list("i").alias("is")).where(F.col("w") >= min_words)
-    return long.select("doc_id", "tkey", F.explode("is").alias("i")).groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("i")).alias("gone"))
+    return longest.where(~inside).select(*AT, F.col("length").alias("lines")), copies
 
 
-def dedupe(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, few: int = FEW) -> DataFrame:
     """`docs` with later copies of repeated runs deleted from `text`, and lines_deleted (int). Rows stay, even if their text is now empty."""
-    gone = deleted_lines(docs, min_words).select(F.col("doc_id").alias("g_doc_id"), F.col("tkey").alias("g_tkey"), "gone")
-    keyed = docs.select(*[c for c in docs.columns if c not in ("lines_deleted", "g_tkey_of")]).withColumn("g_tkey_of", F.xxhash64("text"))
-    joined = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("g_doc_id")) & (F.col("g_tkey_of") == F.col("g_tkey")), "left")
+    runs, copies = repeated_runs(docs, min_words, few)
+    # the words of a run are counted here, in the text itself; a copy is one run of all its lines; runs are bounded by their document
+    of_doc = runs.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("i", "lines")).alias("runs"))
+    of_doc = cut(of_doc.union(copies.select("doc_id", "tkey", F.array(F.struct(F.lit(0).alias("i"), F.lit(-1).alias("lines"))))), "runs")
+    size = of_doc.agg(F.coalesce(F.sum(F.size("runs") + 2), F.lit(0)).alias("n")).first()["n"]
+    doc, text_key, found = fresh(docs, "doc", "text_key", "runs")
+    of_doc = of_doc.select(F.col("doc_id").alias(doc), F.col("tkey").alias(text_key), F.col("runs").alias(found))
+    kept = docs.select(*[c for c in docs.columns if c != "lines_deleted"])
+    hit = kept["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(kept["text"].cast("string")) == F.col(text_key))
+    joined = kept.join(F.broadcast(of_doc) if size <= 2 * few else of_doc, hit, "left")
     lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_deleted"]
-    return joined.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).alias("lines_deleted"))
+    words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
+    (count,) = fresh(joined, "words_of_lines")
+    joined = joined.withColumn(count, F.when(F.col(found).isNotNull(), words))
+    length = lambda r: F.when(r["lines"] < 0, F.size(count)).otherwise(r["lines"])
+    total = lambda r: F.aggregate(F.slice(F.col(count), r["i"] + 1, r["lines"]), F.lit(0), lambda a, x: a + x)
+    whole = F.transform(F.col(found), lambda r: F.struct(r["i"].alias("i"), length(r).cast("int").alias("lines")))
+    joined = joined.withColumn(found, whole).withColumn(found, F.filter(F.col(found), lambda r: total(r) >= min_words))
+    (left,) = fresh(joined, "lines_left")
+    covered = F.flatten(F.transform(F.col(found), lambda r: F.sequence(r["i"], r["i"] + r["lines"] - 1)))
+    joined = joined.withColumn(left, F.when(F.size(found) > 0, F.array_except(F.sequence(F.lit(0), F.size(count) - 1), covered)))
+    text = F.when(F.col(left).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in kept.columns]
+    return joined.select(*columns, F.when(F.col(left).isNull(), 0).otherwise(F.size(count) - F.size(left)).cast("int").alias("lines_deleted"))
