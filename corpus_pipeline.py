@@ -50,4 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.clear(spark, keep=1)  # what the stage wrote on its way isn't needed any more
     return STAGES[-1][1](spark, docs, sf_dir)

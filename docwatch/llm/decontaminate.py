@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import cut
+from docwatch.llm.common import cut, fresh
 from docwatch.llm.shingles import U, column_bytes, shingle_sets, slices, word_hashes
 
 
@@ -115,6 +115,7 @@ def containments(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the rows in which an item is found; columns unchanged."""
-    found = containments(docs, items, width, percent).select(F.col("doc_id").alias("d__"), F.col("dkey").alias("k__")).distinct()
-    keyed = docs.withColumn("dkey__", F.xxhash64("text"))
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d__")) & (F.col("dkey__") == F.col("k__")), "left_anti").select(*docs.columns)
+    d, k = fresh(docs, "d", "k")
+    found = containments(docs, items, width, percent).select(F.col("doc_id").alias(d), F.col("dkey").alias(k)).distinct()
+    held = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(k))
+    return docs.join(found, held, "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import cut, if_small
+from docwatch.llm.common import cut, fresh, if_small
 
 #: Rows of a bucket, at least; and how many buckets there are at most, besides one for each source and size class.
 BUCKET, BUCKETS = 256, 20_000
@@ -84,14 +84,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     The counts are found on narrow rows; the texts move once, to meet them. Rows equal in doc_id, source and text are told apart by a number.
     """
-    key = ["mix_doc", "mix_src", "mix_text"]
+    doc, src, text, nth, copies, copy = fresh(docs, "doc", "src", "text_key", "nth", "copies", "copy")
+    key = [doc, src, text]
     again = Window.partitionBy(*key).orderBy(F.lit(0))
-    taken = sample(docs, **how).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("mix_doc"), F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("mix_src"), "mix_text", "mix_copies")
-    taken = taken.withColumn("mix_nth", F.row_number().over(again)).where("mix_copies > 0")
-    full = docs.withColumns({
-        "mix_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-        "mix_src": F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")),
-        "mix_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
-    })
-    full = full.withColumn("mix_nth", F.row_number().over(again)).join(taken, [*key, "mix_nth"])
-    return full.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    taken = sample(docs, **how).select(named.alias(doc), source.alias(src), F.col("mix_text").alias(text), F.col("mix_copies").alias(copies))
+    taken = taken.withColumn(nth, F.row_number().over(again)).where(F.col(copies) > 0)
+    full = docs.withColumns({doc: named, src: source, text: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    full = full.withColumn(nth, F.row_number().over(again)).join(taken, [*key, nth])
+    return full.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

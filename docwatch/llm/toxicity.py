@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docwatch.llm.common import fresh
 from docwatch.llm.shingles import slices
 
 ORDER, DECAY, SHARE, LONGEST, STEP = 3, 0.7, 0.9, 18, 9
@@ -476,5 +477,6 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """`docs` without those that score `threshold` or more; columns unchanged."""
-    scored = score(docs, train(docs, labels), "toxicity__")
-    return scored.where(F.col("toxicity__") < threshold).select(*docs.columns)
+    (name,) = fresh(docs, "toxicity")
+    scored = score(docs, train(docs, labels), name)
+    return scored.where(F.col(name) < threshold).select(*docs.columns)
