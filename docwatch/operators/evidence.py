@@ -34,15 +34,15 @@ def relationships(found: DataFrame, roots: DataFrame) -> DataFrame:
     return found.join(roots, "case_id").join(F.broadcast(rules), ["root_type", "entity_type"]).select("case_id", "root_type", "root_value", "entity_type", "normalized_value", "relation")
 
 
-def confidence(evidence: DataFrame, keys: list[str], as_of: Column, exact_match: Column | None = None) -> DataFrame:
-    """Per keys: score and factors. One, two, three sources .30 .20 .15; exact match .15; seen in the last 90 days .05; mean trust of the sources at least .70 .05."""
+def confidence(evidence: DataFrame, keys: list[str], as_of: Column, exact_match: Column | None = None, agreement: Column | None = None) -> DataFrame:
+    """Per keys: score and factors. One, two, three sources .30 .20 .15; exact match .15; name and company agree in a source .10; seen in the last 90 days .05; mean trust of the sources at least .70 .05."""
     spark = evidence.sparkSession
     trust = spark.createDataFrame(list(RELIABILITY.items()), "source_name string, trust double")
-    per = evidence.groupBy(*keys, "source_name").agg(F.max("observed_at").alias("seen"), *([F.max(exact_match).alias("exact")] if exact_match is not None else []))
+    per = evidence.groupBy(*keys, "source_name").agg(F.max("observed_at").alias("seen"), *[F.max(c).alias(n) for c, n in ((exact_match, "exact"), (agreement, "agree")) if c is not None])
     per = per.join(F.broadcast(trust), "source_name", "left").withColumn("trust", F.coalesce("trust", F.lit(0.5)))
-    g = per.groupBy(*keys).agg(F.count("*").alias("sources"), F.max("seen").alias("seen"), F.avg("trust").alias("trust"), (F.max("exact") if exact_match is not None else F.lit(False)).alias("exact"))
+    g = per.groupBy(*keys).agg(F.count("*").alias("sources"), F.max("seen").alias("seen"), F.avg("trust").alias("trust"), *[(F.lit(False) if c is None else F.coalesce(F.max(n), F.lit(False))).alias(n) for c, n in ((exact_match, "exact"), (agreement, "agree"))])
     recent = F.col("seen") >= as_of - F.expr("INTERVAL 90 DAY")
-    parts = [(F.col("sources") >= 1, 0.30, "direct"), (F.col("sources") >= 2, 0.20, "second"), (F.col("sources") >= 3, 0.15, "third"), (F.col("exact"), 0.15, "exact"), (recent, 0.05, "recent"), (F.col("trust") >= 0.70, 0.05, "reliable")]
+    parts = [(F.col("sources") >= 1, 0.30, "direct"), (F.col("sources") >= 2, 0.20, "second"), (F.col("sources") >= 3, 0.15, "third"), (F.col("exact"), 0.15, "exact"), (F.col("agree"), 0.10, "agreement"), (recent, 0.05, "recent"), (F.col("trust") >= 0.70, 0.05, "reliable")]
     score = F.bround(F.least(F.lit(1.0), sum((F.when(c, F.lit(w)).otherwise(0.0) for c, w, _ in parts), F.lit(0.0))), 4)
     return g.select(*keys, "sources", score.alias("score"), F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, _, n in parts])).alias("factors"))
 

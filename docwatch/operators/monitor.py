@@ -117,8 +117,14 @@ def _rates(strategy: str) -> list[Column]:
 
 
 def domain_profile(outcomes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """What is learned of each domain (or other keys): attempts, successes, means, blocks. Means are of the values that are there."""
+    """What is learned of each domain (or other keys): attempts, successes, means, blocks. Means are of the values that are there.
+
+    With a column `completeness` also its mean and number, with `comparison` (of the two strategies' captures of a page) how often each was better.
+    """
     o = with_category(outcomes)
+    more = [F.avg("completeness").alias("avg_completeness"), F.count("completeness").alias("completeness_observations")] if "completeness" in o.columns else []
+    if "comparison" in o.columns:
+        more += [F.count_if(F.col("comparison") == v).alias(v) for v in ("browser_superior", "http_superior", "browser_equivalent")]
     return o.groupBy(*(keys or ["domain"])).agg(
         *_rates("http"),
         *_rates("browser"),
@@ -129,6 +135,7 @@ def domain_profile(outcomes: DataFrame, keys: list[str] | None = None) -> DataFr
         F.count_if(F.col("category").isin(*BLOCKED)).alias("blocked"),
         F.count_if(F.col("category") == "soft_blocked").alias("soft_blocked"),
         F.max("ts").alias("last_observed_at"),
+        *more,
     )
 
 
@@ -171,21 +178,32 @@ def health_score(profile: DataFrame, min_observations: int = 5) -> DataFrame:
     return profile.withColumns({"health": F.when(few, F.lit(50.0)).otherwise(score), "insufficient_data": few})
 
 
-def _from_history(p: str, least: int) -> Column:
-    """browser, http or null (too little history) by the counters with prefix `p`."""
-    c = lambda name: F.coalesce(F.col(f"{p}{name}"), F.lit(0))
+def _from_history(p: str, least: int, has: list[str]) -> tuple[Column, Column]:
+    """(browser, http or null (too little history); why), by the counters with prefix `p`. Counters that a profile doesn't have count as 0.
+
+    The first rule that holds decides: browser better in 60 percent of the compared captures, low quality, low completeness, soft blocks, failures.
+    """
+    c = lambda name: F.coalesce(F.col(f"{p}{name}"), F.lit(0)) if name in has else F.lit(0)
     n = c("http_attempts") + c("browser_attempts")
     failing = F.when(c("http_attempts") > 0, 1 - c("http_successes") / c("http_attempts")).otherwise(F.lit(0.0))
     unread = F.when(c("http_successes") > 0, c("http_extraction_failures") / c("http_successes")).otherwise(F.lit(0.0))
     viable = (c("browser_attempts") == 0) | (c("browser_successes") / c("browser_attempts") > 0.5)
-    poor = (c("quality_observations") >= least) & (c("avg_extraction_quality") < 0.4) & (c("http_attempts") >= least)
-    soft = (c("http_attempts") >= least) & (c("soft_blocked") / c("http_attempts") > 0.3)
-    up = viable & (poor | soft | (failing > 0.6) | (unread > 0.6))
-    return F.when(n < least, F.lit(None)).when(n.isNull(), F.lit(None)).otherwise(F.when(up, "browser").otherwise("http"))
+    compared = c("browser_superior") + c("http_superior") + c("browser_equivalent")
+    tried = c("http_attempts") >= least
+    poor = tried & (c("quality_observations") >= least) & (c("avg_extraction_quality") < 0.4)
+    partial = tried & (c("completeness_observations") >= least) & (c("avg_completeness") < 0.4)
+    soft = tried & (c("soft_blocked") / c("http_attempts") > 0.3)
+    why = (
+        F.when((compared >= least) & (c("browser_superior") / compared >= 0.6), F.array(F.lit("browser_superior"))).when(poor, F.array(F.lit("low_quality"))).when(partial, F.array(F.lit("low_completeness")))
+        .when(soft, F.array(F.lit("soft_blocks"))).otherwise(F.array_compact(F.array(F.when(unread > 0.6, "extraction_failures"), F.when(failing > 0.6, "http_failures"))))
+    )
+    why = F.when(viable, why).otherwise(F.array().cast("array<string>"))
+    known = F.coalesce(n, F.lit(0)) >= least
+    return F.when(known, F.when(F.size(why) > 0, "browser").otherwise("http")), F.when(known, F.when(F.size(why) > 0, why).otherwise(F.array(F.lit("http_suffices"))))
 
 
 def routing_decision(requests: DataFrame, domains: DataFrame, patterns: DataFrame, min_observations: int = 5) -> DataFrame:
-    """`requests` (domain, pattern, requested, js_required) with strategy and basis.
+    """`requests` (domain, pattern, requested, js_required) with strategy, basis and reasons.
 
     Precedence: what was asked for, the pattern's history, the domain's, a script-driven page, plain HTTP.
     `domains` and `patterns` are profiles by domain and by (domain, pattern).
@@ -193,11 +211,12 @@ def routing_decision(requests: DataFrame, domains: DataFrame, patterns: DataFram
     d = domains.select("domain", *[F.col(c).alias(f"d_{c}") for c in domains.columns if c != "domain"])
     p = patterns.select("domain", "pattern", *[F.col(c).alias(f"p_{c}") for c in patterns.columns if c not in ("domain", "pattern")])
     r = requests.join(d, "domain", "left").join(p, ["domain", "pattern"], "left")
-    by_p, by_d = _from_history("p_", min_observations), _from_history("d_", min_observations)
+    (by_p, why_p), (by_d, why_d) = _from_history("p_", min_observations, patterns.columns), _from_history("d_", min_observations, domains.columns)
     asked = F.when(F.col("requested") != "auto", F.col("requested"))
     script = F.when(F.col("js_required"), "browser")
     basis = F.when(asked.isNotNull(), "explicit").when(by_p.isNotNull(), "url_pattern").when(by_d.isNotNull(), "domain").when(script.isNotNull(), "js_heuristic").otherwise("default")
-    return r.select(*requests.columns, F.coalesce(asked, by_p, by_d, script, F.lit("http")).alias("strategy"), basis.alias("basis"))
+    why = F.when(asked.isNotNull(), F.array(F.lit("asked_for"))).otherwise(F.coalesce(why_p, why_d, F.when(script.isNotNull(), F.array(F.lit("js_required"))), F.array(F.lit("no_history"))))
+    return r.select(*requests.columns, F.coalesce(asked, by_p, by_d, script, F.lit("http")).alias("strategy"), basis.alias("basis"), why.alias("reasons"))
 
 
 def capabilities(patterns: DataFrame) -> DataFrame:

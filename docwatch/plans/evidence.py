@@ -43,15 +43,15 @@ _TRUST = "CASE source_name WHEN 'phonenumbers' THEN 0.99 WHEN 'holehe' THEN 0.80
 
 @query(
     "evidence_confidence",
-    f"""WITH p AS (SELECT case_id, {_NV} AS v, source_name, max(observed_at) AS seen FROM ({_E}) GROUP BY ALL),
-    g AS (SELECT case_id, v, count(*) AS sources, max(seen) AS seen, avg({_TRUST}) AS trust FROM p GROUP BY ALL),
+    f"""WITH p AS (SELECT case_id, {_NV} AS v, source_name, max(observed_at) AS seen, bool_or(evidence_id % 97 = 0) AS exact, bool_or(evidence_id % 41 = 0) AS agree FROM ({_E}) GROUP BY ALL),
+    g AS (SELECT case_id, v, count(*) AS sources, max(seen) AS seen, bool_or(exact) AS exact, bool_or(agree) AS agree, avg({_TRUST}) AS trust FROM p GROUP BY ALL),
     f AS (SELECT *, seen >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY AS recent FROM g)
-    SELECT case_id, v AS normalized_value, sources, round_even(least(1.0, 0.3 + (sources >= 2)::INT * 0.2 + (sources >= 3)::INT * 0.15 + recent::INT * 0.05 + (trust >= 0.7)::INT * 0.05), 4)::DOUBLE AS score,
-    list_filter(['direct', CASE WHEN sources >= 2 THEN 'second' END, CASE WHEN sources >= 3 THEN 'third' END, CASE WHEN recent THEN 'recent' END, CASE WHEN trust >= 0.7 THEN 'reliable' END], lambda x: x IS NOT NULL) AS factors FROM f""",
+    SELECT case_id, v AS normalized_value, sources, round_even(least(1.0, 0.3 + (sources >= 2)::INT * 0.2 + (sources >= 3)::INT * 0.15 + exact::INT * 0.15 + agree::INT * 0.10 + recent::INT * 0.05 + (trust >= 0.7)::INT * 0.05), 4)::DOUBLE AS score,
+    list_filter(['direct', CASE WHEN sources >= 2 THEN 'second' END, CASE WHEN sources >= 3 THEN 'third' END, CASE WHEN exact THEN 'exact' END, CASE WHEN agree THEN 'agreement' END, CASE WHEN recent THEN 'recent' END, CASE WHEN trust >= 0.7 THEN 'reliable' END], lambda x: x IS NOT NULL) AS factors FROM f""",
 )
 def evidence_confidence(spark, sf):
     ev = _evidence(spark, sf).withColumn("normalized_value", E.entity_value(F.col("value")))
-    return E.confidence(ev, ["case_id", "normalized_value"], F.lit("2024-04-10").cast("timestamp_ntz"))
+    return E.confidence(ev, ["case_id", "normalized_value"], F.lit("2024-04-10").cast("timestamp_ntz"), F.col("evidence_id") % 97 == 0, F.col("evidence_id") % 41 == 0)
 
 
 @query("evidence_by_site", f"SELECT case_id, {_SITE} AS site, min(evidence_id) AS first_evidence, array_to_string(list_sort(list(DISTINCT source_name)), '+') AS source_name, count(*) AS n FROM ({_E}) GROUP BY ALL")

@@ -58,14 +58,29 @@ def provenance(spark, sf):
     return X.provenance(table(spark, sf, "documents"), "doc_id", {"lang": ("html", 0.5), "source": ("url", 0.9)}, "generic")
 
 
+#: What a preflight of each domain finds, and its sample attempts, from the outcomes.
+_CHECKS = """SELECT domain, count(*) AS n, count(*) % 7 > 0 AS reachable, CASE WHEN count(*) % 3 = 0 THEN 200 WHEN count(*) % 3 = 1 THEN 404 END AS status_code, max(outcome_id) % 4 > 0 AS fetch_allowed, min(outcome_id) % 2 = 0 AS sitemap,
+    count(*) % 5 > 1 AS feed, count(*) % 26 AS internal_links, max(outcome_id) % 3 = 0 AS js_required, count(*) % 4 > 0 AS http_extracted, CASE WHEN max(outcome_id) % 5 > 1 THEN max(outcome_id) % 5 > 2 END AS browser_succeeded,
+    max(outcome_id) % 2 = 0 AS browser_improved, CASE WHEN count(*) % 6 > 2 THEN 'text/html; charset=utf-8' WHEN count(*) % 6 > 0 THEN 'application/json' END AS content_type, CASE WHEN min(outcome_id) % 9 = 0 THEN 'reset' END AS http_error FROM o GROUP BY domain"""
+_TRIED = "SELECT domain, success AS fetched, extraction_ok AS extracted, CASE WHEN outcome_id % 400 = 4 THEN 'cut off' END AS error FROM o WHERE quality > 0.9 OR error IS NOT NULL"
+
+
 @query(
     "capability_scores",
-    f"""WITH o AS ({duck(FETCH_OUTCOMES, 'events')}), g AS (SELECT domain, count(*) AS n, avg((outcome_id % 3 > 0)::INT) AS d, avg(success::INT) AS f, avg(extraction_ok::INT) AS e, avg((strategy = 'browser')::INT) AS r FROM o GROUP BY 1)
-    SELECT domain, n AS samples, round_even(d * 30 + f * 30 + e * 30 + (1 - r) * 10, 1)::DOUBLE AS score, CASE WHEN n >= 20 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM g""",
+    f"""WITH o AS ({duck(FETCH_OUTCOMES, 'events')}), c AS ({_CHECKS}), a AS (SELECT domain, count(*) AS samples, count(*) FILTER (fetched) AS f, count(*) FILTER (fetched AND extracted) AS x, bool_or(error IS NOT NULL) AS err FROM ({_TRIED}) GROUP BY 1),
+    p AS (SELECT c.*, coalesce(samples, 0) AS samples, coalesce(err, false) OR http_error IS NOT NULL AS errors,
+      round_even(CASE WHEN sitemap THEN 40 ELSE 0 END + CASE WHEN feed THEN 30 ELSE 0 END + least(30.0, internal_links / 20 * 30), 0)::INT AS discovery,
+      CASE WHEN NOT reachable THEN 0 WHEN fetch_allowed THEN CASE WHEN status_code = 200 THEN 100 ELSE 40 END WHEN status_code = 200 THEN 50 ELSE 40 END AS fetched,
+      round_even(CASE WHEN coalesce(f, 0) > 0 THEN x / f * 100 ELSE 0 END, 0)::INT AS extraction,
+      CASE WHEN NOT js_required AND http_extracted THEN 100 WHEN browser_succeeded IS NULL THEN CASE WHEN js_required THEN 50 ELSE 80 END WHEN NOT browser_succeeded THEN 30 WHEN browser_improved THEN 90 ELSE 70 END AS rendering,
+      CASE WHEN NOT reachable THEN 0 WHEN content_type LIKE 'text/html%' THEN 100 WHEN content_type IS NOT NULL THEN 60 ELSE 40 END AS kind FROM c LEFT JOIN a USING (domain))
+    SELECT domain, samples, discovery, fetched AS "fetch", extraction, rendering, kind AS content_type, round_even(discovery * 0.30::DOUBLE + fetched * 0.25::DOUBLE + extraction * 0.25::DOUBLE + rendering * 0.10::DOUBLE + kind * 0.10::DOUBLE, 0)::INT AS score,
+    CASE WHEN samples >= 8 AND NOT errors THEN 'high' WHEN samples >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM p""",
 )
 def capability_scores(spark, sf):
     o = bind(spark, sf, FETCH_OUTCOMES, "events")
-    return X.capability_score(o.select("domain", (F.col("outcome_id") % 3 > 0).alias("discovered"), F.col("success").alias("fetched"), F.col("extraction_ok").alias("extracted"), (F.col("strategy") == "browser").alias("rendered")))
+    of = lambda sql: spark.sql(sql.replace("FROM o", "FROM {o}"), o=o)
+    return X.capability_score(of(_CHECKS), of(_TRIED))
 
 
 @query(

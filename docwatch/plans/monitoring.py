@@ -132,21 +132,31 @@ def health_scores(spark, sf):
     return M.health_score(M.domain_profile(_outcomes(spark, sf))).select("domain", "insufficient_data", "health")
 
 
+#: How complete a capture was, and which strategy's capture of a page was better, for some domains.
+_SEEN = """CASE WHEN domain IN ('d7.example.org', 'd8.example.org') AND success THEN (outcome_id % 5) / 8.0 WHEN domain = 'd2.example.org' THEN 0.9 END AS completeness,
+    CASE WHEN domain = 'd1.example.org' THEN CASE WHEN outcome_id % 3 > 0 THEN 'browser_superior' ELSE 'http_superior' END WHEN domain = 'd2.example.org' THEN CASE WHEN outcome_id % 2 > 0 THEN 'browser_superior' ELSE 'browser_equivalent' END END AS comparison"""
+_MORE = ", avg(completeness) AS avg_completeness, count(completeness) AS completeness_observations, count(*) FILTER (comparison = 'browser_superior') AS browser_superior, count(*) FILTER (comparison = 'http_superior') AS http_superior, count(*) FILTER (comparison = 'browser_equivalent') AS browser_equivalent FROM"
+
+
 @query(
     "routing_decisions",
-    f"""WITH {_OC}, q AS (SELECT *, {_PATTERN} AS pattern FROM o), d AS ({_profile_sql('domain')}), p AS ({_profile_sql('domain, pattern').replace('FROM o', 'FROM q')}),
+    f"""WITH {_OC}, q AS (SELECT *, {_SEEN}, {_PATTERN} AS pattern FROM o), d AS ({_profile_sql('domain').replace(' FROM o', _MORE + ' q')}), p AS ({_profile_sql('domain, pattern').replace(' FROM o', _MORE + ' q')}),
     h AS (SELECT 'd' AS lvl, domain, NULL AS pattern, * EXCLUDE (domain) FROM d UNION ALL SELECT 'p', domain, pattern, * EXCLUDE (domain, pattern) FROM p),
-    v AS (SELECT lvl, domain, pattern, CASE WHEN http_attempts + browser_attempts < 5 THEN NULL WHEN (browser_attempts = 0 OR browser_successes / browser_attempts > 0.5) AND (
-       (quality_observations >= 5 AND coalesce(avg_extraction_quality, 0) < 0.4 AND http_attempts >= 5)
-       OR (CASE WHEN http_attempts > 0 THEN 1 - http_successes / http_attempts ELSE 0 END > 0.6) OR (CASE WHEN http_successes > 0 THEN http_extraction_failures / http_successes ELSE 0 END > 0.6)) THEN 'browser' ELSE 'http' END AS s FROM h),
+    x AS (SELECT *, browser_superior + http_superior + browser_equivalent AS cmp, browser_attempts = 0 OR browser_successes / browser_attempts > 0.5 AS viable, CASE WHEN http_attempts > 0 THEN 1 - http_successes / http_attempts ELSE 0 END > 0.6 AS failing,
+      CASE WHEN http_successes > 0 THEN http_extraction_failures / http_successes ELSE 0 END > 0.6 AS unread FROM h),
+    y AS (SELECT *, CASE WHEN NOT viable THEN []::VARCHAR[] WHEN cmp >= 5 AND browser_superior / cmp >= 0.6 THEN ['browser_superior'] WHEN http_attempts >= 5 AND quality_observations >= 5 AND avg_extraction_quality < 0.4 THEN ['low_quality']
+      WHEN http_attempts >= 5 AND completeness_observations >= 5 AND avg_completeness < 0.4 THEN ['low_completeness'] WHEN http_attempts >= 5 AND soft_blocked / http_attempts > 0.3 THEN ['soft_blocks']
+      ELSE list_filter([CASE WHEN unread THEN 'extraction_failures' END, CASE WHEN failing THEN 'http_failures' END], lambda v: v IS NOT NULL) END AS w FROM x),
+    v AS (SELECT lvl, domain, pattern, CASE WHEN http_attempts + browser_attempts < 5 THEN NULL WHEN len(w) > 0 THEN 'browser' ELSE 'http' END AS s, CASE WHEN len(w) > 0 THEN w ELSE ['http_suffices'] END AS w FROM y),
     r AS (SELECT DISTINCT domain, pattern, CASE WHEN domain = 'd3.example.org' THEN 'browser' ELSE 'auto' END AS requested, domain = 'd9.example.org' AS js_required FROM q
           UNION ALL SELECT 'new' || (user_id % 3) || '.example.org', '/x', 'auto', user_id % 3 = 0 FROM (SELECT DISTINCT user_id % 3 AS user_id FROM events))
     SELECT r.domain, r.pattern, r.requested, r.js_required, coalesce(CASE WHEN requested <> 'auto' THEN requested END, vp.s, vd.s, CASE WHEN js_required THEN 'browser' END, 'http') AS strategy,
-    CASE WHEN requested <> 'auto' THEN 'explicit' WHEN vp.s IS NOT NULL THEN 'url_pattern' WHEN vd.s IS NOT NULL THEN 'domain' WHEN js_required THEN 'js_heuristic' ELSE 'default' END AS basis
+    CASE WHEN requested <> 'auto' THEN 'explicit' WHEN vp.s IS NOT NULL THEN 'url_pattern' WHEN vd.s IS NOT NULL THEN 'domain' WHEN js_required THEN 'js_heuristic' ELSE 'default' END AS basis,
+    CASE WHEN requested <> 'auto' THEN ['asked_for'] WHEN vp.s IS NOT NULL THEN vp.w WHEN vd.s IS NOT NULL THEN vd.w WHEN js_required THEN ['js_required'] ELSE ['no_history'] END AS reasons
     FROM r LEFT JOIN v vp ON vp.lvl = 'p' AND vp.domain = r.domain AND vp.pattern = r.pattern LEFT JOIN v vd ON vd.lvl = 'd' AND vd.domain = r.domain""",
 )
 def routing_decisions(spark, sf):
-    o = _with_pattern(_outcomes(spark, sf))
+    o = spark.sql(f"SELECT *, {_SEEN} FROM {{o}}", o=_with_pattern(_outcomes(spark, sf)))
     known = o.select("domain", "pattern").distinct()
     known = known.select("domain", "pattern", F.when(F.col("domain") == "d3.example.org", "browser").otherwise("auto").alias("requested"), (F.col("domain") == "d9.example.org").alias("js_required"))
     k = (F.split_part(F.split_part("domain", F.lit("."), F.lit(1)), F.lit("d"), F.lit(2)).cast("int") % 3).alias("k")
