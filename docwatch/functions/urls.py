@@ -15,7 +15,7 @@ SINKS = (
     "login logout signin sign-in signout sign-out register signup sign-up password forgot-password reset-password"
     " account accounts cart checkout wishlist my-account auth oauth sso"
 ).split()
-SINK_PATH = r"(?i)/(?:login|logout|signin|sign-?in|signout|sign-?out|register|signup|sign-?up|password|forgot-?password|reset-?password|account|cart|checkout|wishlist|my-?account|auth|oauth|sso)(?:/|$|\?)"
+SINK_PATH = rf"(?i)/(?:{'|'.join(s.replace('-', '-?') for s in SINKS if s != 'accounts')})(?:/|$|\?)"
 #: Hosts of the forum and of its short links, and of the channel service.
 FORUM_HOSTS = "reddit.com www.reddit.com old.reddit.com new.reddit.com np.reddit.com amp.reddit.com m.reddit.com sh.reddit.com".split()
 SHORT_HOSTS = "redd.it www.redd.it".split()

@@ -68,6 +68,6 @@ def duplicate_of(df: DataFrame, key: str = "doc_id", body: str = "text", order:
 
 
 def keep_oldest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by `order`."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn__", F.row_number().over(w)).where("rn__ = 1").drop("rn__")
+    """The first row of each key by `order`, of equal ones any. Keys travel as a hash, and each task sends on one row of a key, however many copies there are."""
+    key = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    return df.groupBy(key.alias("k")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")

@@ -29,8 +29,14 @@ NOT_MONITORED = "error access_denied not_found join_request_required join_reques
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of `batch` to insert: one of each key, those with a key in `target` left out."""
-    return batch.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti")
+    """The rows of `batch` to insert: one of each key (the least by the other columns, so a rerun takes the same), those with a key in `target` left out.
+
+    How many were duplicates is the number of rows of `batch` less those of the result. Rows with a null in a key are never in `target`.
+    """
+    rest = [c for c in batch.columns if c not in keys]
+    sortable = [c for c in rest if not batch.schema[c].dataType.typeName() in ("map", "variant")]
+    one = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*sortable)).alias("r")).select(*keys, "r.*").select(*batch.columns) if sortable else batch.dropDuplicates(keys)
+    return one.join(target.select(*keys).distinct(), keys, "left_anti")
 
 
 def normalize_messages(raw: DataFrame, channel: Column) -> DataFrame:

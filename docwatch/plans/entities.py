@@ -92,8 +92,8 @@ def upserted_entities(spark, sf):
     return H.upsert_entities(H.upsert_entities(none, e.where("event_id % 2 = 0").drop("event_id")), e.where("event_id % 2 = 1").drop("event_id"))
 
 
-_STORY = """d AS (SELECT event_id AS doc_id, ts AS seen_at, event_type, 'e' || user_id AS entity_id FROM events WHERE event_id % 10 = 0), s AS (SELECT user_id % 40 AS story_id, max(ts) AS last_activity FROM events WHERE event_id % 10 = 5 GROUP BY 1),
-se AS (SELECT DISTINCT user_id % 40 AS story_id, 'e' || user_id AS entity_id FROM events WHERE event_id % 10 = 5)"""
+_STORY = """d AS (SELECT event_id AS doc_id, ts AS seen_at, event_type, 'e' || user_id AS entity_id FROM events), s AS (SELECT story_id, t + story_id * INTERVAL 18 HOUR AS last_activity FROM (SELECT user_id % 40 AS story_id, min(ts) AS t FROM events GROUP BY 1)),
+se AS (SELECT DISTINCT user_id % 40 AS story_id, 'e' || user_id AS entity_id FROM events UNION SELECT DISTINCT (user_id + 1) % 40, 'e' || user_id FROM events)"""
 
 
 @query(
@@ -104,10 +104,11 @@ se AS (SELECT DISTINCT user_id % 40 AS story_id, 'e' || user_id AS entity_id FRO
 def story_candidates(spark, sf):
     e = table(spark, sf, "events")
     ent = F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("entity_id")
-    d, s = e.where("event_id % 10 = 0"), e.where("event_id % 10 = 5")
     kind = F.when(F.col("event_type") == "click", "FORUM_THREAD").when(F.col("event_type") == "purchase", "CLASSIFIED_LISTING").otherwise("NEWS_ARTICLE")
-    stories = s.groupBy((F.col("user_id") % 40).alias("story_id")).agg(F.max("ts").alias("last_activity"))
-    return H.story_candidates(d.select(F.col("event_id").alias("doc_id"), F.col("ts").alias("at"), kind.alias("page_type")), stories, d.select(F.col("event_id").alias("doc_id"), ent), s.select((F.col("user_id") % 40).alias("story_id"), ent).distinct())
+    story = (F.col("user_id") % 40).alias("story_id")
+    stories = e.groupBy(story).agg(F.min("ts").alias("t")).select("story_id", (F.col("t") + F.make_dt_interval(hours=(F.col("story_id") * 18).cast("int"))).alias("last_activity"))
+    of = e.select(story, ent).union(e.select(((F.col("user_id") + 1) % 40).alias("story_id"), ent)).distinct()
+    return H.story_candidates(e.select(F.col("event_id").alias("doc_id"), F.col("ts").alias("at"), kind.alias("page_type")), stories, e.select(F.col("event_id").alias("doc_id"), ent), of)
 
 
 @query(

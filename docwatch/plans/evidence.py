@@ -105,20 +105,21 @@ def evidence_report(spark, sf):
     return p.na.fill(0)
 
 
-_JOBS = "SELECT user_id AS case_id, CASE WHEN user_id % 4 = 0 OR event_type IN ('view', 'click') THEN 'COMPLETED' WHEN event_type = 'error' OR user_id % 5 = 1 THEN 'UNAVAILABLE' ELSE 'FAILED' END AS status FROM events WHERE user_id % 9 <> 0 AND (event_id % 20 = 0 OR user_id % 4 = 0)"
+_JOBS = "SELECT user_id AS case_id, CASE WHEN user_id % 4 = 0 THEN 'COMPLETED' WHEN user_id % 7 = 3 THEN 'UNAVAILABLE' WHEN user_id % 7 = 5 AND event_type = 'error' THEN 'UNAVAILABLE' WHEN user_id % 7 = 5 THEN 'FAILED' WHEN event_type IN ('view', 'click') THEN 'COMPLETED' ELSE 'FAILED' END AS status FROM events"
 
 
 @query(
     "final_status",
     f"""WITH j AS ({_JOBS}), g AS (SELECT case_id, bool_and(status = 'COMPLETED') AS a, bool_or(status = 'COMPLETED') AS s, bool_and(status = 'UNAVAILABLE') AS n FROM j GROUP BY 1)
-    SELECT c.case_id, CASE WHEN c.case_id % 13 = 0 THEN 'CANCELLED' WHEN a IS NULL OR a THEN 'COMPLETED' WHEN s THEN 'PARTIAL' WHEN n THEN 'UNAVAILABLE' ELSE 'FAILED' END AS status FROM (SELECT DISTINCT user_id AS case_id FROM events) c LEFT JOIN g USING (case_id)""",
+    SELECT c.case_id, CASE WHEN c.case_id % 13 = 0 THEN 'CANCELLED' WHEN a IS NULL OR a THEN 'COMPLETED' WHEN s THEN 'PARTIAL' WHEN n THEN 'UNAVAILABLE' ELSE 'FAILED' END AS status FROM (SELECT DISTINCT user_id AS case_id FROM events UNION SELECT DISTINCT user_id + 100000 FROM events) c LEFT JOIN g USING (case_id)""",
 )
 def final_status(spark, sf):
     e = table(spark, sf, "events")
     u = F.col("user_id")
-    st = F.when((u % 4 == 0) | F.col("event_type").isin("view", "click"), "COMPLETED").when((F.col("event_type") == "error") | (u % 5 == 1), "UNAVAILABLE").otherwise("FAILED")
-    jobs = e.where("user_id % 9 <> 0 AND (event_id % 20 = 0 OR user_id % 4 = 0)").select(u.alias("case_id"), st.alias("status"))
-    cases = e.select(u.alias("case_id")).distinct().withColumn("cancelled", F.col("case_id") % 13 == 0)
+    error = F.col("event_type") == "error"
+    st = F.when(u % 4 == 0, "COMPLETED").when((u % 7 == 3) | (u % 7 == 5) & error, "UNAVAILABLE").when((u % 7 == 5) | ~F.col("event_type").isin("view", "click"), "FAILED").otherwise("COMPLETED")
+    jobs = e.select(u.alias("case_id"), st.alias("status"))
+    cases = e.select(u.alias("case_id")).union(e.select(u + 100_000)).distinct().withColumn("cancelled", F.col("case_id") % 13 == 0)
     return E.final_status(jobs, cases)
 
 
@@ -158,7 +159,7 @@ def purged_cases(spark, sf):
 
 @query(
     "expanded_graph",
-    f"""WITH RECURSIVE e AS ({_E}), l AS (SELECT DISTINCT case_id, 'n' || evidence_id % 37 AS src, 'n' || (evidence_id * 3 + 1) % 37 AS dst FROM e WHERE evidence_id % 3 = case_id % 3),
+    f"""WITH RECURSIVE e AS ({_E}), l AS (SELECT DISTINCT case_id, 'n' || evidence_id % 37 AS src, 'n' || (evidence_id * 3 + 1) % 37 AS dst FROM e),
     w AS (SELECT DISTINCT case_id, 'n' || case_id AS value, 0 AS depth FROM e UNION SELECT w.case_id, l.dst, depth + 1 FROM w JOIN l ON l.case_id = w.case_id AND l.src = w.value WHERE depth < 2)
     SELECT case_id, value, min(depth) AS depth FROM w GROUP BY ALL""",
 )
@@ -166,6 +167,6 @@ def expanded_graph(spark, sf):
     ev = _evidence(spark, sf)
     n = lambda x: F.concat(F.lit("n"), x.cast("string"))
     i = F.col("evidence_id")
-    links = ev.where("evidence_id % 3 = case_id % 3").select("case_id", n(i % 37).alias("src"), n((i * 3 + 1) % 37).alias("dst")).distinct()
+    links = ev.select("case_id", n(i % 37).alias("src"), n((i * 3 + 1) % 37).alias("dst")).distinct()
     roots = ev.select("case_id").distinct().withColumn("root_value", n(F.col("case_id")))
     return E.expand_graph(roots, links, 2)

@@ -41,7 +41,7 @@ def robots_rules(spark, sf):
 
 @query(
     "discovered_urls",
-    f"""WITH s AS (SELECT url, page_id AS ord FROM pages WHERE page_id % 3 = 0), f AS (SELECT {HOST} AS feed, url, page_id AS ord FROM pages WHERE page_id % 2 = 0),
+    f"""WITH s AS (SELECT url, page_id AS ord FROM pages), f AS (SELECT {HOST} AS feed, CASE WHEN page_id % 2 = 0 THEN url ELSE url || '/new' END AS url, page_id AS ord FROM pages),
     g AS (SELECT url, ord FROM f QUALIFY row_number() OVER (PARTITION BY feed ORDER BY ord) <= 3), b AS (SELECT url, 0 AS r, ord, 'sitemap' AS origin FROM s UNION ALL SELECT url, 1, ord, 'feed' FROM g)
     SELECT {HOST} AS domain, url, arg_min(origin, (r, ord)) AS origin FROM b GROUP BY url""",
 )
@@ -49,8 +49,9 @@ def discovered_urls(spark, sf):
     from docwatch.functions import urls as U
 
     p = table(spark, sf, "pages")
-    feeds = p.where("page_id % 2 = 0").select(U.extract_domain(F.col("url")).alias("feed"), "url", F.col("page_id").alias("ord"))
-    return A.discovery_union(p.where("page_id % 3 = 0").select("url", F.col("page_id").alias("ord")), feeds, 3)
+    said = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/new")))
+    feeds = p.select(U.extract_domain(F.col("url")).alias("feed"), said.alias("url"), F.col("page_id").alias("ord"))
+    return A.discovery_union(p.select("url", F.col("page_id").alias("ord")), feeds, 3)
 
 
 @query("languages")

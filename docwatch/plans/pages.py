@@ -43,10 +43,18 @@ def repeated_items(spark, sf):
     return P.repeated_items(_nodes(spark, sf)).select("page_id", "tag", "items")
 
 
-@query("content_lists", "SELECT NULL::BIGINT AS page_id, NULL::BIGINT AS items, NULL::BIGINT AS text_length WHERE false")
+@query(
+    "content_lists",
+    "SELECT page_id, 2::BIGINT AS items, (length('First item of page ' || page_id) + length('second item'))::BIGINT AS text_length, CASE WHEN page_id % 2 = 0 THEN 'Part ' || page_id END AS own_heading FROM pages UNION ALL SELECT page_id, 3, (2 * length('See the whole long story behind the number ' || page_id) + 4)::BIGINT, 'Part ' || page_id FROM pages WHERE page_id % 2 = 0",
+)
 def content_lists(spark, sf):
-    # the lists of the given pages are all menus, so none is left
-    return P.page_lists(_nodes(spark, sf)).select("page_id", "items", "text_length")
+    # the lists of the given pages are all menus; each page gets lists of items, of long and of short links, and one in a footer
+    i, even = F.col("page_id").cast("string"), F.col("page_id") % 2 == 0
+    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    links = c("<ol><li><a href=/s>See the whole long story behind the number ", i, "</a><li><a href=/t>See the whole long story behind the number ", i, "</a><li>more</ol>")
+    more = c(F.when(even, c("<h3>Part ", i, "</h3>")).otherwise(""), "<ul><li>First item of page ", i, "<li>second item</ul><ul><li><a href=/a>Home</a><li><a href=/b>About</a></ul><footer><ul><li>one thing<li>another thing</ul></footer>", F.when(even, links).otherwise(""))
+    found = P.page_lists(P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", F.concat("html", more).alias("html"))))
+    return found.select("page_id", "items", "text_length", F.when(F.col("heading").startswith("Part "), F.col("heading")).alias("own_heading"))
 
 
 @query("main_texts")
@@ -62,14 +70,14 @@ def js_dependency(spark, sf):
 
 @query(
     "soft_blocks",
-    rf"""WITH p AS (SELECT page_id, substring(html, 1, 20000) AS h, page_id * 7 % 300 AS n FROM pages), q AS (SELECT page_id, n, CASE page_id % 6 WHEN 0 THEN h || ' Access Denied ' WHEN 1 THEN h || '<input name=x type="password">' WHEN 2 THEN h || ' Page not found ' WHEN 3 THEN h || ' cookie consent ' ELSE h END AS h FROM p)
+    rf"""WITH p AS (SELECT page_id, html AS h, page_id * 7 % 300 AS n FROM pages), q AS (SELECT page_id, n, CASE page_id % 6 WHEN 0 THEN ' Access Denied ' || h WHEN 1 THEN '<input name=x type="password">' || h WHEN 2 THEN ' Page not found ' || h WHEN 3 THEN ' cookie consent ' || h ELSE h END AS h FROM p)
     SELECT page_id, CASE WHEN regexp_matches(substring(h, 1, 20000), '(?i){P.CHALLENGE.replace("'", "''")}') THEN 'BOT_CHALLENGE' WHEN regexp_matches(substring(h, 1, 20000), '(?i)<input[^>]+type=["'']?password') THEN 'LOGIN_REQUIRED'
     WHEN regexp_matches(substring(h, 1, 20000), '(?i){P.ERROR.replace("'", "''")}') AND n < 240 THEN 'ERROR_PAGE' WHEN regexp_matches(substring(h, 1, 20000), '(?i){P.CONSENT}') AND n < 80 THEN 'CONSENT_WALL' WHEN n < 80 THEN 'THIN_SHELL' ELSE 'REAL_CONTENT' END AS verdict FROM q""",
 )
 def soft_blocks(spark, sf):
     p = table(spark, sf, "pages")
-    k, h = F.col("page_id") % 6, F.substring("html", 1, 20000)
-    more = F.when(k == 0, F.concat(h, F.lit(" Access Denied "))).when(k == 1, F.concat(h, F.lit('<input name=x type="password">'))).when(k == 2, F.concat(h, F.lit(" Page not found "))).when(k == 3, F.concat(h, F.lit(" cookie consent "))).otherwise(h)
+    k, h = F.col("page_id") % 6, F.col("html")
+    more = F.when(k == 0, F.concat(F.lit(" Access Denied "), h)).when(k == 1, F.concat(F.lit('<input name=x type="password">'), h)).when(k == 2, F.concat(F.lit(" Page not found "), h)).when(k == 3, F.concat(F.lit(" cookie consent "), h)).otherwise(h)
     body = F.expr("repeat('x', cast(page_id * 7 % 300 as int))")
     return p.select("page_id", P.soft_block(more, body, F.lit(None).cast("double"))["verdict"].alias("verdict"))
 

@@ -43,7 +43,7 @@ def read_sitemaps(spark: SparkSession, path: str, roots: DataFrame, most: int =
     for _ in range(depth):
         level = level.withColumn("file", name(F.col("loc"))).select("root", "file").join(indexes, "file").select("root", "loc")
         reached = reached.unionByName(level)
-    found = reached.withColumn("file", name(F.col("loc"))).select("root", "file").distinct().join(urls, "file").dropDuplicates(["root", "loc"])
+    found = reached.withColumn("file", name(F.col("loc"))).select("root", "file").distinct().join(urls, "file").groupBy("root", "loc").agg(F.max("lastmod").alias("lastmod"))
     n = F.row_number().over(Window.partitionBy("root").orderBy("loc"))
     all_of = F.count("*").over(Window.partitionBy("root"))
     return found.withColumns({"n": n, "truncated": all_of > most}).where(F.col("n") <= most).select("root", F.trim("loc").alias("loc"), F.to_date(F.substring("lastmod", 1, 10)).alias("lastmod"), "truncated")
