@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from docwatch.operators import feeds, messages
 from docwatch.operators.monitor import BLOCKED, OPEN_AT, with_category
@@ -26,18 +28,52 @@ def drain(df: DataFrame, each: Callable[[DataFrame, int], None] | None, checkpoi
     return q
 
 
+def _table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table at `path`; without rows where it isn't there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def _before(path: str, batch_id: int, spark: SparkSession, schema) -> DataFrame:
+    """The rows that batches before `batch_id` wrote to `path` (a folder for each batch)."""
+    known = T.StructType([*(f for f in schema.fields if f.name != "batch"), T.StructField("batch", T.LongType())])
+    return _table(spark, path, known).where(F.col("batch") < batch_id).drop("batch")
+
+
+def _put(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch to its own folder: a batch that is run again after a crash replaces what it wrote before."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
 def collect(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
-    """Append the rows of each batch whose keys the target table doesn't have yet."""
+    """Add to the target table (a folder for each batch) the rows of each batch whose keys it doesn't have yet."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema(batch.schema).parquet(target)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.limit(0)
-        messages.insert_ignore(known, batch, keys).write.mode("append").parquet(target)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        known = _before(target, batch_id, batch.sparkSession, batch.schema)
+        _put(messages.insert_ignore(known, batch, keys), target, batch_id)
+
+    drain(stream, put, checkpoint)
+
+
+def stream_changes(stream: DataFrame, versions: str, checkpoint: str, key: str = "normalized_url", at: str = "collected_at") -> None:
+    """Add to the version table the versions that each batch of captures brings: NEW pages and UPDATED ones, as `append_versions` tells them.
+
+    stream: key, `at`, content_hash, blocked and columns to keep. The captures of a page within a batch are taken in order of time: of neighbours with one hash the
+    first counts, and so does none that repeats the last version known. Batches must come in order of time. Each batch has a folder of its own, so a batch run again adds nothing twice.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        new = batch.where("NOT blocked").drop("blocked")
+        schema = T.StructType([*new.schema.fields, T.StructField("status", T.StringType()), T.StructField("version", T.LongType())])
+        known = _before(versions, batch_id, batch.sparkSession, schema)
+        latest = known.groupBy(key).agg(F.max("version").alias("last_version"), F.max_by("content_hash", "version").alias("last_hash"))
+        w = Window.partitionBy(key).orderBy(at, "content_hash")  # the captures of one page in one batch
+        j = new.join(latest, key, "left").withColumn("before", F.coalesce(F.lag("content_hash").over(w), F.col("last_hash")))
+        j = j.where(F.col("before").isNull() | (F.col("before") != F.col("content_hash")))
+        n = F.coalesce("last_version", F.lit(0).cast("long")) + F.row_number().over(w)
+        j = j.withColumn("status", F.when(F.col("before").isNull(), "NEW").otherwise("UPDATED")).withColumn("version", n.cast("long"))
+        _put(j.select(*new.columns, "status", "version"), versions, batch_id)
 
     drain(stream, put, checkpoint)
 
@@ -112,19 +148,19 @@ def circuit(stream: DataFrame, key: str = "domain", most_delay: float = 30_000.0
 
 
 def split_late(stream: DataFrame, at: str, delay_seconds: int, kept: str, late: str, checkpoint: str) -> None:
-    """Write rows to `kept`, or to `late` if they are older than the newest time of the batches before less the delay. Both together are the input."""
-    newest: dict[str, object] = {}
+    """Write rows to `kept`, or to `late` if they are older than the newest time of the batches before less the delay. Both together are the input.
+
+    The newest time is read off the tables, where the batches before wrote it, so it outlives restarts; a batch run again replaces its own rows.
+    """
 
-    def put(batch: DataFrame, _: int) -> None:
-        b = batch.persist()
-        bound = newest.get("at")
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [_before(p, batch_id, spark, batch.schema).agg(F.max(at)).first()[0] for p in (kept, late)]
+        bound = max((t for t in before if t is not None), default=None)
         cut = F.lit(None).cast("timestamp") if bound is None else F.lit(bound) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(delay_seconds)))
         is_late = F.coalesce(F.col(at) < cut, F.lit(False))
-        b.where(~is_late).write.mode("append").parquet(kept)
-        b.where(is_late).write.mode("append").parquet(late)
-        top = b.agg(F.max(at)).first()[0]
-        newest["at"] = max(x for x in (bound, top) if x is not None) if bound or top else None
-        b.unpersist()
+        _put(batch.where(~is_late), kept, batch_id)
+        _put(batch.where(is_late), late, batch_id)
 
     drain(stream, put, checkpoint)
 
