@@ -9,8 +9,10 @@
    with several versions, the one of least hash stands for it. Lines travel as 64-bit hashes.
 3. The two pages' lines are aligned by their longest common subsequence; aligned lines are
    shared by the site and deleted. What remains outside furniture is the text. Where the page marks an article container, its text is
-   the lines of the container, and there sharing decides nothing: mirrored articles, quotes and
-   licence lines repeat between neighbours, and deleting them would drop text of the article.
+   the lines of the container, and differencing deletes from them what the neighbours on both sides share (the nearest earlier and the nearest later
+   address with other lines) at the container's ends, where at least half of the host's pages hold the line: the sign-up box or link list that a
+   site puts above or below each article. Other lines inside an article stay, as quotes and licence lines repeat between neighbours, too; and
+   a neighbour that shares half of the container is a mirrored article and no evidence.
 
 Results: null or empty html gives an empty text; a page without a neighbour is taken as it is; a null or odd
 URL counts as a host of its own; repeated pages each get a row and the same text (a page with the same address or the same
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import cut
+from docwatch.llm.common import cut, if_small
 
 #: Elements of HTML by their role here.
 RAW = "script|style|template|textarea|iframe|title"
@@ -131,7 +133,7 @@ def lines(html: str) -> list[tuple[int, str]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
+def shared(a: list, b: list) -> set[int]:
     """Places in `a` of a longest common subsequence of the lines of `a` and `b`."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -146,7 +148,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     if not x:
         return out
     # bit-parallel table: row i has bit j set where the best length grows at line j
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, v in enumerate(y):
         where[v] = where.get(v, 0) | 1 << j
     full, v, rows = (1 << len(y)) - 1, (1 << len(y)) - 1, []
@@ -167,13 +169,32 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def gone_from(own: list, may: list[bool], marked: bool, before: list | None, after: list | None) -> list[int]:
+    """Places of `own` whose lines the neighbours show to be the site's, among those that `may` be text."""
+    if not marked:
+        near = before if before is not None else after
+        return sorted(i for i in shared(own, near) if may[i]) if near is not None else []
+    if before is None or after is None:
+        return []
+    inside = [i for i, m in enumerate(may) if m]
+    both = set(inside)
+    for near in (before, after):
+        alike = shared(own, near) & set(inside)
+        if 2 * len(alike) >= len(inside):
+            return []
+        both &= alike
+    head = next((k for k, i in enumerate(inside) if i not in both), len(inside))
+    tail = next((k for k, i in enumerate(reversed(inside)) if i not in both), len(inside))
+    return inside[:head] + inside[len(inside) - tail :]
+
+
 def text_of(page: list[tuple[int, str]], near: list[tuple[int, str]] | None) -> str:
-    """The page's text, given its neighbour's lines."""
-    if any(r == MAIN for r, _ in page):
-        return " ".join(t for r, t in page if r == MAIN)
-    own = [t for r, t in page]
-    gone = shared(own, [t for _, t in near]) if near is not None and [t for _, t in near] != own else set()
-    return " ".join(t for i, (r, t) in enumerate(page) if r == PLAIN and i not in gone)
+    """The text of a page's lines, given those of one neighbour."""
+    marked = any(r == MAIN for r, _ in page)
+    may = [r == (MAIN if marked else PLAIN) for r, _ in page]
+    own, other = [t for _, t in page], [t for _, t in near] if near is not None else None
+    gone = gone_from(own, may, marked, None if other == own else other, None)
+    return " ".join(t for i, (_, t) in enumerate(page) if may[i] and i not in gone)
 
 
 def line_key(text: str) -> int:
@@ -181,27 +202,33 @@ def line_key(text: str) -> int:
 
 
 def _read(batches):
-    """Each page's lines as hashes, the text if the mark-up decides it, else the lines that may stay (null where one may not)."""
+    """Each page's lines as hashes, whether each may be text, the texts of those, and whether the mark-up names a container."""
     for b in batches:
         out = []
         for html in b.column("html").to_pylist():
             page = lines(html or "")
             marked = any(r == MAIN for r, _ in page)
-            keys = [line_key(t) for _, t in page]
-            out.append((keys, text_of(page, None) if marked else None, None if marked else [t if r == PLAIN else None for r, t in page]))
-        kinds = (pa.list_(pa.int64()), pa.string(), pa.list_(pa.string()))
+            role = MAIN if marked else PLAIN
+            out.append(([line_key(t) for _, t in page], [r == role for r, _ in page], [t for r, t in page if r == role], marked))
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.bool_())
         columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
         names = ["page_id", "url", "host", "path", "query"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "lines", "text", "plain"])
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "lines", "may", "texts", "marked"])
 
 
 def _differenced(batches):
+    """host, path, query, h, marked, gone, key: the number (among those that may be text) and hash of each line to delete."""
     for b in batches:
-        texts = []
-        for own, near, plain in zip(*(b.column(c).to_pylist() for c in ("lines", "near", "plain"))):
-            gone = shared(own, near) if near is not None else set()
-            texts.append(" ".join(t for i, t in enumerate(plain) if t is not None and i not in gone))
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        at, gone, keys = [], [], []
+        for row, (own, may, *rest) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lines", "may", "marked", "near_before", "near_after")))):
+            number = {i: n for n, i in enumerate(i for i, m in enumerate(may) if m)}
+            for i in gone_from(own, may, *rest):
+                at.append(row)
+                gone.append(number[i])
+                keys.append(own[i])
+        names = ["host", "path", "query", "h", "marked"]
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(n).take(rows) for n in names), pa.array(gone, pa.int32()), pa.array(keys, pa.int64())], [*names, "gone", "key"])
 
 
 def neighbours(addresses: DataFrame) -> DataFrame:
@@ -215,10 +242,11 @@ def neighbours(addresses: DataFrame) -> DataFrame:
     order = Window.partitionBy("host", "bucket").orderBy("path", "query")
     me = F.struct("path", "query", "r")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # what follows is what went before in the other order; a frame that ends with the partition would be read anew for each row
+    back = Window.partitionBy("host", "bucket").orderBy(F.desc("path"), F.desc("query")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = ranged.withColumn("before1", F.lag(me).over(order)).withColumn("after1", F.lead(me).over(order))
     near = near.withColumn("p", F.last(F.when(F.col("before1.r") != F.col("r"), F.col("before1")), True).over(so_far))
-    near = near.withColumn("n", F.first(F.when(F.col("after1.r") != F.col("r"), F.col("after1")), True).over(from_here))
+    near = near.withColumn("n", F.last(F.when(F.col("after1.r") != F.col("r"), F.col("after1")), True).over(back))
     near = near.withColumn("before2", F.lag("p").over(order)).withColumn("after2", F.lead("n").over(order))
     ends = near.groupBy("host", "bucket").agg(F.max(F.struct("path", "query", "r", "p")).alias("z"), F.min(F.struct("path", "query", "r", "n")).alias("a"))
     ends = ends.select("host", "bucket", "z.p", "a.n", F.struct("z.path", "z.query", "z.r").alias("z"), F.struct("a.path", "a.query", "a.r").alias("a"))
@@ -227,7 +255,7 @@ def neighbours(addresses: DataFrame) -> DataFrame:
     p = F.coalesce("p", F.when(F.col("c1.r") != F.col("z.r"), F.col("c1")))
     n = F.coalesce("n", F.when(F.col("d1.r") != F.col("a.r"), F.col("d1")))
     ends = ends.withColumn("p", F.last(p, True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ends = ends.withColumn("n", F.first(n, True).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    ends = ends.withColumn("n", F.last(n, True).over(Window.partitionBy("host").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ends = ends.select("host", "bucket", "c1", "d1", F.lag("p").over(by).alias("c2"), F.lead("n").over(by).alias("d2"))
 
     def second(one, two, out1, out2):
@@ -249,18 +277,27 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), r"/$", "")
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), query.alias("query"), F.col("html").cast("string").alias("html"))
-    read = rows.mapInArrow(_read, "page_id long, url string, host string, path string, query string, lines array<long>, text string, plain array<string>")
-    read = cut(read.withColumn("h", F.xxhash64("lines")), "pages-read")
+    read = rows.mapInArrow(_read, "page_id long, url string, host string, path string, query string, lines array<long>, may array<boolean>, texts array<string>, marked boolean")
+    read = read.withColumn("h", F.xxhash64("lines", "may"))
     address = ["host", "path", "query"]
-    done = read.where("text IS NOT NULL").select("page_id", "url", "text")
-    asked = read.where("text IS NULL")
+    # until the texts are read again at the end all is narrow: hashes of the lines of each distinct version of a page
+    versions = cut(read.groupBy(*address, "h").agg(F.first("lines").alias("lines"), F.first("may").alias("may"), F.first("marked").alias("marked")), "versions")
+    near = neighbours(versions.groupBy(*address).agg(F.min(F.xxhash64("lines")).alias("r")))
+    of = lambda *cs: F.coalesce(*[F.when(F.col(f"{c}.r") != F.xxhash64("lines"), F.col(c)) for c in cs])
+    pairs = versions.join(near.drop("r"), address).withColumns({"before": of("before1", "before2"), "after": of("after1", "after2")})
+    for side in ("before", "after"):
+        every = versions.groupBy("host", F.struct("path", "query", F.xxhash64("lines").alias("r")).alias(side)).agg(F.first("lines").alias(f"near_{side}"))
+        pairs = pairs.join(every, ["host", side], "left")
+    pairs = pairs.select(*address, "h", "lines", "may", "marked", "near_before", "near_after").where("near_before IS NOT NULL OR near_after IS NOT NULL")
+    found = cut(pairs.mapInArrow(_differenced, "host string, path string, query string, h long, marked boolean, gone int, key long"), "found")
+    asked = cut(found.where("marked").select("host", "key").distinct(), "asked")
     if asked.take(1):
-        near = neighbours(read.groupBy(*address).agg(F.min("h").alias("r")))
-        wanted = asked.select(*address, "h").distinct().join(near.drop("r"), address)
-        of = lambda c: F.when(F.col(f"{c}.r") != F.col("h"), F.col(c))
-        wanted = wanted.withColumn("to", F.coalesce(of("before1"), of("before2"), of("after1"), of("after2"))).where("to IS NOT NULL")
-        wanted = wanted.select(*address, "h", F.struct("host", "to").alias("to"))
-        every = read.groupBy(F.struct("host", F.struct("path", "query", F.col("h").alias("r")).alias("to")).alias("to")).agg(F.first("lines").alias("near"))
-        found = wanted.join(every, "to").select(*address, "h", "near")
-        done = done.union(asked.join(found, [*address, "h"], "left").select("page_id", "url", "lines", "near", "plain").mapInArrow(_differenced, "page_id long, url string, text string"))
+        holds = versions.select("host", F.explode(F.array_distinct("lines")).alias("key")).join(if_small(asked), ["host", "key"])
+        pages_of = versions.groupBy("host").agg(F.count("*").alias("all"))
+        site = holds.groupBy("host", "key").agg(F.count("*").alias("n")).join(pages_of, "host").where("2 * n >= all").select("host", "key", "n")
+        found = found.join(site, ["host", "key"], "left").where("NOT marked OR n IS NOT NULL")
+    found = if_small(cut(found.groupBy(*address, "h").agg(F.collect_list("gone").alias("gone")), "gone"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("texts") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    text = F.when(F.size("texts") == 0, "").otherwise(F.array_join(F.transform(keep, lambda i: F.get("texts", i)), " "))
+    done = read.select("page_id", "url", *address, "h", "texts").join(found, [*address, "h"], "left").select("page_id", "url", text.alias("text"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
