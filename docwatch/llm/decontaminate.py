@@ -2,14 +2,15 @@
 
 An item is found in a document if the document holds at least percent/100 of the item's
 distinct shingles (five words, A-Z lower-cased; an item of fewer words is one shingle of them all, looked for
-at that width). The items are partitioned by size. Of an item with q shingles the
-q - ceil(t q) + 1 smallest under one hash order (its bottom-k MinHash sketch) are the index: a
-document that holds t of the item must hold one of them, so the search misses none, however
-long the document is. Documents send only the shingles that occur in the sketch table and then, for candidates, those that
-occur in the item, which are counted exactly.
+at that width). The items are partitioned by size, in bands of a factor of 1.4. A band has its own sketch: the k smallest shingles under one hash
+order (bottom-k MinHash), k being 2 m + 1 for the m shingles that the largest item of the band may lack (all shingles of an item that has fewer).
+Of an item that may lack m' of its shingles a document that holds it holds k - m' of the sketch at least, which is the
+band's test for candidates: the search misses none, however long the document is. Documents send only the shingles
+that occur in the sketch table and then, for candidates, those that occur in an item, which are counted exactly.
 
-The sketch table goes to the tasks if it has at most `small` entries (its size is counted first);
-a larger benchmark is joined by shuffles of the documents' shingles that are not above the largest sketch value.
+The sketch table goes to the tasks if it has at most `small` entries of 8 bytes, the items' other shingles if they are at most four times as many (both
+are counted first, and fetched as Arrow columns); those of a
+larger benchmark are joined by shuffles of the documents' shingles that are not above the largest sketch value.
 
 Null or empty items are found nowhere, null or empty texts hold nothing, repeated items and documents each give
 their rows; extra columns are ignored.
@@ -28,6 +29,10 @@ from docwatch.llm.common import cut, fresh
 from docwatch.llm.shingles import U, column_bytes, shingle_sets, slices, word_hashes
 
 
+#: A band's largest size over its smallest.
+BAND = 1.4
+
+
 def _item_rows(width: int):
     def run(batches):
         for b in batches:
@@ -72,36 +77,43 @@ def _doc_rows(widths: list[int], wanted: np.ndarray | None, below: dict[int, int
     return run
 
 
-def containments(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, small: int = 2_000_000) -> DataFrame:
+def _column(grams: DataFrame) -> np.ndarray:
+    """The distinct shingles of `grams`, sorted; the caller has bounded their number."""
+    return np.sort(grams.select("h").distinct().toArrow().column("h").to_numpy().view(U))
+
+
+def containments(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, small: int = 500_000) -> DataFrame:
     """Pairs of document and item: doc_id, dkey (hash of the text), item_id, item_shingles, shared, containment."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = cut(items.withColumn("item_key", F.xxhash64("item_id", "text")).dropDuplicates(["item_key"]), "items")
     grams = items.select("item_key", "text").mapInArrow(_item_rows(width), "item_key long, width long, q long, h long")
     # bottom-k sketch: the place of each shingle in the item's hash order; one item is a bounded group
     order = Window.partitionBy("item_key").orderBy("h")
-    grams = grams.withColumn("place", F.row_number().over(order))
-    need = F.floor((F.col("q") * percent + 99) / 100).cast("long")
-    grams = cut(grams.withColumn("sketch", F.col("place") <= F.col("q") - need + 1), "grams")
+    lack = lambda q: F.floor(q * (100 - percent) / 100).cast("long")
+    grams = grams.withColumn("place", F.row_number().over(order)).withColumn("band", F.floor(F.log(F.col("q").cast("double")) / F.log(F.lit(BAND))))
+    largest = F.ceil(F.pow(F.lit(BAND), F.col("band") + 1)).cast("long")
+    k = F.least(F.col("q"), 2 * lack(largest) + 1)
+    grams = cut(grams.withColumns({"sketch": F.col("place") <= k, "least": k - lack(F.col("q"))}), "grams")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "dkey", "width", "h")])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where(F.col("text").isNotNull()).withColumn("dkey", F.xxhash64("text"))
     widths = sorted(r["width"] for r in grams.select("width").distinct().collect())  # at most `width` of them
     if grams.where("sketch").limit(small + 1).count() <= small:
-        table = np.sort(np.array([r["h"] for r in grams.where("sketch").select("h").distinct().collect()], np.int64).view(U))
+        table = _column(grams.where("sketch"))
         told = docs.sparkSession.sparkContext.broadcast(table)
         hits = docs.mapInArrow(lambda b: _doc_rows(widths, told.value, None)(b) if len(told.value) else iter(()), schema)
-        every_gram = grams.limit(20 * small + 1).count() <= 20 * small
+        every_gram = grams.limit(4 * small + 1).count() <= 4 * small
     else:
         below = {r["width"]: r["most"] for r in grams.where("sketch").groupBy("width").agg(F.max("h").alias("most")).collect()}
         hits, every_gram = docs.mapInArrow(_doc_rows(widths, None, below), schema), False
-    sketch = grams.where("sketch").select("h", "width", "item_key", "q")
-    pairs = hits.join(sketch, ["h", "width"]).groupBy("doc_id", "dkey", "item_key").agg(F.first("q").alias("q"), F.first("width").alias("width"))
-    pairs = cut(pairs, "pairs")
+    sketch = grams.where("sketch").select("h", "width", "item_key", "q", "least")
+    pairs = hits.join(sketch, ["h", "width"]).groupBy("doc_id", "dkey", "item_key").agg(F.first("q").alias("q"), F.first("width").alias("width"), F.first("least").alias("least"), F.count("*").alias("c"))
+    pairs = cut(pairs.where("c >= least").drop("c", "least"), "pairs")
     # exact count: all shingles of the candidate documents that any item has
     found = docs.join(pairs.select(F.col("doc_id").alias("d"), F.col("dkey").alias("k")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dkey") == F.col("k")), "left_semi")
     found = found.dropDuplicates(["doc_id", "dkey"])
     if every_gram:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in grams.select("h").distinct().collect()], np.int64).view(U)))
+        known = docs.sparkSession.sparkContext.broadcast(_column(grams))
         held = found.mapInArrow(lambda b: _doc_rows(widths, known.value, None)(b) if len(known.value) else iter(()), schema)
     else:
         held = found.mapInArrow(_doc_rows(widths, None, None), schema)
