@@ -9,13 +9,17 @@ Finding every link (Jaccard of the distinct shingle sets >= percent/100), lossle
    row (chunk fingerprint, class) goes out for each chunk: no pair is formed yet.
 2. Exact copies share one class (the fingerprint of the whole set) from the start.
 3. In each chunk group the least class is the leader; (leader, member) are the first
-   candidates, a number linear in the rows. Bitmaps (1024 parity bits a set) bound the
+   candidates, a number linear in the rows. Groups that are very frequent in a sample are salted, their leaders taken from the salts' leaders. Bitmaps (1024 parity bits a set) bound the
    overlap from above by bit counts; survivors get the exact intersection of sorted arrays.
 4. Components of these links. Where a chunk group still holds several components, the members outside the largest meet a
    few members of that (others in each group, so a link between two components is soon found). Where several
-   are left after that, all pairs across components, and no others, are tested; of groups of many sets (a chunk
-   of one shingle that many texts share) only the sets that have too few chunks elsewhere need be. Pairs within one component
-   can't change the result, so components are exact while copies are never expanded into all pairs.
+   are left after that, in groups of at most CROWD sets the pairs across components are tested. In crowded groups (a chunk
+   of one shingle that many texts share) a set that has enough chunks in other groups meets each partner there. The others are keyed anew, so
+   that candidates stay linear in the rows: a small set by its subsets that a link may leave in common (of the sets that
+   hold such a subset the one with fewest other shingles links with all whose common part it is, so a leader is enough); a larger set by its rarest shingles, of which
+   linked sets share one, and where that is crowded, too, by two, three and four of them, as long as these chains are fewer than the pairs they save; pairs across
+   components are tested only in what is left.
+   Pairs within one component can't change the result, so components are exact while copies are never expanded into all pairs.
 
 Nulls and empty texts have an empty set and link with nothing. Repeated rows each get a row. Extra columns
 are ignored (of the result the columns are fixed). Rows of the same doc_id are told apart by text.
@@ -26,6 +30,7 @@ from __future__ import annotations
 import bisect
 import math
 from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import components, cut, if_small
+from docwatch.llm.common import components, cut, fresh, if_small
 from docwatch.llm.shingles import U, column_bytes, mix, text_shingles
 
 BITS = 1024
@@ -41,6 +46,10 @@ BITS = 1024
 BRIDGES, HOSTS = 1, 8
 #: Sets in a chunk group from which on it counts as crowded.
 CROWD = 64
+#: Subset keys of a small set at most; shingles that a chain of rare shingles has at most, and chains of one set at most.
+SUBSETS, CHAIN, CHAINS = 300, 4, 2000
+#: One text in so many is looked at to find frequent chunk groups, of which so many at most are salted so many ways. This changes the plan only.
+LOOK, HOT, SALTS = 64, 1000, 64
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -123,6 +132,43 @@ def _spare(s: np.ndarray, percent: int) -> list[int]:
     return out
 
 
+def _common(n: int, percent: int) -> int:
+    """Shingles that a set of n shares with a linked one at least."""
+    return -(-n * percent // 100)
+
+
+@lru_cache(None)
+def small_sizes(percent: int) -> tuple[int, int]:
+    """(largest size of a small set, largest size of a set linked with one): what both sides key by subsets."""
+    out = (0, 0)
+    for n in range(1, 65):
+        top = n * 100 // percent
+        if sum(math.comb(top, r) for r in range(top - _common(top, percent) + 1)) > SUBSETS:
+            break
+        out = (n, top)
+    return out
+
+
+def _subset_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """A fingerprint of each subset that a linked set may have in common with this one."""
+    value = mix(s ^ U(0x94D049BB133111EB))
+    whole, keys = value.sum(dtype=U), []
+    for r in range(s.size - _common(s.size, percent) + 1):
+        gone = np.array(list(combinations(range(s.size), r)), np.int64).reshape(math.comb(s.size, r), r)
+        keys.append(mix(whole - value[gone].sum(1, dtype=U) + U(s.size - r)))
+    return np.concatenate(keys)
+
+
+def _subsets(percent: int):
+    def run(batches):
+        for b in batches:
+            for c, arr in zip(b.column("cls"), b.column("arr")):
+                keys = _subset_keys(np.asarray(arr.values).view(U), percent).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(keys.size, c.as_py()))], ["key", "cls"])
+
+    return lambda batches: _merged(run(batches))
+
+
 def _profile(width: int, percent: int):
     def run(batches):
         for b in batches:
@@ -208,25 +254,33 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     reps = profile.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("spare").alias("spare"))
     reps = cut(reps.select("cls", "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"), "n", "bits", "spare"), "reps")
 
-    by_sig = Window.partitionBy("sig")
-    tiles = docs.select("text").mapInArrow(_tiles(width, percent), "sig long, cls long")
-    members = tiles.select("sig", "cls", F.min("cls").over(by_sig).alias("lead"), F.max("cls").over(by_sig).alias("last")).where("lead <> last")
-    members = cut(members.select("sig", "cls", "lead").distinct(), "members")
+    tiles = lambda d: d.select("text").mapInArrow(_tiles(width, percent), "sig long, cls long")
+    seen = tiles(docs.where(F.pmod(F.xxhash64("text"), F.lit(LOOK)) == 0)).distinct().groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWD)
+    hot = cut(seen.orderBy(F.desc("c"), "sig").limit(HOT).select("sig", F.lit(True).alias("hot")), "hot")
+    dealt = tiles(docs).join(F.broadcast(hot), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    by_sig = Window.partitionBy("sig", F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(0))
+    dealt = dealt.select("sig", "cls", "hot", F.min("cls").over(by_sig).alias("lead"), F.max("cls").over(by_sig).alias("last")).where("hot OR lead <> last")
+    dealt = cut(dealt.select("sig", "cls", "hot", "lead").distinct(), "dealt")
+    leads = dealt.where("hot").groupBy("sig").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead <> last").select("sig", "lead")
+    members = dealt.where("NOT hot").select("sig", "cls", "lead").union(dealt.where("hot").select("sig", "cls").join(F.broadcast(leads), "sig"))
 
     known: list[DataFrame] = []  # arrays of the classes met so far
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        info = reps.select("cls", "n", "bits")
-        of = lambda x: info.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-        live = cut(pairs.join(of("a"), "a").join(of("b"), "b").where(_possible(percent)).select("a", "b"), f"{name}-candidates")
-        wanted = live.select(F.col("a").alias("cls")).union(live.select(F.col("b").alias("cls"))).distinct()
+    def arrays_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(cls, arr) of the classes met so far and of those `wanted` (distinct)."""
         for k in known:
             wanted = wanted.join(k.select("cls"), "cls", "left_anti")
         wanted = if_small(cut(wanted.join(reps.select("cls", "rep_id", "rep_key"), "cls"), f"{name}-wanted"))
         texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("tkey") == F.col("rep_key"))).select("cls", "text")
         arrays = texts.mapInArrow(_arrays(width), "cls long, arr array<long>").groupBy("cls").agg(F.first("arr").alias("arr"))
         known.append(cut(arrays, f"{name}-arrays"))
-        every = reduce(DataFrame.union, known)
+        return reduce(DataFrame.union, known)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        info = reps.select("cls", "n", "bits")
+        of = lambda x: info.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        live = cut(pairs.join(of("a"), "a").join(of("b"), "b").where(_possible(percent)).select("a", "b"), f"{name}-candidates")
+        every = arrays_of(live.select(F.col("a").alias("cls")).union(live.select(F.col("b").alias("cls"))).distinct(), name)
         full = live.join(every.select(F.col("cls").alias("b"), F.col("arr").alias("arr_b")), "b").join(every.select(F.col("cls").alias("a"), F.col("arr").alias("arr_a")), "a")
         return cut(full.select("a", "b", "arr_a", "arr_b").mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
 
@@ -265,16 +319,47 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     in_crowd = rest.join(crowded, "sig").withColumn("band", band)
     spare = reps.select("cls", F.explode("spare").alias("s")).select("cls", F.shiftright("s", 32).alias("band"), F.col("s").bitwiseAND(F.lit((1 << 32) - 1)).alias("s"))
     thin = in_crowd.groupBy("cls", "band").agg(F.count("*").alias("c")).join(spare, ["cls", "band"]).where("c >= s").select("cls", "band")
-    still = rest.join(crowded, "sig", "left_anti").unionByName(in_crowd.join(thin, ["cls", "band"]).select(*rest.columns))
-    still = cut(still.join(sized, "cls"), "open-bits")
-    side = lambda x: still.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lead", "label", "n", "bits")))
-    # the leader was compared with every member before; only pairs across components remain
-    across = side("a").join(
-        side("b"),
-        (side("a")["sig"] == side("b")["sig"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("cls_a") != F.col("lead_a")) & _possible(percent),
-    )
-    more = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    more = cut(more.join(tried, ["a", "b"], "left_anti"), "more")
+    thin = cut(thin.select("cls").distinct(), "thin")
+    labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    def across(groups: DataFrame) -> DataFrame:
+        """Pairs of different components in the same group of `groups` (key, cls, label); the bitmaps of the distinct ones are compared later."""
+        side = lambda x: groups.select("key", F.col("cls").alias(x), F.col("label").alias(f"label_{x}"))
+        a, b = side("a"), side("b")
+        met = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+        return met.select("a", "b").distinct()
+
+    more = across(rest.join(crowded, "sig", "left_anti").withColumnRenamed("sig", "key"))
+    if thin.take(1):
+        every = cut(arrays_of(thin, "thin").join(thin, "cls").withColumn("size", F.size("arr")), "thin-sets")
+        small, top = small_sizes(percent)
+        deepest = min(CHAIN, _common(small + 1, percent))  # linked larger sets share so many shingles at least
+        keys = cut(every.where(F.col("size") <= top).select("cls", "arr").mapInArrow(_subsets(percent), "key long, cls long").join(sized.select("cls", "n"), "cls"), "subsets")
+        leads = keys.groupBy("key").agg(F.min(F.struct("n", "cls")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.cls").alias("lead"))
+        met = keys.join(leads, "key").where("cls <> lead")
+        more = more.union(met.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")))
+        rows = every.where(F.col("size") > small)
+        one = rows.select("cls", F.explode("arr").alias("s"))
+        rare = one.join(if_small(cut(one.groupBy("s").agg(F.count("*").alias("f")), "frequency")), "s")
+        prefix = (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")
+        order = Window.partitionBy("cls").orderBy("f", "s")
+        rare = rare.withColumn("at", F.row_number().over(order)).join(rows.select("cls", prefix.alias("p")), "cls").where(F.col("at") < F.col("p") + CHAIN)
+        rare = rare.groupBy("cls", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("e"))
+        chain = rare.select("cls", "p", "e", F.posexplode(F.slice("e", F.lit(1), F.col("p"))).alias("at", "key"))
+        for depth in range(1, deepest + 1):
+            chain = cut(chain, "chain")
+            # longer chains where they are fewer than the pairs, and not too many for the largest set; one answer for all sets of a group
+            most = F.lit(1.0)
+            for i in range(depth + 1):
+                most = most * (F.col("p") + depth - i) / (i + 1)
+            full = chain.groupBy("key").agg(F.count("*").alias("c"), F.max("p").alias("p")).where((F.col("c") > CROWD) & (8 * F.col("p") <= F.col("c")) & (most <= CHAINS))
+            full = if_small(cut(full.select("key"), "full"))
+            groups = chain if depth == deepest else chain.join(full, "key", "left_anti")
+            more = more.union(across(labelled(groups.select("key", "cls"))))
+            chain = chain.join(full, "key", "left_semi").select("cls", "p", "e", "key", "at", F.posexplode("e").alias("next", "s"))
+            chain = chain.where((F.col("next") > F.col("at")) & (F.col("next") < F.col("p") + depth))
+            chain = chain.select("cls", "p", "e", F.col("next").alias("at"), F.xxhash64("key", "s").alias("key"))
+    more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
     if more.take(1):
         extra = verified(more, "second")
         if extra.take(1):
@@ -298,10 +383,12 @@ def dedupe(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     found = classes(docs, width, percent)
     key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tkey"))
     kept = found.where("n_shingles > 0").groupBy("label").agg(F.min(key).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.tkey").alias("kept_key")).distinct()
-    one = docs.withColumn("tkey__", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rank = Window.partitionBy("doc_id", "tkey__").orderBy(F.lit(0))
-    has_words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    joined = one.where(has_words).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tkey__") == F.col("kept_key")))
-    joined = joined.withColumn("rank__", F.row_number().over(rank)).where("rank__ = 1")
+    kept_id, kept_key, text_key, nth = fresh(docs, "kept_id", "kept_key", "text_key", "nth")
+    kept = kept.select(F.col("k.doc_id").alias(kept_id), F.col("k.tkey").alias(kept_key)).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one = docs.withColumn(text_key, F.xxhash64(text))
+    rank = Window.partitionBy("doc_id", text_key).orderBy(F.lit(0))
+    has_words = text.rlike("[^\\x20\\x09-\\x0D]")
+    joined = one.where(has_words).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(text_key) == F.col(kept_key)))
+    joined = joined.withColumn(nth, F.row_number().over(rank)).where(F.col(nth) == 1)
     return joined.select(*docs.columns).unionByName(one.where(~has_words).select(*docs.columns))

@@ -76,6 +76,56 @@ def test_join_brute_force(spark, seed):
         assert joined(df, width, percent) == jaccard_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("crowd", [2, 8])
+def test_join_crowded_groups(spark, monkeypatch, crowd):
+    """Many short and middling texts that share a passage: groups crowded from a few sets on, frequent ones salted; components are those of all pairs."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "LOOK", 2)
+    monkeypatch.setattr(ngram_join, "BRIDGES", crowd == 2)
+    rng = random.Random(crowd)
+    shared, rows = words(rng, 9).split(), []
+    for g in range(130):
+        w = [*shared, *words(rng, rng.choice([0, 1, 2, 3, 4, 8, 12, 25]), 12).split()]
+        rows.append(" ".join(w))
+        for _ in range(rng.randrange(0, 2)):
+            v = list(w)
+            v[rng.randrange(len(v))] = f"e{rng.randrange(3)}"
+            rows.append(" ".join(v))
+    rows = [(n + 1, t) for n, t in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((4, 85), (3, 60)) if crowd == 2 else ((5, 80),):
+        assert joined(df, width, percent) == jaccard_components(rows, width, percent)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_leaders_of_subsets_join_all_links(percent):
+    """Small sets: each link is a path of (leader, member) pairs of common subset keys."""
+    rng = np.random.default_rng(percent)
+    small, top = ngram_join.small_sizes(percent)
+    pool = rng.integers(0, 2**63, top + 4).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, min(top, pool.size - rng.integers(0, 5)), replace=False)) for _ in range(60)]
+    groups, label = {}, list(range(len(sets)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    def linked(a, b):
+        both = np.intersect1d(sets[a], sets[b]).size
+        return 100 * both >= percent * (sets[a].size + sets[b].size - both)
+
+    for i, s in enumerate(sets):
+        for k in ngram_join._subset_keys(s, percent).tolist():
+            groups.setdefault(k, []).append(i)
+    for of in groups.values():
+        lead = min(of, key=lambda i: (sets[i].size, i))
+        for i in of:
+            if linked(lead, i):
+                label[find(i)] = find(lead)
+    assert all(find(a) == find(b) for a in range(len(sets)) for b in range(a) if linked(a, b))
+
+
 def test_chunks_never_miss():
     """Any two sets within the threshold share a chunk row."""
     rng = np.random.default_rng(3)
@@ -202,6 +252,44 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedupe(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_brute_force(spark):
+    """Deleted lines against all pairs of positions, with copies of whole texts, repeated rows, a very common line, clashing columns; broadcast and salted names."""
+    rng = random.Random(17)
+    pool = [" ".join(words(rng, rng.choice([1, 3, 8, 15]), 10**6).split()) for _ in range(9)] + [""]
+    docs = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.8 else words(rng, 12) for _ in range(rng.randrange(1, 16)))) for d in range(40)]
+    docs += [(90 + k, docs[k][1]) for k in range(6)] + [docs[3], docs[3], (3, docs[4][1]), (None, docs[5][1]), (None, None), (95, "")]
+    distinct = sorted({(d, t) for d, t in docs if t}, key=lambda r: (r[0] is not None, r[0] or 0))
+    keys = {r.t: r.k for r in spark.createDataFrame([(t,) for _, t in distinct], "t string").select("t", F.xxhash64("t").alias("k")).collect()}
+    distinct.sort(key=lambda r: (r[0] is not None, r[0] or 0, keys[r[1]]))
+    seqs, gone, seen = [t.split("\n") for _, t in distinct], {}, {}
+    for n, s in enumerate(seqs):
+        for i in range(len(s)):
+            best = 0
+            for j, _ in [(j, 0) for j in range(i)]:
+                k = 0
+                while i + k < len(s) and s[i + k] == s[j + k]:
+                    k += 1
+                best = max(best, k)
+            for e in seqs[:n]:
+                for j in range(len(e)):
+                    k = 0
+                    while i + k < len(s) and j + k < len(e) and s[i + k] == e[j + k]:
+                        k += 1
+                    best = max(best, k)
+            if sum(len(x.split()) for x in s[i : i + best]) >= 20:
+                gone.setdefault(n, set()).update(range(i, i + best))
+    for n, (d, t) in enumerate(distinct):
+        left = [x for i, x in enumerate(seqs[n]) if i not in gone.get(n, ())]
+        seen[d, t] = ("\n".join(left), len(seqs[n]) - len(left))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("gone", "doc", "text_key", "runs", "g_tkey_of", "lines_deleted")})
+    assert any(g for g in gone.values())
+    for few in (200_000, 0):
+        got = line_dedup.dedupe(df, 20, few)
+        assert set(got.columns) == set(df.columns)
+        rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "", r.lines_deleted) for r in got.collect()))
+        assert rows == sorted((d if d is not None else -1, *seen.get((d, t), (t or "", 0))) for d, t in docs)
+
+
 def test_longest_runs_brute_force(spark):
     """Maximal repeated runs of random line sequences, against all pairs of positions."""
     rng = random.Random(11)
@@ -235,6 +323,62 @@ def test_pii(spark, odd):
     assert pii.replace(odd).count() == odd.count()
 
 
+def test_pii_whole_corpus_brute_force(spark):
+    """Over a corpus: one surrogate for all mentions of an entity, no two entities with one, none that is itself an entity, formats kept; broadcast and joined exceptions."""
+    rng = random.Random(6)
+    given, family = ["John", "Jack", "Emily", "Sophie", "Adam", "Carl", "Rosa"], ["Smith", "Clark", "Li", "Ng", "Brown"]
+    rows, people = [], []
+    for n in range(150):
+        g, f = rng.choice(given), rng.choice(family)
+        people.append((("Mrs" if g in ("Emily", "Sophie", "Rosa") else "Mr"), g, f))
+        rows.append((n, f"{people[-1][0]} {g} {f} wrote from 10.0.{rng.randrange(3)}.{rng.randrange(9)}, +49 {rng.randrange(30, 34)} {rng.randrange(10**6, 10**6 + 40)}. Then {g} {f} left; {f} was gone, {g} too. a{rng.randrange(30)}@x.org"))
+    rows += [(900, None), (901, ""), (902, rows[0][1]), (902, rows[0][1]), (903, "x " * 40_000 + rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("tkey", "other", "entity", "text_key", "pii_entities")})
+    results = []
+    for few in (100_000, 0):
+        got = pii.replace(docs, b"k1", few)
+        assert set(got.columns) == set(docs.columns)
+        results.append(sorted((r.doc_id, r.text or "", r.pii_entities) for r in got.collect()))
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+    text_of = {i: t for i, t, _ in results[0]}
+    to, back = {}, {}
+    for i, old in rows:
+        if not old:
+            assert text_of[i] == ""
+            continue
+        found = pii.mentions(old)
+        at_old = at_new = 0
+        for start, end, entity, put in found:  # walk along both texts: what lies between mentions is unchanged
+            gap = old[at_old:start]
+            assert text_of[i][at_new : at_new + len(gap)] == gap
+            at_new += len(gap)
+            following = old[end : end + 2]
+            stop = text_of[i].index(following, at_new) if following else len(text_of[i])
+            if entity.startswith("name") and old[start:end].count(" ") == 2 or not entity.startswith("name"):
+                to.setdefault(entity, set()).add(text_of[i][at_new : stop])
+            at_old, at_new = end, stop
+    assert all(len(v) == 1 for v in to.values())
+    for entity, (value,) in ((e, tuple(v)) for e, v in to.items()):
+        assert back.setdefault(value, entity) == entity
+    for n, (title, g, f) in enumerate(people):
+        name = next(iter(to[f"name-{'f' if title == 'Mrs' else 'm'}:{g.lower()} {f.lower()}"])).split(" ")
+        assert name[1].lower() in pii.GIVEN["f" if title == "Mrs" else "m", "latin"]
+        assert text_of[n].count(" ".join(name[1:])) == 2 and f"; {name[2]} was gone, {name[1]} too" in text_of[n]
+    assert all(v.startswith("+49 ") for e, (v,) in ((e, tuple(v)) for e, v in to.items()) if e.startswith("phone"))
+    assert pii.replace(docs.limit(0)).count() == 0
+
+
+def test_pii_kinds():
+    found = lambda t: [m[2].partition(":")[0] for m in pii.mentions(t)]
+    text = "GB82 WEST 1234 5698 7654 32, 2001:db8::1, 123-45-6789, sk-abcdEFGH1234567890xyz, +44 20 7946 0958, 01 23 45 67 89, tel: 5551234567"
+    assert found(text) == ["iban", "ipv6", "id", "key", "phone", "phone", "phone"]
+    assert found("GB82 WEST 1234 5698 7654 33 at 12:30:45, 1234567890 times, a::b") == []
+    for start, end, entity, put in pii.mentions(text):
+        new = put(pii.next_of(entity, b"k"))
+        assert new != text[start:end] and found(new) == [entity.partition(":")[0]]
+    assert pii.mentions("Ask Herr Jonas Weiss. Weiss und Jonas kamen; Weissbier nicht.")[-1][1] == len("Ask Herr Jonas Weiss. Weiss und Jonas")
+
+
 def test_surrogates_are_distinct():
     seen = {}
     for n in range(3000):
@@ -253,6 +397,46 @@ def test_classifiers_odd_rows(spark, odd):
         assert m.score(odd.limit(0), m.train(odd, labels.limit(0))).count() == 0
 
 
+def test_string_kernel_against_enumeration():
+    """The kernel is the weighted count of all common subsequences, one by one."""
+    from itertools import combinations
+
+    def plain(a, b):
+        subs = lambda s: [("".join(s[i] for i in at), at[-1] - at[0] + 1) for at in combinations(range(len(s)), toxicity.ORDER)]
+        return sum(toxicity.DECAY ** (x + y) for p, x in subs(a) for q, y in subs(b) if p == q)
+
+    rng = random.Random(1)
+    some = ["".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    left, right = toxicity._codes(some[:30])[0], toxicity._codes(some[30:])[0]
+    want = [plain(a, b) for a, b in zip(some[:30], some[30:])]
+    assert np.allclose(toxicity.kernel(left, right), want, rtol=1e-4)
+
+
+def test_stems_count_by_their_rate():
+    """A stem with many endings is an insult where it is frequent; once in a long clean text it is not; a rare stem is found beside a frequent word."""
+    rng = random.Random(4)
+    ends = [a + b for a in ("ab", "er", "ung", "lich", "os", "tz") for b in ("en", "", "st", "or", "um")]
+    texts, labels = [], []
+    for n in range(600):
+        w = words(rng, 150).split()
+        toxic = n % 4 == 0
+        if toxic and n % 24:
+            w[rng.randrange(150)] = "blorkus"
+        elif toxic:
+            for k in rng.sample(range(150), 4):
+                w[k] = "quonze" + rng.choice(ends)
+        elif n % 10 == 1:
+            w[rng.randrange(150)] = "quonze" + rng.choice(ends)
+        texts.append(" ".join(w) + ".")
+        labels.append(int(toxic))
+    m = toxicity.fit(texts, labels)
+    base = words(rng, 150).split()
+    often, once = [*base, *["quonze" + e for e in ("xx", "yy", "zz", "ww")]], [*base, "quonzexx"]
+    hits = m.scores([" ".join(often), " ".join(["quonkze" + e if w.startswith("quonze") else w for w, e in zip(often, ends * 9)]), "w1 blorkus w2"])
+    assert hits[0] >= 0.3 and hits[2] >= 0.3
+    assert (m.scores([" ".join(once), " ".join(base), ""]) < 0.3).all()
+
+
 def test_gapped_insults():
     rng = random.Random(7)
     bad = ["blorkus", "frindle", "snazzok"]
@@ -326,6 +510,38 @@ def test_html_neighbours(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
 
 
+def test_html_end_to_end_brute_force(spark):
+    """Marked and unmarked pages against a page-by-page model, at 1, 6 and 211 partitions; nulls, empty and very long pages, repeats, clashing columns."""
+    rng, rows = random.Random(21), []
+    for i in range(30):  # a sign-up box in each article of the host, a licence line in three of them, quotes inside
+        licence = "<p>Licence</p>" if i in (4, 5, 6) else ""
+        body = f"<p>Quote</p><p>Text {i}</p><p>More {i}</p>" + "".join(f"<p>Own {i} {k}</p>" for k in range(3))
+        rows.append((i, f"http://m.x/{i:02d}", f"<nav>Menu</nav><article><div>Join us</div><h1>T{i}</h1>{body}{licence}<div>Join us</div></article><footer>F</footer>"))
+    for i in range(12):
+        rows.append((100 + i, f"http://u.x/{i:02d}", f"<p>Menu</p><p>Body {i}</p><p>Imprint</p>"))
+    for i in range(6):  # mirrored articles stay
+        rows.append((200 + i, f"http://n.x/{i}", f"<article><p>One</p><p>Two</p><p>Three</p><p>Page {i}</p></article>"))
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows += [(300, None, None), (301, "http://z.x/", ""), (302, "http://z.x/2", f"<article>{long}</article>"), (0, *rows[0][1:]), (0, *rows[0][1:])]
+    rng.shuffle(rows)
+    own = {i: f"T{i} Quote Text {i} More {i} " + " ".join(f"Own {i} {k}" for k in range(3)) + (" Licence" if i in (4, 5, 6) else "") for i in range(30)}
+    for i in (0, 29):  # one neighbour only: no agreement
+        own[i] = f"Join us {own[i]} Join us"
+    want = own | {100 + i: f"Body {i}" for i in range(12)} | {200 + i: f"One Two Three Page {i}" for i in range(6)} | {300: "", 301: "", 302: long}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"h": F.lit(1), "gone": F.lit("x"), "lines": F.lit(2)})
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for parts, adaptive in ((1, "true"), (6, "false"), (211, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = html_main.extract(pages.repartition(parts, "page_id")).collect()
+            assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert html_main.extract(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_neighbours_brute_force(spark, seed):
     rng = random.Random(seed)
