@@ -106,3 +106,99 @@ def F_ts(i):
     from datetime import datetime, timedelta
 
     return datetime(2024, 1, 1) + timedelta(minutes=i)
+
+
+def test_fuzzy_aliases_against_all_pairs(spark):
+    """Best entity of each name by the plain ratio over all pairs that share a word, legal forms left out."""
+    import random
+
+    from docwatch.operators import entities as H
+
+    rng = random.Random(5)
+    stems = ["north", "sea", "oil", "trade", "works", "river", "stone", "bank"]
+    make = lambda: " ".join(rng.sample(stems, rng.randrange(1, 4))) + rng.choice(["", " co", " inc", " ltd"])
+    typo = lambda s: s[: len(s) // 2] + s[len(s) // 2 + 1 :] if rng.random() < 0.5 else s
+    known = sorted({make() for _ in range(40)})
+    asked = sorted({typo(make()) for _ in range(60)})
+
+    def key(n):
+        short = re.sub(rf"\b(?:{'|'.join(H.SUFFIXES)})\.?\s*$", "", n).strip()
+        return short or n
+
+    def ratio(a, b):
+        a, b = (" ".join(sorted(key(x).split())) for x in (a, b))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            last = 0
+            for j, d in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if c == d else max(row[j], row[j + 1])
+        return 100.0 * 2 * row[-1] / (len(a) + len(b))
+
+    want = {}
+    for n in asked:
+        if n not in known:
+            best = min(((-ratio(n, e), i) for i, e in enumerate(known) if set(key(n).split()) & set(key(e).split())), default=None)
+            if best and -best[0] >= 85:
+                want[n] = (best[1], round(-best[0], 6))
+    names = spark.createDataFrame([("ORG", n) for n in asked], "entity_type string, normalized_name string")
+    ents = spark.createDataFrame([("ORG", e, i) for i, e in enumerate(known)], "entity_type string, normalized_name string, entity_id long")
+    got = {r.normalized_name: (r.entity_id, round(r.score, 6)) for r in H.fuzzy_aliases(names, ents).collect()}
+    assert got == want and want
+
+
+def test_nodes_and_main_texts_of_the_given_pages(spark, sf):
+    """Nodes nest and are as many as the start tags; the main text has the article's words."""
+    from collections import Counter
+    from html import unescape
+
+    from docwatch.operators import pages as P
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    nodes = P.dom_nodes(spark.read.parquet(f"{sf}/pages.parquet"))
+    by = {}
+    for r in nodes.collect():
+        by.setdefault(r.page_id, []).append(r)
+    for i, html in pages.items():
+        bare = re.sub(r"(?s)(<(script|style)[^>]*>).*?</\2>", r"\1", html)
+        assert len(by[i]) == len(re.findall(r"<[a-zA-Z]", bare))
+        for r in by[i]:
+            assert r.node_id <= r.last_desc < len(by[i]) and (r.parent_id < 0 or r.parent_id < r.node_id <= by[i][r.parent_id].last_desc)
+    main = {r.page_id: r.text for r in P.main_text(nodes).collect()}
+    for i, html in pages.items():
+        body = re.search(r"(?s)<article>(.*)</article>", html)
+        words = Counter(unescape(re.sub(r"<[^>]+>", " ", body[1])).split()) if body else Counter()
+        text = Counter(main.get(i, "").split())
+        assert text == words or sum(map(len, words)) + len(words) < 110 and not text
+
+
+def test_languages_held_out(spark):
+    from docwatch.operators import language as LG
+    from tests.conftest import DATA
+
+    d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").where("length(text) > 200")
+    found = LG.detect_language(d.where("doc_id % 2 = 1").select("doc_id", "text"), LG.profiles(d.where("doc_id % 2 = 0"), "lang"))
+    right = d.join(found, "doc_id").agg(F.avg((F.col("lang") == F.col("language")).cast("int"))).first()[0]
+    assert right > 0.95
+
+
+def test_phone_mentions(spark):
+    from docwatch.operators import entities as H
+
+    said = {"+1 (555) 010-9999": 0.82, "020 7946 0958": 0.82, "555 019 999": 0.75, "2024-01-02": None, "12-34": None, "no number": None}
+    rows = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r.doc_id: r.confidence for r in H.extract_mentions(rows).where("entity_type = 'PHONE'").collect()}
+    assert got == {i: c for i, c in enumerate(said.values()) if c}
+
+
+def test_articles_are_the_rest(spark):
+    """A page without the shape of its type is an article: structured fields win, confidence by the fields found."""
+    from docwatch.operators import documents as D
+    from docwatch.operators import pages as P
+
+    text = "word " * 40
+    ld = '<script type="application/ld+json">{"@type": "NewsArticle", "headline": "From data", "author": {"name": "A"}, "datePublished": "2024-02-03"}</script>'
+    rows = [(1, "http://a.x/1", f"<title>Page</title>{ld}<article>{text}</article>"), (2, "http://a.x/2", f"<title>Page</title><article>{text}</article>"), (3, "http://a.x/3", f"<article>{text}</article>"), (4, "http://a.x/4", "<p>short</p>")]
+    types = spark.createDataFrame([(1, "NEWS_ARTICLE"), (2, "FORUM_THREAD"), (3, "BLOG_POST"), (4, "UNKNOWN")], "page_id long, page_type string")
+    nodes = P.dom_nodes(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: (r.extractor, r.headline, r.author, r.confidence) for r in D.assemble_documents(nodes, types, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert got == {1: ("news", "From data", "A", 0.66), 2: ("news", "Page", None, 0.5), 3: ("blog", None, None, 0.3)}
