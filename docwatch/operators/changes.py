@@ -159,6 +159,14 @@ def history(versions: DataFrame, key: str = "normalized_url", at: str = "collect
     return versions.withColumns({"valid_to": nxt, "is_latest": F.lead("version").over(w).isNull()})
 
 
+def list_changes(versions: DataFrame, key: str = "normalized_url", at: str = "collected_at", since: Column | None = None, most: int = 100) -> DataFrame:
+    """The `most` latest versions that changed a page (status UPDATED), with the hash before; since a time where given."""
+    before = F.lag("content_hash").over(Window.partitionBy(key).orderBy("version"))
+    c = versions.withColumn("previous_hash", before).where("status = 'UPDATED'")
+    c = c if since is None else c.where(F.col(at) >= since)
+    return c.orderBy(F.col(at).desc(), key, "version").limit(most)
+
+
 def version_as_of(versions: DataFrame, ts: Column, key: str = "normalized_url", at: str = "collected_at") -> DataFrame:
     """The version of each page that was current at `ts`."""
     seen = versions.where(F.col(at) <= ts)

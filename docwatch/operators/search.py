@@ -16,15 +16,24 @@ def inverted_index(df: DataFrame, key: str = "doc_id", body: str = "text") -> Da
     return w.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def match_all(index: DataFrame, terms: list[str], documents: int, mean_length: float, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents with every term, scored by BM25."""
+def bm25(df: DataFrame, terms: list[str], key: str = "doc_id", body: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the documents with every term, scored by BM25 with the numbers and mean length of all documents of `df`.
+
+    Terms are counted inside each document's array of words, so no row a word is made and nothing but one row of statistics moves.
+    """
     wanted = sorted({t.lower() for t in terms})
-    hits = index.where(F.col("term").isin(wanted))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term asked for
-    idf = F.log(F.lit(1.0) + (F.lit(float(documents)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length)))
-    scored = hits.join(F.broadcast(df), "term").withColumn("part", part)
-    return scored.groupBy(key).agg(F.count("*").alias("n"), F.sum("part").alias("score")).where(F.col("n") == len(wanted)).select(key, "score")
+    ws = df.select(key, X.words(F.col(body)).alias("ws"))
+    times = lambda w: F.size(F.filter("ws", lambda x: x == F.lit(w)))
+    t = ws.select(key, F.size("ws").alias("length"), *[times(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    held = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
+    stats = t.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length"), *held)
+    every = t
+    for i in range(len(wanted)):
+        every = every.where(F.col(f"tf{i}") > 0)
+    j = every.crossJoin(F.broadcast(stats))
+    norm = k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
+    parts = [F.log(F.lit(1.0) + (F.col("documents") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(wanted))]
+    return j.select(key, sum(parts, F.lit(0.0)).alias("score"))
 
 
 def search_documents(df: DataFrame, equal: dict[str, str] | None = None, start: Column | None = None, end: Column | None = None, at: str = "collected_at", order: list[Column] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:

@@ -153,6 +153,15 @@ def document_versions(spark, sf):
     return C.history(_versions(spark, sf))
 
 
+@query(
+    "listed_changes",
+    f"""WITH {_VERSIONS}, h AS (SELECT *, lag(content_hash) OVER (PARTITION BY normalized_url ORDER BY version) AS previous_hash FROM v)
+    SELECT normalized_url, version, content_hash, previous_hash FROM h WHERE status = 'UPDATED' AND collected_at <= TIMESTAMP '2024-01-05' ORDER BY collected_at DESC, normalized_url, version LIMIT 300""",
+)
+def listed_changes(spark, sf):
+    return C.list_changes(_versions(spark, sf), most=300).select("normalized_url", "version", "content_hash", "previous_hash")
+
+
 @query("versions_as_of", f"WITH {_VERSIONS} SELECT normalized_url, max(version) AS version, arg_max(content_hash, version) AS content_hash FROM v WHERE collected_at <= TIMESTAMP '2024-01-02' GROUP BY 1")
 def versions_as_of(spark, sf):
     return C.version_as_of(_versions(spark, sf), F.lit("2024-01-02").cast("timestamp_ntz")).select("normalized_url", "version", "content_hash")

@@ -116,7 +116,7 @@ def story_candidates(spark, sf):
     """WITH p AS (SELECT doc_id, doc_id % 11 / 10 AS o, doc_id % 5 = 0 AS per, doc_id % 7 / 7 AS t, doc_id % 3 / 3 AS b, doc_id % 64 / 64 AS s, doc_id % 2 = 0 AS pl, doc_id % 100 AS h, doc_id % 4 = 0 AS src FROM documents),
     f AS (SELECT doc_id, CASE WHEN per THEN o * 0.3 ELSE o END AS ov, per, t, b, s, pl, CASE WHEN h >= 72 THEN 0 ELSE 1 - h / 72 END AS n, src FROM p),
     g AS (SELECT *, ov * 0.30 + t * 0.20 + n * 0.15 + b * 0.10 + s * 0.10 + CASE WHEN pl THEN 0.1 ELSE 0 END + CASE WHEN src THEN 0.5 ELSE 1.0 END * 0.05 AS sc FROM f)
-    SELECT doc_id, CASE WHEN sc >= 0.65 THEN 'ATTACH_HIGH' WHEN sc >= 0.45 AND ov >= 0.30 AND NOT per THEN 'ATTACH_MEDIUM' ELSE 'REJECT' END AS decision FROM g""",
+    SELECT doc_id, round(sc, 9)::DOUBLE AS score, CASE WHEN sc >= 0.65 THEN 'ATTACH_HIGH' WHEN sc >= 0.45 AND ov >= 0.30 AND NOT per THEN 'ATTACH_MEDIUM' ELSE 'REJECT' END AS decision FROM g""",
 )
 def match_scores(spark, sf):
     i = F.col("doc_id")
@@ -124,7 +124,7 @@ def match_scores(spark, sf):
         "doc_id", (i % 11 / 10).alias("overlap"), (i % 5 == 0).alias("only_persons"), (i % 7 / 7).alias("title_similarity"), (i % 3 / 3).alias("body_similarity"), (i % 64 / 64).alias("simhash_similarity"),
         (i % 2 == 0).alias("same_place"), (i % 100).alias("hours"), F.lit(72).alias("window_hours"), (i % 4 == 0).alias("same_source"),
     )
-    return H.match_score(p).select("doc_id", "decision")
+    return H.match_score(p).select("doc_id", F.round("score", 9).alias("score"), "decision")
 
 
 @query("story_rollups", "SELECT user_id % 40 AS story_id, count(DISTINCT event_id % 500) AS documents, count(DISTINCT user_id) AS sources, min(ts) AS first_published, max(ts) AS last_published FROM events GROUP BY 1")

@@ -18,7 +18,7 @@ def _nodes(spark, sf):
     kind = F.when(F.col("page_id") % 3 == 0, "NewsArticle").when(F.col("page_id") % 3 == 1, "Product").otherwise("BlogPosting")
     block = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": ["'), kind, F.lit('"], "headline": "H'), i, F.lit('", "author": {"name": "A'), (F.col("page_id") % 7).cast("string"), F.lit('"}, "datePublished": "2024-02-03T04:05:06Z"}]}</script>'))
     tab = F.concat(F.lit("<table><tr><th>a<th colspan=2>b<tr><td>"), i, F.lit("<td>x <i>y</i><td>z</table>"))
-    nxt = F.when(F.col("page_id") % 2 == 0, '<a href="/list?page=3">3</a><a href="/list?page=2">2</a>').otherwise('<a href="/n">Next »</a>')
+    nxt = F.when(F.col("page_id") % 8 == 3, '<a href="/list?start=40">4</a><a href="/list?start=20">3</a><a href="/list?page=2">2</a>').when(F.col("page_id") % 8 == 5, '<link rel="next" href="/r"><a href="/n">Next »</a>').when(F.col("page_id") % 2 == 0, '<a href="/list?page=3">3</a><a href="/list?page=2">2</a>').otherwise('<a href="/n">Next »</a>')
     return P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", F.concat("html", block, tab, nxt).alias("html")))
 
 
@@ -39,7 +39,7 @@ def page_tables(spark, sf):
 
 @query(
     "next_pages",
-    f"""SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'link_text' ELSE 'numbered' END AS method, {SCHEME} || '://' || {AUTHORITY} || CASE WHEN page_id % 2 = 1 THEN '/n' WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '2' THEN '/list?page=3' ELSE '/list?page=2' END AS next_url FROM pages""",
+    f"""SELECT page_id, CASE WHEN page_id % 8 = 3 THEN 'offset' WHEN page_id % 8 = 5 THEN 'rel_next' WHEN page_id % 2 = 1 THEN 'link_text' ELSE 'numbered' END AS method, {SCHEME} || '://' || {AUTHORITY} || CASE WHEN page_id % 8 = 3 THEN '/list?start=20' WHEN page_id % 8 = 5 THEN '/r' WHEN page_id % 2 = 1 THEN '/n' WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '2' THEN '/list?page=3' ELSE '/list?page=2' END AS next_url FROM pages""",
 )
 def next_pages(spark, sf):
     return X.pagination(_nodes(spark, sf))
@@ -83,6 +83,15 @@ def capability_scores(spark, sf):
     return X.capability_score(of(_CHECKS), of(_TRIED))
 
 
+@query(
+    "source_events",
+    "SELECT user_id % 60 AS source_id, event_id, ts AS seen, row_number() OVER (PARTITION BY user_id % 60 ORDER BY ts DESC, event_id) AS n FROM events QUALIFY n <= 5",
+)
+def source_events(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 60).alias("source_id"), "event_id", F.col("ts").alias("at"))
+    return X.source_events(e, 5).select("source_id", "event_id", F.col("at").alias("seen"), F.col("n").cast("long").alias("n"))
+
+
 @query(
     "source_statistics",
     "WITH s AS (SELECT DISTINCT user_id % 60 AS source_id FROM events), d AS (SELECT doc_id % 45 AS source_id, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT user_id % 60 AS source_id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY 1) SELECT source_id, coalesce(d.n, 0) AS documents, coalesce(e.n, 0) AS events, e.t AS last_event FROM s LEFT JOIN d USING (source_id) LEFT JOIN e USING (source_id)",

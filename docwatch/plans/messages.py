@@ -209,12 +209,11 @@ def inverted_index(spark, sf):
     "bm25_matches",
     rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all({TEXT}, '[\p{{L}}\p{{N}}_]+')) AS term FROM documents), n AS (SELECT doc_id, count(*) AS length FROM t GROUP BY 1),
     p AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term IN ('the', 'and', 'idiot') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-    s AS (SELECT p.doc_id, count(*) AS c, sum(ln(1.0 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 400.0))) AS score FROM p JOIN f USING (term) JOIN n USING (doc_id) GROUP BY 1)
+    s AS (SELECT p.doc_id, count(*) AS c, sum(ln(1.0 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT sum(length) / (SELECT count(*) FROM documents) FROM n)))) AS score FROM p JOIN f USING (term) JOIN n USING (doc_id) GROUP BY 1)
     SELECT doc_id, round(score::DOUBLE, 6) AS score FROM s WHERE c = 3""",
 )
 def bm25_matches(spark, sf):
-    d = table(spark, sf, "documents")
-    return J.match_all(J.inverted_index(d), ["the", "and", "Idiot"], d.count(), 400.0).withColumn("score", F.round("score", 6))
+    return J.bm25(table(spark, sf, "documents"), ["the", "and", "Idiot"]).withColumn("score", F.round("score", 6))
 
 
 @query("search_page", "SELECT doc_id, source, (SELECT count(*) FROM documents WHERE lang = 'en' AND n_chars >= 500) AS total FROM documents WHERE lang = 'en' AND n_chars >= 500 ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 5")
