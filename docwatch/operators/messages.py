@@ -92,6 +92,16 @@ def search_messages(df: DataFrame, keyword: str | None = None, sender: str | Non
     return out
 
 
+def count_by_source(found: DataFrame) -> DataFrame:
+    """(source_id, n, first_date, last_date) of found messages."""
+    return found.groupBy("source_id").agg(F.count("*").alias("n"), F.min("message_date").alias("first_date"), F.max("message_date").alias("last_date"))
+
+
+def newest(found: DataFrame, most: int = 100) -> DataFrame:
+    """The `most` newest of found messages; those without a date come last."""
+    return found.orderBy(F.col("message_date").desc_nulls_last(), F.col("message_id").desc(), "source_id").limit(most)
+
+
 def keyset_page(df: DataFrame, before: int | None, limit: int, order: str = "message_id") -> DataFrame:
     """The newest rows with `order` below the cursor: `limit` (1 to 100) of them, with has_more on each and next_cursor of the page."""
     n = min(100, max(1, limit))

@@ -54,6 +54,17 @@ def discovered_urls(spark, sf):
     return A.discovery_union(p.select("url", F.col("page_id").alias("ord")), feeds, 3)
 
 
+@query(
+    "discovery_counts",
+    f"""WITH s AS (SELECT url, page_id AS ord FROM pages), f AS (SELECT {HOST} AS feed, CASE WHEN page_id % 2 = 0 THEN url ELSE url || '/new' END AS url, page_id AS ord FROM pages),
+    g AS (SELECT url, ord FROM f QUALIFY row_number() OVER (PARTITION BY feed ORDER BY ord) <= 3), b AS (SELECT url, 0 AS r, ord, 'sitemap' AS origin FROM s UNION ALL SELECT url, 1, ord, 'feed' FROM g),
+    u AS (SELECT {HOST} AS domain, url, arg_min(origin, (r, ord)) AS origin FROM b GROUP BY url), c AS (SELECT domain, count(*) FILTER (origin = 'sitemap') AS sitemap, count(*) FILTER (origin = 'feed') AS feed FROM u GROUP BY 1)
+    SELECT *, CASE WHEN sitemap > 0 AND feed > 0 THEN 'complete' ELSE 'partial' END AS status FROM c""",
+)
+def discovery_counts(spark, sf):
+    return A.discovery_counts(discovered_urls(spark, sf))
+
+
 @query("languages")
 def languages(spark, sf):
     d = table(spark, sf, "documents")

@@ -72,6 +72,16 @@ def search_messages(spark, sf):
     return K.search_messages(_messages(spark, sf), "ER", "user", "2024-01-01 12:00:00", "2024-01-05").select("source_id", "message_id")
 
 
+@query("counted_by_source", f"SELECT source_id, count(*) AS n, min(message_date) AS first_date, max(message_date) AS last_date FROM ({_M}) WHERE contains(lower(text), 'er') GROUP BY 1")
+def counted_by_source(spark, sf):
+    return K.count_by_source(K.search_messages(_messages(spark, sf), "er"))
+
+
+@query("newest_messages", f"SELECT source_id, message_id, message_date FROM ({_M}) WHERE contains(lower(text), 'er') ORDER BY message_date DESC NULLS LAST, message_id DESC, source_id LIMIT 40")
+def newest_messages(spark, sf):
+    return K.newest(K.search_messages(_messages(spark, sf), "er"), 40).select("source_id", "message_id", "message_date")
+
+
 @query("filter_results", f"SELECT source_id, message_id FROM ({_M}) WHERE media_type = 'photo' AND (message_date IS NULL OR message_date >= TIMESTAMP '2024-01-03')")
 def filter_results(spark, sf):
     return K.search_messages(_messages(spark, sf), media="photo", start="2024-01-03", dates="lenient").select("source_id", "message_id")

@@ -38,6 +38,15 @@ def page_links(spark, sf):
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("link").alias("targets"), F.min("link").alias("first_link"))
 
 
+@query("document_links", "SELECT page_id, count(*) AS links, 'https://files.example.org/' || page_id || '/5.pdf' AS last_link FROM pages, range(6) r(k) WHERE k <= 5 GROUP BY page_id")
+def document_links(spark, sf):
+    """Six files of each page, each linked twice, and more than the bound."""
+    i = F.col("page_id").cast("string")
+    more = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.concat(F.lit('<a href="https://files.example.org/'), i, F.lit("/"), F.floor(k / 2).cast("string"), F.lit('.pdf">f</a>'))), "")
+    links = P.page_links(P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", F.concat("html", more).alias("html"))), documents=6).where("document")
+    return links.groupBy("page_id").agg(F.count("*").alias("links"), F.max("link").alias("last_link"))
+
+
 @query("repeated_items", """SELECT page_id, 'li' AS tag, len(regexp_extract_all(html, '<li><a href='))::BIGINT AS items FROM pages WHERE len(regexp_extract_all(html, '<li><a href=')) >= 5""")
 def repeated_items(spark, sf):
     return P.repeated_items(_nodes(spark, sf)).select("page_id", "tag", "items")

@@ -75,6 +75,12 @@ def discovery_union(sitemaps: DataFrame, feeds: DataFrame, per_feed: int = 20) -
     return first.select(U.extract_domain(F.col("url")).alias("domain"), "url", F.col("b.origin").alias("origin"))
 
 
+def discovery_counts(found: DataFrame) -> DataFrame:
+    """(domain, sitemap, feed, status) of `discovery_union`: URLs by origin; status complete with both origins, partial with one."""
+    g = found.groupBy("domain").agg(F.count_if(F.col("origin") == "sitemap").alias("sitemap"), F.count_if(F.col("origin") == "feed").alias("feed"))
+    return g.withColumn("status", F.when((F.col("sitemap") > 0) & (F.col("feed") > 0), "complete").otherwise("partial"))
+
+
 def artifact_manifest(df: DataFrame, source: str, crawl: str, page: str, content: str, kind: Column) -> DataFrame:
     """(key, sha256, size, content_type) of raw bytes; the key is source/crawl/page.ext."""
     ext = F.when(kind.contains("html"), "html").when(kind.contains("pdf"), "pdf").when(kind.contains("json"), "json").otherwise("bin")
