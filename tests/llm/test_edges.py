@@ -454,6 +454,18 @@ def test_gapped_insults():
     assert (hits >= 0.3).all() and (clean < 0.3).all()
 
 
+def test_tables_are_cleared(spark):
+    """Tables that were cut can be deleted but for the last; names for temporary columns are free ones in any case."""
+    from docwatch.llm import common
+
+    a, b = (common.cut(spark.range(3), "probe") for _ in range(2))
+    common.clear(spark, keep=1)
+    assert b.count() == 3
+    with pytest.raises(Exception):
+        spark.read.schema("id long").parquet(a.inputFiles()[0]).count()
+    assert common.fresh(spark.range(1).withColumns({"Gone": F.lit(1), "gone_": F.lit(2)}), "gone", "x", "x") == ("gone__", "x", "x_")
+
+
 def test_components(spark):
     from docwatch.llm.common import components
 
@@ -593,6 +605,21 @@ def test_topk_repeated_row(spark, monkeypatch):
     assert sizes.value <= 105
 
 
+def test_pipeline_stages_odd_rows(spark, odd, sf):
+    """Each stage over nulls, empty and very long texts, repeated rows, columns of temporary names, and over no rows."""
+    import corpus_pipeline
+
+    names = "gone g_tkey_of mix_copies mix_doc k d k__ d__ kept_id kept_key text_key nth rank__ tkey__ toxicity toxicity__ copies copy src doc other".split()
+    docs = odd.withColumns({c: F.lit("x") for c in names})
+    want = {"toxicity": 14, "ngram_jaccard_join": 9, "benchmark_decontamination": 14}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns and set(out.columns) - set(docs.columns) <= {"slot", "shard"}
+        n = out.count()
+        assert n == want.get(name, n) and out.where("gone <> 'x'").count() == 0
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages_brute_force(spark):
     """The ids that the toxicity and near-duplicate stages keep are those of a document-by-document model."""
     rng = random.Random(12)
