@@ -14,8 +14,8 @@ Finding every link (Jaccard of the distinct shingle sets >= percent/100), lossle
 4. Components of these links. Where a chunk group still holds several components, the members outside the largest meet a
    few members of that (others in each group, so a link between two components is soon found). Where several
    are left after that, in groups of at most CROWD sets the pairs across components are tested. In crowded groups (a chunk
-   of one shingle that many texts share) a set that has enough chunks in other groups meets each partner there. The others are keyed anew, so
-   that candidates stay linear in the rows: a small set by its subsets that a link may leave in common (of the sets that
+   of one shingle that many texts share) a set that has enough chunks in other groups meets each partner there. Of the others, pairs are tested
+   in groups of at most PAIRED; those of larger groups are keyed anew, so that candidates stay linear in the rows: a small set by its subsets that a link may leave in common (of the sets that
    hold such a subset the one with fewest other shingles links with all whose common part it is, so a leader is enough); a larger set by its rarest shingles, of which
    linked sets share one, and where that is crowded, too, by two, three and four of them, as long as these chains are fewer than the pairs they save; pairs across
    components are tested only in what is left.
@@ -46,6 +46,8 @@ BITS = 1024
 BRIDGES, HOSTS = 1, 8
 #: Sets in a chunk group from which on it counts as crowded.
 CROWD = 64
+#: Thin sets of a crowded group up to which their pairs across components are tested; those of larger groups are keyed anew.
+PAIRED = 4096
 #: Subset keys of a small set at most; shingles that a chain of rare shingles has at most, and chains of one set at most.
 SUBSETS, CHAIN, CHAINS = 300, 4, 2000
 #: One text in so many is looked at to find frequent chunk groups, of which so many at most are salted so many ways. This changes the plan only.
@@ -319,7 +321,19 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     in_crowd = rest.join(crowded, "sig").withColumn("band", band)
     spare = reps.select("cls", F.explode("spare").alias("s")).select("cls", F.shiftright("s", 32).alias("band"), F.col("s").bitwiseAND(F.lit((1 << 32) - 1)).alias("s"))
     thin = in_crowd.groupBy("cls", "band").agg(F.count("*").alias("c")).join(spare, ["cls", "band"]).where("c >= s").select("cls", "band")
-    thin = cut(thin.select("cls").distinct(), "thin")
+    thin_rows = cut(in_crowd.join(thin, ["cls", "band"]).select(*rest.columns), "thin-rows")
+    # each group is either paired or keyed anew as a whole, so two sets that share it meet in any case
+    large = thin_rows.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > PAIRED).select("sig")
+    thin = cut(thin_rows.join(large, "sig").select("cls").distinct(), "thin")
+    still = rest.join(crowded, "sig", "left_anti").unionByName(thin_rows.join(large, "sig", "left_anti"))
+    still = cut(still.join(sized, "cls"), "open-bits")
+    side = lambda x: still.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lead", "label", "n", "bits")))
+    # the leader was compared with every member before; only pairs across components remain
+    paired = side("a").join(
+        side("b"),
+        (side("a")["sig"] == side("b")["sig"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("cls_a") != F.col("lead_a")) & _possible(percent),
+    )
+    more = paired.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
     labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
     def across(groups: DataFrame) -> DataFrame:
@@ -329,7 +343,6 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         met = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
         return met.select("a", "b").distinct()
 
-    more = across(rest.join(crowded, "sig", "left_anti").withColumnRenamed("sig", "key"))
     if thin.take(1):
         every = cut(arrays_of(thin, "thin").join(thin, "cls").withColumn("size", F.size("arr")), "thin-sets")
         small, top = small_sizes(percent)
