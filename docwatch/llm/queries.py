@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwatch.llm import alignment, decontaminate, html_main, line_dedup, mixing, ngram_join, pii, quality, sharding, topk, toxicity
+from docwatch.llm import alignment, decontaminate, divergence, html_main, line_dedup, mixing, ngram_join, pii, quality, sharding, topk, toxicity
 from docwatch.session import table
 
 
@@ -73,10 +73,14 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality, op3_sharding, op4_html_extraction, op5_exact_topk, op6_decontamination,
-        op7_ngram_jaccard_join, op8_line_dedup, op9_pii_surrogates, op10_mixing, op12_tokenizer_alignment,
+        op7_ngram_jaccard_join, op8_line_dedup, op9_pii_surrogates, op10_mixing, op12_tokenizer_alignment, op13_source_divergence,
     )
 }

@@ -92,4 +92,21 @@ SELECT o.doc_id, coalesce(kept.n, 0)::INT AS lines_deleted, length(coalesce(now,
 FROM documents o LEFT JOIN kept ON o.doc_id IS NOT DISTINCT FROM kept.doc_id AND o.text = kept.text
 """
 
-ORACLES = {"op3_sharding": _OP3, "op5_exact_topk": _OP5, "op6_decontamination": _OP6, "op7_ngram_jaccard_join": _OP7, "op8_line_dedup": _OP8, "op10_mixing": _OP10}
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(c)::HUGEINT AS cl FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0)::HUGEINT AS c, k.cl FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+n AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, sum(cl) OVER (PARTITION BY lang, source) AS nl, count(*) OVER (PARTITION BY lang, source) AS v FROM f),
+p AS (SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v)::HUGEINT)::BIGINT AS p, (1 + (1000000000::HUGEINT * (cl + 5)) // (nl + 5 * v)::HUGEINT)::BIGINT AS q FROM n),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op3_sharding": _OP3, "op5_exact_topk": _OP5, "op6_decontamination": _OP6, "op7_ngram_jaccard_join": _OP7, "op8_line_dedup": _OP8, "op10_mixing": _OP10, "op13_source_divergence": _OP13}
