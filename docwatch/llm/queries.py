@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwatch.llm import alignment, decontaminate, divergence, html_main, line_dedup, mixing, ngram_join, pii, quality, sharding, topk, toxicity
+from docwatch.llm import alignment, decontaminate, divergence, html_main, line_dedup, mixing, multi_index, ngram_join, pii, quality, sharding, topk, toxicity
 from docwatch.session import table
 
 
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("groups", "groups_sha256")
@@ -81,6 +85,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality, op3_sharding, op4_html_extraction, op5_exact_topk, op6_decontamination,
-        op7_ngram_jaccard_join, op8_line_dedup, op9_pii_surrogates, op10_mixing, op12_tokenizer_alignment, op13_source_divergence,
+        op7_ngram_jaccard_join, op8_line_dedup, op9_pii_surrogates, op10_mixing, op11_nearest_neighbours, op12_tokenizer_alignment, op13_source_divergence,
     )
 }
