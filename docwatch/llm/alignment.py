@@ -22,8 +22,10 @@ are ignored, whatever their names (the result's columns are fixed).
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,14 @@ from docwatch.llm.common import cut
 
 #: Where the tokenizers' files are, on the driver and all executors.
 FOLDER, BYTES, PIECES = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Segments aligned at once; segments whose tokens a task keeps, of so many characters at most.
-SLICE, KEPT, SHORT = 200_000, 200_000, 64
+#: Segments aligned at once; segments whose tokens a task keeps, of so many characters each on average; new ones encoded in one string.
+SLICE, KEPT, SHORT, TOGETHER = 100_000, 400_000, 32, 500
 #: Partial counts a task holds before it passes them on; pairs that are broadcast at most.
 PARTIAL, HELD = 1_000_000, 500_000
 
+#: Fixed value: the usual rule by which byte-level BPE cuts words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_RARE = re.compile(r"[^\x00-\u024F\u2010-\u2027\u20AC]")
 _CUT, _JOINED = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 _LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 
@@ -60,6 +65,7 @@ class Encoder:
     def __init__(self, folder: str, byte_file: str, piece_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(f"{folder}/{byte_file}")
@@ -74,26 +80,87 @@ class Encoder:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_control(i)):
             raise ValueError(f"{piece_file} has pieces across words, which can't be encoded a segment at a time")
-        self.kept: dict[str, tuple[list[int], list[int]] | None] = {}
-        self.a_len = pa.array([len(x) for x in self.a_bytes], pa.int64())
-        self.b_len = pa.array([len(x) for x in self.b_bytes], pa.int64())
-
-    def tokens(self, distinct: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """(ids of A, ids of B) of each segment, None where one of them doesn't spell the segment's bytes."""
-        new = [s for s in distinct if s not in self.kept]
-        of_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)] if new else []
-        of_b = self.b.encode(new, num_threads=1) if new else []
-        own: dict[str, tuple[list[int], list[int]] | None] = {}
-        for s, x, y in zip(new, of_a, of_b):
-            spelt = (" " + s).encode()
-            y = y or [self.b.piece_to_id("▁")]  # a lone space, which it doesn't add to an empty text
-            ok = b"".join([self.a_bytes[i] for i in x]) == spelt and b"".join([self.b_bytes[i] for i in y]) == spelt
-            own[s] = (x, y) if ok else None
-        out = [own[s] if s in own else self.kept[s] for s in distinct]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        self.kept.update((s, t) for s, t in own.items() if len(s) <= SHORT)
-        return out
+        self.spelt = [pa.array(x, pa.large_binary()) for x in (self.a_bytes, self.b_bytes)]
+        self.lengths = [np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes)]
+        self.a_len, self.b_len = (pa.array(x) for x in self.lengths)
+        # the same merges by another library, which is faster: only where ids are in the order of the merges, words are cut by the usual rule, and classes of characters are beyond doubt
+        spec = json.loads(self.a.to_str())
+        vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        usual = spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("use_regex") and not spec["pre_tokenizer"]["add_prefix_space"] and not spec["model"].get("ignore_merges")
+        ordered = all(vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) == 256 + i for i, m in enumerate(merges))
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+        self.same = tiktoken.Encoding("same", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if usual and ordered and len(ranks) == 256 + len(merges) else None
+        self.clear()
+
+    def _ids_of_a(self, text: str) -> np.ndarray:
+        if self.same and not _RARE.search(text):
+            return np.array(self.same.encode_ordinary(text), np.int32)
+        return np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def clear(self) -> None:
+        """Forget all segments."""
+        self.at: dict[str, int] = {}
+        self.ids = [[np.empty(0, np.int32)], [np.empty(0, np.int32)]]  # by tokenizer: ids of the segments in order, in pieces
+        self.sizes = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        self.right = [np.empty(0, bool)]
+        self.letters = 0
+
+    def tokens(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray, list[pa.ListArray]]:
+        """(number of each segment, whether each number's tokens spell its bytes, the token lists of A and of B by number; empty where they don't)."""
+        if len(self.at) > KEPT or self.letters > KEPT * SHORT:
+            self.clear()
+        of = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        unseen = np.flatnonzero(of < 0)
+        if unseen.size:
+            new = list(dict.fromkeys(flat[i] for i in unseen))
+            # ends of several segments are told apart in their tokens only if none ends in white space
+            plain = [s for s in new if s and not s[-1].isspace()]
+            for lo in range(0, len(plain), TOGETHER):
+                some = plain[lo : lo + TOGETHER]
+                if not self._add(some):
+                    for s in some:
+                        self._add([s]) or self._wrong(s)
+            for s in new:
+                if not s or s[-1].isspace():
+                    self._add([s]) or self._wrong(s)
+            of[unseen] = np.fromiter(map(self.at.get, (flat[i] for i in unseen)), np.int64, unseen.size)
+        lists = []
+        for n in (0, 1):
+            self.ids[n], self.sizes[n] = [np.concatenate(self.ids[n])], [np.concatenate(self.sizes[n])]
+            lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.sizes[n][0])), pa.int32()), pa.array(self.ids[n][0])))
+        self.right = [np.concatenate(self.right)]
+        return of, self.right[0], lists
+
+    def _add(self, some: list[str]) -> bool:
+        """Encode segments in one string; False, and nothing is added, if the tokens don't spell it or don't end where a segment does."""
+        text = " " + " ".join(some)
+        spelt = [len(s.encode()) + 1 for s in some]
+        ends = np.cumsum(spelt)
+        of_b = self.b.encode(text[1:], num_threads=1) or [self.b.piece_to_id("▁")]  # a lone space, which it doesn't add to an empty text
+        raw, found = text.encode(), []
+        for n, ids in enumerate((self._ids_of_a(text), np.array(of_b, np.int32))):
+            reached = np.cumsum(self.lengths[n][ids])
+            if reached[-1] != len(raw) or self.spelt[n].take(pa.array(ids)).buffers()[2].to_pybytes()[: len(raw)] != raw:
+                return False
+            last = np.searchsorted(reached, ends)
+            if not np.array_equal(reached[last], ends):
+                return False
+            found.append((ids, np.diff(last, prepend=-1)))
+        for n, (ids, sizes) in enumerate(found):
+            self.ids[n].append(ids)
+            self.sizes[n].append(sizes)
+        self._number(some, True)
+        return True
+
+    def _wrong(self, s: str) -> None:
+        for n in (0, 1):
+            self.sizes[n].append(np.zeros(1, np.int64))
+        self._number([s], False)
+
+    def _number(self, some: list[str], right: bool) -> None:
+        self.right.append(np.full(len(some), right))
+        self.letters += sum(map(len, some))
+        self.at.update(zip(some, range(len(self.at), len(self.at) + len(some))))
 
 
 def _byte_level() -> dict[str, int]:
@@ -103,16 +170,16 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-def aligned(encoder: Encoder, tokens: list, of: np.ndarray, doc: np.ndarray, docs: int) -> tuple[dict[str, np.ndarray], pa.Array, pa.Table]:
+def aligned(encoder: Encoder, tokens: list[pa.ListArray], of: np.ndarray, doc: np.ndarray, docs: int) -> tuple[dict[str, np.ndarray], pa.Array, pa.Table]:
     """Of one slice: numbers of each document, its groups as text, and the table doc, pair, times.
 
-    tokens: of the distinct segments; `of` and `doc`: the distinct segment and the document of every segment in order.
+    tokens: of A and of B by the number of a segment; `of` and `doc`: the number and the document of every segment in order.
     """
     doc_of = pa.array(doc, pa.int64())
 
     def side(n: int, lengths: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """(ids, document, end in the document) of all tokens of one tokenizer."""
-        lists = pa.array([t[n] for t in tokens], pa.list_(pa.int32())).take(pa.array(of))
+        lists = tokens[n].take(pa.array(of))
         ids = pc.list_flatten(lists)
         at = doc_of.take(pc.list_parent_indices(lists))
         ends = pc.cumulative_sum(lengths.take(ids))
@@ -169,16 +236,12 @@ def _linked(folder: str, byte_file: str, piece_file: str, whole: bool):
                     size += len(parts[hi])
                     hi += 1
                 flat = [s for p in parts[lo:hi] for s in p]
-                index: dict[str, int] = {}
-                of = np.fromiter((index.setdefault(s, len(index)) for s in flat), np.int64, len(flat))
-                tokens = encoder.tokens(list(index))
+                of, right, tokens = encoder.tokens(flat)
                 doc = np.repeat(np.array(at[lo:hi], np.int64), [len(p) for p in parts[lo:hi]])
-                bad = np.array([t is None for t in tokens], bool)
-                if bad.any():
-                    wrong.update(np.unique(doc[bad[of]]).tolist())
+                if not right[of].all():
+                    wrong.update(np.unique(doc[~right[of]]).tolist())
                     keep = ~np.isin(doc, list(wrong))
                     of, doc = of[keep], doc[keep]
-                    tokens = [t or ([], []) for t in tokens]
                 if of.size:
                     base = int(doc[0])
                     n, groups, links = aligned(encoder, tokens, of, doc - base, int(doc[-1]) - base + 1)

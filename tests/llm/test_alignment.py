@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from docwatch.llm import alignment, queries
@@ -91,10 +92,11 @@ def test_segments_are_encoded_as_in_the_text(encoder):
         text = "".join(rng.choice([" ", " ", "  ", "\n", "\t", " ", "　", "a", "the", "ing", "é", "ß", "1", ".", "'s", "日", "\x1f", "-"]) for _ in range(rng.randrange(1, 14)))
         parts = alignment.segments(text)
         assert "".join(" " + p for p in parts) == " " + text
-        tokens = encoder.tokens(parts)
-        assert all(tokens)
-        assert [i for t in tokens for i in t[0]] == encoder.a.encode(" " + text, add_special_tokens=False).ids, repr(text)
-        assert [i for t in tokens for i in t[1]] == encoder.b.encode(text, num_threads=1), repr(text)
+        of, right, tokens = encoder.tokens(parts)
+        assert right[of].all()
+        of_a, of_b = ([i for x in t.take(pa.array(of)).to_pylist() for i in x] for t in tokens)
+        assert of_a == encoder.a.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert of_b == encoder.b.encode(text, num_threads=1), repr(text)
 
 
 def test_long_texts_and_small_slices(spark, encoder, monkeypatch):
