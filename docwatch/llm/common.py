@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: Per application: the folder of a local run without spark.checkpoint.dir, and the tables written so far.
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
+#: The scopes entered, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,21 +35,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to a new table in the shared folder and read it again: lineage ends there, lost executors don't matter."""
+    """Write `df` to a new table in the shared folder and read it again: lineage ends there, lost executors don't matter.
+
+    The table belongs to the innermost `scope` that is entered, if any.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docwatch/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that `cut` wrote in this application but for the last `keep`. Results that still read them must be written first."""
+@contextmanager
+def scope():
+    """Gather the tables that `cut` writes while this is entered: `with scope() as own`. `drop(spark, own)` deletes these and no others."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield own
+    finally:
+        _SCOPES.reset(token)
+
+
+def drop(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables that `cut` wrote. Results that still read them must be written first."""
     written = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    gone, written[:] = written[: len(written) - keep], written[len(written) - keep :]
-    for path in gone:
+    for path in list(tables):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in written:
+            written.remove(path)
+    if tables is not written:
+        tables.clear()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that `cut` wrote in this application, whoever reads them still. For the end of a session's work."""
+    drop(spark, _WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:

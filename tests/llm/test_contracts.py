@@ -71,3 +71,13 @@ def test_pipeline(spark, sf):
     assert set(got) <= ids and max(got.values()) <= 2 and len(got) > 0.3 * len(ids)
     leaked = {r.doc_id for r in queries.op6_decontamination(spark, sf).collect()}
     assert leaked and not leaked & set(got)
+
+
+def test_results_outlive_pipelines(spark, sf):
+    """Unread results of other queries, and of a first pipeline, can still be read after a second one."""
+    joined, lines = queries.op7_ngram_jaccard_join(spark, sf), queries.op8_line_dedup(spark, sf)
+    first = entry.queries()["pipeline"](spark, sf)
+    second = entry.queries()["pipeline"](spark, sf)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert joined.count() == lines.count() == n
+    assert sorted(r.doc_id for r in first.collect()) == sorted(r.doc_id for r in second.collect())

@@ -455,15 +455,28 @@ def test_gapped_insults():
     assert (hits >= 0.3).all() and (clean < 0.3).all()
 
 
-def test_tables_are_cleared(spark):
-    """Tables that were cut can be deleted but for the last; names for temporary columns are free ones in any case."""
+def test_tables_are_deleted_by_scope(spark):
+    """A scope's tables can be deleted without touching others, an inner scope's are its own; names for temporary columns are free ones in any case."""
     from docwatch.llm import common
 
-    a, b = (common.cut(spark.range(3), "probe") for _ in range(2))
-    common.clear(spark, keep=1)
-    assert b.count() == 3
+    a = common.cut(spark.range(3), "probe")
+    with common.scope() as outer:
+        b = common.cut(spark.range(3), "probe")
+        with common.scope() as inner:
+            c = common.cut(spark.range(3), "probe")
+    gone = lambda df: spark.read.schema("id long").parquet(df.inputFiles()[0])
+    of_c, of_b, of_a = gone(c), gone(b), gone(a)
+    common.drop(spark, inner)
+    assert a.count() == b.count() == 3
     with pytest.raises(Exception):
-        spark.read.schema("id long").parquet(a.inputFiles()[0]).count()
+        of_c.count()
+    common.drop(spark, outer)
+    assert a.count() == 3
+    with pytest.raises(Exception):
+        of_b.count()
+    common.clear(spark)
+    with pytest.raises(Exception):
+        of_a.count()
     assert common.fresh(spark.range(1).withColumns({"Gone": F.lit(1), "gone_": F.lit(2)}), "gone", "x", "x") == ("gone__", "x", "x_")
 
 
