@@ -56,9 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table in the shared folder that the next one reads."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is a table in the shared folder that the next one reads.
+
+    A stage's own tables go when its result is written, and that when the next one's is; tables of other work in the session stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
-        common.clear(spark, keep=1)  # what the stage wrote on its way isn't needed any more
+        with common.scope() as own:
+            out = stage(spark, docs, sf_dir)
+        with common.scope() as kept:
+            docs = common.cut(out, f"stage-{name}")
+        common.drop(spark, own)
+        common.drop(spark, before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
