@@ -2,16 +2,17 @@
 
 Entities: e-mail addresses, phone numbers (international, or in the usual national groups, or plain digits after a word such as "tel"), IPv4 and IPv6
 addresses, IBANs with right check digits, ids of 3-2-4 digits, payment card numbers, secrets (a token, key or password that is
-assigned, the fixed prefixes of well-known key formats, and long hexadecimal strings) and person names after an honorific. In a document that names
-a person so, later or earlier mentions of the name without honorific count, too: the whole name, the family name, the given
-name. Every mention is brought to a canonical form
+assigned, the fixed prefixes of well-known key formats, and long hexadecimal strings) and person names after an honorific or academic title, every word of
+which begins with an upper-case letter of any script. In a document that names a person so, later or earlier mentions of the name in title or upper case
+without honorific count, too: the whole name, the family name, the given name. Names that are common words are not taken alone (given ones) or at the beginning of a sentence
+(family ones). Every mention is brought to a canonical form
 (lower-cased address, bare digits, ...), so that mentions of one entity in any case or format get one surrogate, written in the
 mention's own case and format: coreference stays.
 
 Surrogates come from keyed permutations (Feistel networks over the mixed radix of the entity's own characters): a digit stays
 a digit, a letter a letter of its script and case (in names a vowel stays a vowel), lengths and separators stay, a card and an IBAN keep whether their check
 digits are right, an address keeps its top-level domain, a phone number its country code. Listed given names go round a cycle in keyed order through
-the list of their gender and script, others are drawn from it by the key; family names change letter by letter. A permutation never gives two entities of a format
+the list of their gender and script, others are drawn from it by the key; family names change letter by letter, alike for all who bear one. A permutation never gives two entities of a format
 one surrogate.
 
 Collision checks, in Spark over all distinct entities: a surrogate that is itself an entity of the corpus is
@@ -61,10 +62,22 @@ GIVEN = {
     ("f", "cyrillic"): "анна вера галина дарья елена жанна зоя ирина лидия мария нина ольга полина раиса софия тамара".split(),
     ("m", "cyrillic"): "антон борис виктор глеб денис егор захар иван кирилл лев максим никита олег павел роман сергей".split(),
 }
-#: Honorifics by gender.
-HONORIFICS = {"m": "Mr Herr Monsieur Señor Sr г-н".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Sra г-жа".split()}
+#: Honorifics by gender; u: of either.
+HONORIFICS = {
+    "m": "Mr Herr Monsieur Señor Sr Don г-н".split(), "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Srta Doña г-жа".split(), "u": "Dr Prof Professor Doctor д-р проф".split(),
+}
+#: Names that are common words, too; alone they name nobody for certain.
+WORDS_TOO = frozenset(
+    "april art august autumn bill bishop black brown carol chance chase christian cook dale dawn dean drew earl faith field fisher forest frank gay gene glen grace grant gray green guy hall"
+    " hardy hill hope hunt hunter iris ivy joy june king knight lane lee long mark may miller mills moss noble norm page paris park pat penny pierce porter pearl price prince ray reed rich"
+    " rob robin rock rose ruby rush rusty sandy short skip small stone storm sue summer taylor victor violet walker wall ward warren waters white will winter wood woods young"
+    " groß klein kurz lang neu sommer engel ernst stern berg wolf weiß schwarz braun petit grand blanc noir leroy roi bois fontaine dolores mercedes pilar flores leon cruz paz luz".split()
+)
 _GENDER = {h: g for g, hs in HONORIFICS.items() for h in hs}
 _WORD = r"[^\W\d_]+"
+#: A letter of any script that is upper case, as every word of a name begins.
+_UPPER = "[" + "".join(chr(i) for i in range(0x10000) if chr(i).isupper() or chr(i).istitle()) + "]"
+_TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
     r"|(?P<secret>(?i:(?<=token)|(?<=key)|(?<=secret)|(?<=password)|(?<=passwd))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{12,}={0,2})"
@@ -75,12 +88,12 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\w.-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\w-]))"
     r"|(?P<id>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(0?\d{0,4}\))?(?:[ .-]?\d{2,4}){2,5}"
+    r"|(?P<phone>(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3,4}[ .-]|(?:(?<=\+\d)|(?<=\+\d\d)|(?<=\+\d\d\d))[ .-]?\d\d[ .-]|0\d[ .-])\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(0?\d{0,4}\))?(?:[ .-]?\d{2,4}){2,5}"
     r"|0\d(?:[ .-]\d{2}){4}|(?i:(?:tel|phone|call|mobile|fax)[.: ]{1,3})\d{7,11})(?![\w-]))"
-    rf"|(?P<name>\b(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? (?P<person>(?!\d){_WORD}(?:[ -](?=[^\W\d_a-z]){_WORD}){{0,2}}))"
+    rf"|(?P<name>(?:\b(?P<title>{_TITLE})\.? (?:(?P<second>{_TITLE})\.? )?|(?<![\w.])(?<!\w\. )(?P<abbreviated>M)\. )(?P<person>(?={_UPPER}){_WORD}(?:[ -](?={_UPPER}){_WORD}){{0,2}}))"
 )
 KINDS = ("email", "secret", "key", "iban", "ipv6", "hex", "ip", "card", "id", "phone", "name")
-_MAY = re.compile(r"@|\d|(?:sk|pk|ghp|gho|glpat|xox)|" + "|".join(_GENDER))
+_MAY = re.compile(r"@|\d|(?:sk|pk|ghp|gho|glpat|xox)|M\. |" + "|".join(_GENDER))
 
 
 def _number(key: bytes, *parts) -> int:
@@ -155,10 +168,17 @@ def canonical(kind: str, m: re.Match) -> str:
         prefix = re.match(r"sk_live_|[A-Za-z]+[-_]|AKIA|AIza", text)[0]
         return f"key:{prefix} {text[len(prefix):]}"
     if kind == "name":
-        return f"name-{_GENDER[m['title']]}:{' '.join(m['person'].lower().replace('-', ' - ').split())}"
+        words = m["person"].lower().replace("-", " - ").split()
+        return f"name-{_gender(m, words)}:{' '.join(words)}"
     return f"{kind}:{'+' if text.startswith('+') else ''}{re.sub(r'[^0-9]', '', text)}"
 
 
+def _gender(m: re.Match, words: list[str]) -> str:
+    """f, m or u: as the titles say, else as the lists of given names do."""
+    said = {_GENDER[t] for t in (m["title"], m["second"]) if t} - {"u"} or {g for g, script in GIVEN if len(words) > 1 and words[0] in GIVEN[g, script]}
+    return "m" if m["abbreviated"] else said.pop() if len(said) == 1 else "u"
+
+
 _ROUNDS: dict = {}
 
 
@@ -201,11 +221,12 @@ def next_of(entity: str, key: bytes) -> str:
         return f"phone:{value[:head]}{permute(value[head:], key, kind)}"
     if kind.startswith("name"):
         words = value.split(" ")
-        names = _round(GIVEN[(kind[-1], _script(words[0]))], key, kind)
+        script = _script(words[0])
+        names = _round([n for g in ("f", "m") if kind[-1] in (g, "u") for n in GIVEN[g, script]], key, kind)
         if len(words) > 1 and words[1] != "-":  # the next in keyed order; names that aren't listed enter by the key
             at = names.index(words[0]) + 1 if words[0] in names else _number(key, kind, words[0])
-            return f"{kind}:{' '.join([names[at % len(names)]] + [permute(w, key, kind) for w in words[1:]])}"
-        return f"{kind}:{' '.join(permute(w, key, kind) for w in words)}"
+            return f"{kind}:{' '.join([names[at % len(names)]] + [permute(w, key, 'name') for w in words[1:]])}"
+        return f"{kind}:{' '.join(permute(w, key, 'name') for w in words)}"  # a family's name is one, whatever the title
     return f"{kind}:{permute(value, key, kind)}"
 
 
@@ -256,6 +277,10 @@ def _cased(like: str, word: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.capitalize()
 
 
+#: What stands before the first word of a sentence.
+_BEGINS = re.compile(r"(?:^|[.!?\n…]['\"»”)]?\s*['\"«„“(]?)$")
+
+
 def mentions(text: str) -> list[tuple[int, int, str, Callable[[str], str]]]:
     """(start, end, entity, how its surrogate is written there) of all mentions in a text, in order, none overlapping."""
     if not text or not _MAY.search(text):
@@ -270,18 +295,21 @@ def mentions(text: str) -> list[tuple[int, int, str, Callable[[str], str]]]:
         if kind == "name" and "-" not in m["person"]:
             words = m["person"].split(" ")
             for lo, hi in {(0, len(words)), (len(words) - 1, len(words)), (0, 1)}:
-                name = " ".join(words[lo:hi])
-                if len(name) > 1 + (hi < len(words)) and name[0].isupper():
+                name = " ".join(words[lo:hi]).lower()
+                given = hi < len(words)
+                if len(name) > 1 + given and not (given and name in WORDS_TOO):
                     people.setdefault(name, (entity, lo, hi))
     if people:
-        bare = re.compile(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, sorted(people, key=lambda n: (-len(n), n)))) + r")(?![\w@-])")
+        bare = re.compile(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, sorted(people, key=lambda n: (-len(n), n)))) + r")(?![\w@-])", re.IGNORECASE)
         starts, known = [o[0] for o in out], list(out)
         for m in bare.finditer(text):
             i = bisect_right(starts, m.start()) - 1
             if i >= 0 and known[i][1] > m.start() or i + 1 < len(known) and known[i + 1][0] < m.end():
                 continue
-            entity, lo, hi = people[m[0]]
             parts = m[0].split(" ")
+            if m[0].lower() not in people or not all(w[0].isupper() for w in parts) or m[0].lower() in WORDS_TOO and _BEGINS.search(text, max(0, m.start() - 4), m.start()):
+                continue
+            entity, lo, hi = people[m[0].lower()]
             put = lambda s, lo=lo, hi=hi, parts=parts: " ".join(map(_cased, parts, s.partition(":")[2].split(" ")[lo:hi]))
             out.append((m.start(), m.end(), entity, put))
         out.sort(key=lambda o: o[0])

