@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from docwatch.llm.common import cut
 
 #: Terms a task holds before it passes their counts on; bytes of a text that are read at once; terms (rows) of one portion's trees.
-HELD, BLOCK, ROWS = 400_000, 1 << 20, 4096
+HELD, BLOCK, ROWS = 800_000, 1 << 20, 4096
 #: Lower-cases A-Z and turns what no term holds into spaces.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PATH = "array<struct<rank:int,count:long,p:long,z:long>>"
@@ -54,27 +54,26 @@ def _counted():
     from collections import Counter
 
     def told(held: dict) -> pa.RecordBatch:
-        rows = [(*g, t, c, d.get(t, 0)) for g, (n, d) in held.items() for t, c in (*n.items(), (None, 0))]
-        columns = list(zip(*rows))
+        rows = [(*g, t, n >> 40, n & (1 << 40) - 1) for g, terms in held.items() for t, n in (*terms.items(), (None, 0))]
         kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
         arrays[2] = arrays[2].cast(pa.string())
         return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "count", "docs"])
 
     def run(batches):
-        held: dict = {}
+        held: dict = {}  # by group and term: occurrences * 2**40 + documents
         size = 0
         for b in batches:
             langs, sources, texts = b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary())
             for i in range(b.num_rows):
-                count, docs = held.setdefault((langs[i], sources[i]), (Counter(), Counter()))
+                terms = held.setdefault((langs[i], sources[i]), {})
                 own: Counter = Counter()
                 for block in _terms(texts[i].as_py()):
                     own.update(block)
-                before = len(count)
-                count.update(own)
-                docs.update(own.keys())
-                size += len(count) - before
+                size -= len(terms)
+                for t, n in own.items():
+                    terms[t] = terms.get(t, 0) + (n << 40 | 1)
+                size += len(terms)
                 if size > HELD:
                     yield told(held)
                     held, size = {}, 0
@@ -224,7 +223,8 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     # what having it both changes, from the trees
     path = F.array_sort(F.collect_list(F.struct(F.col("rank"), "count", "p", "z")))
     paths = shares.groupBy("lang", "term").agg(path.cast(_PATH).alias("path")).where(F.size("path") > 1).groupBy("lang", "path").agg(F.count("*").alias("times"))
-    sums = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").mapInArrow(_trees(), "lang string, a int, b int, value long")
+    near = F.xxhash64("lang", F.slice("path", 1, 4))  # paths that begin alike meet in one portion
+    sums = paths.repartition(near).sortWithinPartitions("lang", "path").mapInArrow(_trees(), "lang string, a int, b int, value long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("met"))
     out = one.join(back, ["lang", "source", "item"]).withColumn("a", F.least("rank", "rank_j")).withColumn("b", F.greatest("rank", "rank_j")).join(sums, ["lang", "a", "b"], "left")
     value = F.col("v") * F.col("apart") + F.col("one") + F.col("back") + F.coalesce("met", F.lit(0))
