@@ -7,10 +7,10 @@
 2. The addresses (host, URL path and query) are sorted in range partitions (a busy host spans many of them), and each page is
    paired with its neighbour: the nearest earlier address of the host with other lines, else the nearest later one. Of an address
    with several versions, the one of least hash stands for it. Lines travel as 64-bit hashes.
-3. The two pages' lines are aligned by their longest common subsequence; aligned lines are
-   shared by the site and deleted. What remains outside furniture is the text. Where the page marks an article container, its text is
-   the lines of the container, and differencing deletes from them what the neighbours on both sides share (the nearest earlier and the nearest later
-   address with other lines) at the container's ends, where at least half of the host's pages hold the line: the sign-up box or link list that a
+3. The two pages' lines are aligned by their longest common subsequence; lines that are aligned on both sides (the nearest earlier and the nearest later
+   address with other lines; on one, where there is only one) and that three pages of the host hold (all, if it has fewer) are
+   the site's and deleted. What remains outside furniture is the text. A single neighbour with seven tenths of the page's letters is a mirrored page and no evidence. Where the page marks an article container, its text is
+   the lines of the container, and differencing deletes from them what the neighbours on both sides share at the container's ends, where at least half of the host's pages hold the line: the sign-up box or link list that a
    site puts above or below each article. Other lines inside an article stay, as quotes and licence lines repeat between neighbours, too; and
    a neighbour that shares half of the container is a mirrored article and no evidence.
 
@@ -57,6 +57,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 MAIN, PLAIN, CHROME = 2, 1, 0
+#: Lines asked for at most that are broadcast.
+FEW = 100_000
 
 
 def _named(value: str, inside: int) -> bool:
@@ -169,20 +171,20 @@ def shared(a: list, b: list) -> set[int]:
     return out
 
 
-def gone_from(own: list, may: list[bool], marked: bool, before: list | None, after: list | None) -> list[int]:
-    """Places of `own` whose lines the neighbours show to be the site's, among those that `may` be text."""
+def gone_from(own: list, may: list[bool], marked: bool, before: list | None, after: list | None, sizes: list[int] | None = None) -> list[int]:
+    """Places of `own` whose lines the neighbours show to be the site's, among those that `may` be text. sizes: letters of each line of an unmarked page."""
+    inside = [i for i, m in enumerate(may) if m]
+    sides = [shared(own, near) & set(inside) for near in (before, after) if near is not None]
     if not marked:
-        near = before if before is not None else after
-        return sorted(i for i in shared(own, near) if may[i]) if near is not None else []
-    if before is None or after is None:
+        if len(sides) == 2:
+            return sorted(sides[0] & sides[1])
+        letters = sizes or [1] * len(own)
+        if not sides or 10 * sum(letters[i] for i in sides[0]) >= 7 * sum(letters[i] for i in inside):
+            return []  # no neighbour, or one that mirrors the page
+        return sorted(sides[0])
+    if len(sides) < 2 or any(2 * len(alike) >= len(inside) for alike in sides):
         return []
-    inside = [i for i, m in enumerate(may) if m]
-    both = set(inside)
-    for near in (before, after):
-        alike = shared(own, near) & set(inside)
-        if 2 * len(alike) >= len(inside):
-            return []
-        both &= alike
+    both = sides[0] & sides[1]
     head = next((k for k, i in enumerate(inside) if i not in both), len(inside))
     tail = next((k for k, i in enumerate(reversed(inside)) if i not in both), len(inside))
     return inside[:head] + inside[len(inside) - tail :]
@@ -193,7 +195,7 @@ def text_of(page: list[tuple[int, str]], near: list[tuple[int, str]] | None) ->
     marked = any(r == MAIN for r, _ in page)
     may = [r == (MAIN if marked else PLAIN) for r, _ in page]
     own, other = [t for _, t in page], [t for _, t in near] if near is not None else None
-    gone = gone_from(own, may, marked, None if other == own else other, None)
+    gone = gone_from(own, may, marked, None if other == own else other, None, [len(t) for t in own])
     return " ".join(t for i, (_, t) in enumerate(page) if may[i] and i not in gone)
 
 
@@ -209,18 +211,18 @@ def _read(batches):
             page = lines(html or "")
             marked = any(r == MAIN for r, _ in page)
             role = MAIN if marked else PLAIN
-            out.append(([line_key(t) for _, t in page], [r == role for r, _ in page], [t for r, t in page if r == role], marked))
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.bool_())
+            out.append(([line_key(t) for _, t in page], [r == role for r, _ in page], [t for r, t in page if r == role], marked, [] if marked else [len(t) for _, t in page]))
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.int32()))
         columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
         names = ["page_id", "url", "host", "path", "query"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "lines", "may", "texts", "marked"])
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "lines", "may", "texts", "marked", "sizes"])
 
 
 def _differenced(batches):
     """host, path, query, h, marked, gone, key: the number (among those that may be text) and hash of each line to delete."""
     for b in batches:
         at, gone, keys = [], [], []
-        for row, (own, may, *rest) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lines", "may", "marked", "near_before", "near_after")))):
+        for row, (own, may, *rest) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lines", "may", "marked", "near_before", "near_after", "sizes")))):
             number = {i: n for n, i in enumerate(i for i, m in enumerate(may) if m)}
             for i in gone_from(own, may, *rest):
                 at.append(row)
@@ -277,25 +279,27 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), r"/$", "")
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), query.alias("query"), F.col("html").cast("string").alias("html"))
-    read = rows.mapInArrow(_read, "page_id long, url string, host string, path string, query string, lines array<long>, may array<boolean>, texts array<string>, marked boolean")
+    read = rows.mapInArrow(_read, "page_id long, url string, host string, path string, query string, lines array<long>, may array<boolean>, texts array<string>, marked boolean, sizes array<int>")
     read = read.withColumn("h", F.xxhash64("lines", "may"))
     address = ["host", "path", "query"]
     # until the texts are read again at the end all is narrow: hashes of the lines of each distinct version of a page
-    versions = cut(read.groupBy(*address, "h").agg(F.first("lines").alias("lines"), F.first("may").alias("may"), F.first("marked").alias("marked")), "versions")
+    versions = cut(read.groupBy(*address, "h").agg(F.first("lines").alias("lines"), F.first("may").alias("may"), F.first("marked").alias("marked"), F.first("sizes").alias("sizes")), "versions")
     near = neighbours(versions.groupBy(*address).agg(F.min(F.xxhash64("lines")).alias("r")))
     of = lambda *cs: F.coalesce(*[F.when(F.col(f"{c}.r") != F.xxhash64("lines"), F.col(c)) for c in cs])
     pairs = versions.join(near.drop("r"), address).withColumns({"before": of("before1", "before2"), "after": of("after1", "after2")})
     for side in ("before", "after"):
         every = versions.groupBy("host", F.struct("path", "query", F.xxhash64("lines").alias("r")).alias(side)).agg(F.first("lines").alias(f"near_{side}"))
         pairs = pairs.join(every, ["host", side], "left")
-    pairs = pairs.select(*address, "h", "lines", "may", "marked", "near_before", "near_after").where("near_before IS NOT NULL OR near_after IS NOT NULL")
+    pairs = pairs.select(*address, "h", "lines", "may", "marked", "sizes", "near_before", "near_after").where("near_before IS NOT NULL OR near_after IS NOT NULL")
     found = cut(pairs.mapInArrow(_differenced, "host string, path string, query string, h long, marked boolean, gone int, key long"), "found")
-    asked = cut(found.where("marked").select("host", "key").distinct(), "asked")
+    asked = cut(found.select("host", "key").distinct(), "asked")
     if asked.take(1):
-        holds = versions.select("host", F.explode(F.array_distinct("lines")).alias("key")).join(if_small(asked), ["host", "key"])
-        pages_of = versions.groupBy("host").agg(F.count("*").alias("all"))
-        site = holds.groupBy("host", "key").agg(F.count("*").alias("n")).join(pages_of, "host").where("2 * n >= all").select("host", "key", "n")
-        found = found.join(site, ["host", "key"], "left").where("NOT marked OR n IS NOT NULL")
+        holds = versions.select("host", F.explode(F.array_distinct("lines")).alias("key"))
+        few = asked.limit(FEW + 1).count() <= FEW
+        # lines asked for that are many are looked up after the counts, as one line of a large host would meet in one task
+        count = (holds.join(F.broadcast(asked), ["host", "key"]) if few else holds).groupBy("host", "key").agg(F.count("*").alias("n"))
+        site = (count if few else count.join(asked, ["host", "key"])).join(versions.groupBy("host").agg(F.count("*").alias("all")), "host")
+        found = found.join(site, ["host", "key"]).where("if(marked, 2 * n >= all, n >= least(3, all))")
     found = if_small(cut(found.groupBy(*address, "h").agg(F.collect_list("gone").alias("gone")), "gone"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("texts") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     text = F.when(F.size("texts") == 0, "").otherwise(F.array_join(F.transform(keep, lambda i: F.get("texts", i)), " "))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docwatch.llm import decontaminate, html_main, line_dedup, mixing, ngram_join, pii, quality, sharding, topk, toxicity
+from tests.conftest import DATA
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -614,6 +615,28 @@ def test_html_end_to_end_brute_force(spark):
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
+def test_html_unmarked(spark):
+    """Unmarked pages: mirrored ones keep their text, alone on a host or among others; a sentence that two neighbours repeat stays, menus go."""
+    page = lambda *body: "<div>Home</div><div>Contact us</div>" + "".join(f"<p>{b}</p>" for b in body) + "<div>Imprint</div>"
+    rows = [(1, "http://two.x/1", "<p>One</p><p>Two</p><p>Three</p><p>Four</p>"), (2, "http://two.x/2", "<p>One</p><p>Two</p><p>Three</p><p>Five</p>")]
+    for i in range(9):
+        same = ["The same story stands here.", "It has a second paragraph.", "And a third."] if i in (4, 5) else []
+        rows.append((10 + i, f"http://site.x/{i}", page(f"Story {i}.", *same, *(["A sentence of two pages."] if i in (7, 8) else []), f"End of {i} comes.")))
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "One Two Three Four" and got[2] == "One Two Three Five"
+    for i in range(9):
+        same = "The same story stands here. It has a second paragraph. And a third. " if i in (4, 5) else "A sentence of two pages. " if i in (7, 8) else ""
+        assert got[10 + i] == f"Story {i}. {same}End of {i} comes.", i
+
+
+def test_html_given_pages_without_containers(spark):
+    """The 250 given pages with their article elements stripped lose no line of their articles."""
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
+    bare = {r.page_id: r.text for r in html_main.extract(pages.withColumn("html", F.regexp_replace("html", "</?(article|main)[^>]*>", ""))).collect()}
+    for r in pages.collect():
+        assert all(text in bare[r.page_id] for role, text in html_main.lines(r.html or "") if role == html_main.MAIN), r.page_id
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_neighbours_brute_force(spark, seed):
     rng = random.Random(seed)
