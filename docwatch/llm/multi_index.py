@@ -32,8 +32,8 @@ from docwatch.llm.common import cut
 
 #: Rows that the quantisers are learned from; centroids a half; rounds of k-means; sampled queries, and the recall wanted among the sampled rows.
 SAMPLE, CENTROIDS, ROUNDS, ASKED, TARGET = 20_000, 512, 12, 300, 0.975
-#: Rows at least that a query visits (times k); rows of a zone; queries of a tile; lengths of vectors in one table.
-FEWEST, ZONE, QUERIES, LENGTHS = 20, 4096, 4096, 100
+#: Rows at least that a query visits (times k); rows of a zone; queries of a tile; lengths of vectors in one table; tasks that traverse cells, of 32 queries or more.
+FEWEST, ZONE, QUERIES, LENGTHS, TASKS = 20, 4096, 4096, 100, 20_000
 
 
 def usable(v: Column) -> Column:
@@ -209,9 +209,10 @@ def _of_length(v: DataFrame, k: int) -> DataFrame:
     cand = cells.join(F.broadcast(place), "cell").withColumn("zone", F.col("first") + F.pmod(F.xxhash64("vec_id", "key", "copy"), "parts"))
     cand = cand.groupBy("zone").agg(F.collect_list(F.struct("vec_id", "x", "cell")).alias("r"))
     cand = cand.select("zone", F.col("r.vec_id").alias("c_ids"), F.col("r.x").alias("c_data"), F.col("r.cell").alias("c_cells"))
-    query = v.where("asked").select("vec_id", "key", "x").repartition(order)
+    asked = v.where("asked").count()
+    query = v.where("asked").select("vec_id", "key", "x").repartition(max(1, min(TASKS, asked // 32)), order)
     query = query.mapInArrow(_visits(index, count, need, zones, parts), "zone long, vec_id long, key long, x array<double>, cells array<int>")
-    blocks = -(-v.where("asked").count() // QUERIES) or 1
+    blocks = -(-asked // QUERIES) or 1
     query = query.groupBy("zone", F.pmod(order, F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "key", "x", "cells")).alias("r"))
     query = query.select("zone", "block", F.col("r.vec_id").alias("q_ids"), F.col("r.key").alias("q_keys"), F.col("r.x").alias("q_data"), F.col("r.cells").alias("q_cells"))
     met = query.join(cand, "zone").repartition("zone", "block")
