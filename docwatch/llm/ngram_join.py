@@ -14,9 +14,9 @@ Finding every link (Jaccard of the distinct shingle sets >= percent/100), lossle
 4. Components of these links. Where a chunk group still holds several components, the members outside the largest meet a
    few members of that (others in each group, so a link between two components is soon found). Where several
    are left after that, in groups of at most CROWD sets the pairs across components are tested. In crowded groups (a chunk
-   of one shingle that many texts share) a set that has enough chunks in other groups meets each partner there. Of the others, pairs are tested
-   in groups of at most PAIRED; those of larger groups are keyed anew, so that candidates stay linear in the rows: a small set by its subsets that a link may leave in common (of the sets that
-   hold such a subset the one with fewest other shingles links with all whose common part it is, so a leader is enough); a larger set by its rarest shingles, of which
+   of one shingle that many texts share) a set that has enough chunks in other groups meets each partner there. The others are keyed
+   anew, so that candidates stay linear in the rows: a small set by its subsets that a link may leave in common (of the sets that
+   hold such a subset the one with fewest other shingles links with all whose common part it is, so a leader is enough); a larger set by its rarest shingles (rare in a bounded sample of these sets; any order would do), of which
    linked sets share one, and where that is crowded, too, by two, three and four of them, as long as these chains are fewer than the pairs they save; pairs across
    components are tested only in what is left.
    Pairs within one component can't change the result, so components are exact while copies are never expanded into all pairs.
@@ -46,10 +46,10 @@ BITS = 1024
 BRIDGES, HOSTS = 1, 8
 #: Sets in a chunk group from which on it counts as crowded.
 CROWD = 64
-#: Thin sets of a crowded group up to which their pairs across components are tested; those of larger groups are keyed anew.
-PAIRED = 4096
 #: Subset keys of a small set at most; shingles that a chain of rare shingles has at most, and chains of one set at most.
 SUBSETS, CHAIN, CHAINS = 300, 4, 2000
+#: Thin sets in which frequent shingles are looked for, and the most frequent ones that are sent to the tasks at most. This changes the order of shingles only, not what is found.
+SEEN, FREQUENT = 4000, 100_000
 #: One text in so many is looked at to find frequent chunk groups, of which so many at most are salted so many ways. This changes the plan only.
 LOOK, HOT, SALTS = 64, 1000, 64
 
@@ -171,6 +171,26 @@ def _subsets(percent: int):
     return lambda batches: _merged(run(batches))
 
 
+def _rare(percent: int, frequent: np.ndarray, times: np.ndarray):
+    """cls, p, e: for each set its rarest shingles, p of which one is in common with every linked set, and CHAIN - 1 more.
+
+    Rarer is what is not among the `frequent` ones (sorted) or has fewer `times` there, then the smaller hash: one order for all sets.
+    """
+
+    def run(batches):
+        for b in batches:
+            p, e = [], []
+            for arr in b.column("arr"):
+                s = np.asarray(arr.values)
+                at = np.minimum(np.searchsorted(frequent, s), max(0, frequent.size - 1))
+                f = np.where(frequent[at] == s, times[at], 0) if frequent.size else np.zeros(s.size, np.int64)
+                p.append(s.size - _common(s.size, percent) + 1)
+                e.append(s[np.lexsort((s, f))[: p[-1] + CHAIN - 1]])
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(p, pa.int32()), pa.array(e, pa.list_(pa.int64()))], ["cls", "p", "e"])
+
+    return run
+
+
 def _profile(width: int, percent: int):
     def run(batches):
         for b in batches:
@@ -322,10 +342,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     spare = reps.select("cls", F.explode("spare").alias("s")).select("cls", F.shiftright("s", 32).alias("band"), F.col("s").bitwiseAND(F.lit((1 << 32) - 1)).alias("s"))
     thin = in_crowd.groupBy("cls", "band").agg(F.count("*").alias("c")).join(spare, ["cls", "band"]).where("c >= s").select("cls", "band")
     thin_rows = cut(in_crowd.join(thin, ["cls", "band"]).select(*rest.columns), "thin-rows")
-    # each group is either paired or keyed anew as a whole, so two sets that share it meet in any case
-    large = thin_rows.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > PAIRED).select("sig")
-    thin = cut(thin_rows.join(large, "sig").select("cls").distinct(), "thin")
-    still = rest.join(crowded, "sig", "left_anti").unionByName(thin_rows.join(large, "sig", "left_anti"))
+    thin = cut(thin_rows.select("cls").distinct(), "thin")
+    still = rest.join(crowded, "sig", "left_anti")
     still = cut(still.join(sized, "cls"), "open-bits")
     side = lambda x: still.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lead", "label", "n", "bits")))
     # the leader was compared with every member before; only pairs across components remain
@@ -337,11 +355,12 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
     def across(groups: DataFrame) -> DataFrame:
-        """Pairs of different components in the same group of `groups` (key, cls, label); the bitmaps of the distinct ones are compared later."""
-        side = lambda x: groups.select("key", F.col("cls").alias(x), F.col("label").alias(f"label_{x}"))
+        """Pairs of different components in the same group of `groups` (key, cls, label) whose bitmaps allow a link."""
+        of = groups.join(sized, "cls")
+        side = lambda x: of.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "label", "n", "bits")))
         a, b = side("a"), side("b")
-        met = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-        return met.select("a", "b").distinct()
+        met = a.join(b, (a["key"] == b["key"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _possible(percent))
+        return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
     if thin.take(1):
         every = cut(arrays_of(thin, "thin").join(thin, "cls").withColumn("size", F.size("arr")), "thin-sets")
@@ -352,12 +371,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         met = keys.join(leads, "key").where("cls <> lead")
         more = more.union(met.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")))
         rows = every.where(F.col("size") > small)
-        one = rows.select("cls", F.explode("arr").alias("s"))
-        rare = one.join(if_small(cut(one.groupBy("s").agg(F.count("*").alias("f")), "frequency")), "s")
-        prefix = (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")
-        order = Window.partitionBy("cls").orderBy("f", "s")
-        rare = rare.withColumn("at", F.row_number().over(order)).join(rows.select("cls", prefix.alias("p")), "cls").where(F.col("at") < F.col("p") + CHAIN)
-        rare = rare.groupBy("cls", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("e"))
+        seen = rows.select("cls", "arr").orderBy(F.xxhash64("cls"), "cls").limit(SEEN).select(F.explode("arr").alias("s"))
+        often = seen.groupBy("s").agg(F.count("*").alias("f")).where("f > 1").orderBy(F.desc("f"), "s").limit(FREQUENT).toArrow()
+        order = np.argsort(often["s"].to_numpy(), kind="stable")
+        rare = rows.select("cls", "arr").mapInArrow(_rare(percent, often["s"].to_numpy()[order], often["f"].to_numpy()[order]), "cls long, p int, e array<long>")
         chain = rare.select("cls", "p", "e", F.posexplode(F.slice("e", F.lit(1), F.col("p"))).alias("at", "key"))
         for depth in range(1, deepest + 1):
             chain = cut(chain, "chain")

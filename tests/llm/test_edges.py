@@ -81,7 +81,8 @@ def test_join_brute_force(spark, seed):
 def test_join_crowded_groups(spark, monkeypatch, crowd):
     """Many short and middling texts that share a passage: groups crowded from a few sets on, frequent ones salted; components are those of all pairs."""
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
-    monkeypatch.setattr(ngram_join, "PAIRED", crowd)
+    monkeypatch.setattr(ngram_join, "SEEN", 20)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 5)
     monkeypatch.setattr(ngram_join, "LOOK", 2)
     monkeypatch.setattr(ngram_join, "BRIDGES", crowd == 2)
     rng = random.Random(crowd)
