@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docwatch.operators import entities as H
+from docwatch.plans.names import common, words_in_order
 from docwatch.plans.registry import query
 from docwatch.session import table
 
@@ -68,11 +69,54 @@ def resolved_mentions(spark, sf):
     return r.groupBy("entity_type", "action", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("fuzzy_aliases")
+#: Names are three words of a text; a mention has a letter less, a legal form, a letter more, its words in another order, or is an alias.
+_PEOPLE = """t AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'PERSON' ELSE lang END AS entity_type, regexp_extract(lower(text), '[a-z]+ [a-z]+ [a-z]+', 0) AS n FROM {documents}),
+b AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN n WHEN 1 THEN concat(substring(n, 1, 3), substring(n, 5, 400)) WHEN 2 THEN concat(n, ' inc') WHEN 3 THEN concat(substring(n, 1, 5), 'x', substring(n, 6, 400))
+  WHEN 4 THEN concat('also ', n) ELSE concat(substring(n, length(n) - 2, 3), ' ', substring(n, 1, length(n) - 3)) END AS m FROM t WHERE n <> '' AND length(n) <= 80)"""
+_KNOWN = "SELECT entity_type, n AS normalized_name, min(doc_id) AS entity_id FROM b WHERE doc_id % 3 < 2 GROUP BY 1, 2"
+_SHORT = lambda c: f"coalesce(nullif(trim(regexp_replace({c}, '\\b(?:{'|'.join(H.SUFFIXES)})\\.?\\s*$', '')), ''), {c})"
+_FUZZY = f"""{_PEOPLE.replace('{documents}', 'documents')}, known AS ({_KNOWN}), kf AS (SELECT *, {words_in_order(_SHORT('normalized_name'))} AS g FROM known),
+    al AS (SELECT DISTINCT entity_type, 'also ' || n AS alias, k.entity_id FROM b JOIN known k USING (entity_type) WHERE k.normalized_name = n AND doc_id % 7 < 3),
+    asked AS (SELECT DISTINCT entity_type, m, {words_in_order(_SHORT('m'))} AS f FROM b),
+    near AS (SELECT entity_type, m, entity_id, f, g FROM asked JOIN kf USING (entity_type) WHERE levenshtein(f, g) <= 15 * (length(f) + length(g)) / 100.0 AND (entity_type, m) NOT IN (SELECT (entity_type, normalized_name) FROM known)),
+    sc AS (SELECT entity_type, m, entity_id, 200.0::DOUBLE * {common('f', 'g')} / (length(f) + length(g)) AS score FROM near),
+    best AS (SELECT entity_type, m, arg_min(entity_id, (-score, entity_id)) AS entity_id, max(score) AS score FROM sc WHERE score >= 85 GROUP BY 1, 2)"""
+
+
+def _people(spark, sf):
+    """(doc_id, source, entity_type, n, m): names and their mentions."""
+    return spark.sql(f"WITH {_PEOPLE} SELECT * FROM b", documents=table(spark, sf, "documents"))
+
+
+def _known(b):
+    return b.where("doc_id % 3 < 2").groupBy("entity_type", F.col("n").alias("normalized_name")).agg(F.min("doc_id").alias("entity_id"), F.array_sort(F.collect_set("source")).alias("context"))
+
+
+@query("fuzzy_aliases", f"WITH {_FUZZY} SELECT entity_type, m AS normalized_name, entity_id, round(score, 9) AS score FROM best")
 def fuzzy_aliases(spark, sf):
-    n = _names(spark, sf).select(F.lit("ORGANIZATION").alias("entity_type"), "normalized_name").distinct()
-    e = n.where("normalized_name LIKE '% co'").withColumn("entity_id", F.xxhash64("normalized_name"))
-    return H.fuzzy_aliases(n, e)
+    b = _people(spark, sf)
+    found = H.fuzzy_aliases(b.select("entity_type", F.col("m").alias("normalized_name")), _known(b))
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(
+    "resolved_entities",
+    f"""WITH {_FUZZY}, ctx AS (SELECT entity_type, n AS normalized_name, list(DISTINCT source) AS context FROM b WHERE doc_id % 3 < 2 GROUP BY 1, 2),
+    one AS (SELECT entity_type, alias, min(entity_id) AS entity_id FROM al GROUP BY 1, 2),
+    h AS (SELECT b.doc_id, b.entity_type, b.m, CASE WHEN b.doc_id % 4 > 0 THEN b.source END AS src, coalesce(k.entity_id, o.entity_id, x.entity_id) AS hit,
+      CASE WHEN k.entity_id IS NOT NULL THEN 'exact name' WHEN o.entity_id IS NOT NULL THEN 'known alias' WHEN x.entity_id IS NOT NULL THEN 'fuzzy match' END AS matched
+      FROM b LEFT JOIN known k ON k.entity_type = b.entity_type AND k.normalized_name = b.m LEFT JOIN one o ON o.entity_type = b.entity_type AND o.alias = b.m LEFT JOIN best x ON x.entity_type = b.entity_type AND x.m = b.m),
+    g AS (SELECT h.*, coalesce(list_contains(c.context, src), false) AS met FROM h LEFT JOIN known k ON k.entity_id = h.hit LEFT JOIN ctx c ON c.entity_type = k.entity_type AND c.normalized_name = k.normalized_name)
+    SELECT doc_id, m AS normalized_name, CASE WHEN hit IS NULL OR (entity_type = 'PERSON' AND NOT met) THEN 'NEW_ENTITY' WHEN matched = 'fuzzy match' THEN 'NEW_ALIAS' ELSE 'MERGE' END AS action,
+      CASE WHEN hit IS NULL OR (entity_type = 'PERSON' AND NOT met) THEN NULL ELSE hit END AS entity_id, matched,
+      CASE WHEN hit IS NULL THEN 0.6 WHEN entity_type <> 'PERSON' THEN 0.9 WHEN met THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence FROM g""",
+)
+def resolved_entities(spark, sf):
+    b = _people(spark, sf)
+    known = _known(b)
+    aliases = b.where("doc_id % 7 < 3").select("entity_type", F.col("n").alias("normalized_name")).join(known, ["entity_type", "normalized_name"]).select("entity_id", F.concat(F.lit("also "), "normalized_name").alias("alias")).distinct()
+    asked = b.select("doc_id", "entity_type", F.col("m").alias("normalized_name"), F.when(F.col("doc_id") % 4 > 0, F.array("source")).alias("context"))
+    return H.resolve_mentions(asked, known, aliases).select("doc_id", "normalized_name", "action", "entity_id", "matched", "confidence")
 
 
 @query(
@@ -111,22 +155,6 @@ def story_candidates(spark, sf):
     return H.story_candidates(e.select(F.col("event_id").alias("doc_id"), F.col("ts").alias("at"), kind.alias("page_type")), stories, e.select(F.col("event_id").alias("doc_id"), ent), of)
 
 
-@query(
-    "match_scores",
-    """WITH p AS (SELECT doc_id, doc_id % 11 / 10 AS o, doc_id % 5 = 0 AS per, doc_id % 7 / 7 AS t, doc_id % 3 / 3 AS b, doc_id % 64 / 64 AS s, doc_id % 2 = 0 AS pl, doc_id % 100 AS h, doc_id % 4 = 0 AS src FROM documents),
-    f AS (SELECT doc_id, CASE WHEN per THEN o * 0.3 ELSE o END AS ov, per, t, b, s, pl, CASE WHEN h >= 72 THEN 0 ELSE 1 - h / 72 END AS n, src FROM p),
-    g AS (SELECT *, ov * 0.30 + t * 0.20 + n * 0.15 + b * 0.10 + s * 0.10 + CASE WHEN pl THEN 0.1 ELSE 0 END + CASE WHEN src THEN 0.5 ELSE 1.0 END * 0.05 AS sc FROM f)
-    SELECT doc_id, round(sc, 9)::DOUBLE AS score, CASE WHEN sc >= 0.65 THEN 'ATTACH_HIGH' WHEN sc >= 0.45 AND ov >= 0.30 AND NOT per THEN 'ATTACH_MEDIUM' ELSE 'REJECT' END AS decision FROM g""",
-)
-def match_scores(spark, sf):
-    i = F.col("doc_id")
-    p = table(spark, sf, "documents").select(
-        "doc_id", (i % 11 / 10).alias("overlap"), (i % 5 == 0).alias("only_persons"), (i % 7 / 7).alias("title_similarity"), (i % 3 / 3).alias("body_similarity"), (i % 64 / 64).alias("simhash_similarity"),
-        (i % 2 == 0).alias("same_place"), (i % 100).alias("hours"), F.lit(72).alias("window_hours"), (i % 4 == 0).alias("same_source"),
-    )
-    return H.match_score(p).select("doc_id", F.round("score", 9).alias("score"), "decision")
-
-
 @query("story_rollups", "SELECT user_id % 40 AS story_id, count(DISTINCT event_id % 500) AS documents, count(DISTINCT user_id) AS sources, min(ts) AS first_published, max(ts) AS last_published FROM events GROUP BY 1")
 def story_rollups(spark, sf):
     e = table(spark, sf, "events")

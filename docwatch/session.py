@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every operator assumes; cluster-sizing settings stay with the caller.
 SETTINGS = {
@@ -28,3 +31,20 @@ def session(master: str | None = None, partitions: int | None = None, name: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed and kept in the folder that spark.checkpoint.dir names, where its lineage ends; Spark deletes it once nothing refers to it, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set. In a local session without that setting a temporary folder takes its place; elsewhere that is an error."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-docwatch-"))
+    return df.checkpoint()
+
+
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows, counted first; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
