@@ -114,9 +114,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(j.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
             "edges",
         )
-        nodes = e.agg(F.count("*"), F.countDistinct("u")).first()
-        stars = nodes[0] == nodes[1] and not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").take(1)
-        if stars:  # every node points to one other, which points nowhere
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("u"), F.lit(0).alias("v")).union(e.select(F.col("v").alias("x"), F.lit(0).alias("u"), F.lit(1).alias("v")))
+        if not ends.groupBy("x").agg(F.sum("u").alias("u"), F.max("v").alias("v")).where("u > 1 OR u = 1 AND v = 1").limit(1).count():
+            # every node points to one other, which points nowhere
             labels = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
             return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, label, as `components` gives them) after further `links` (a, b) are added; a written table. Only the components that the links join are labelled anew."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b")
+    new = cut(components(ends), "labels")
+    again = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return cut(again.union(new.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")

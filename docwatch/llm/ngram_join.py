@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import components, cut, fresh, if_small
+from docwatch.llm.common import components, cut, fresh, if_small, merged
 from docwatch.llm.shingles import U, column_bytes, mix, text_shingles
 
 BITS = 1024
@@ -49,7 +49,7 @@ CROWD = 64
 #: Subset keys of a small set at most; shingles that a chain of rare shingles has at most, and chains of one set at most.
 SUBSETS, CHAIN, CHAINS = 300, 4, 2000
 #: Thin sets in which frequent shingles are looked for, and the most frequent ones that are sent to the tasks at most. This changes the order of shingles only, not what is found.
-SEEN, FREQUENT = 4000, 100_000
+SEEN, FREQUENT = 500, 100_000
 #: One text in so many is looked at to find frequent chunk groups, of which so many at most are salted so many ways. This changes the plan only.
 LOOK, HOT, SALTS = 64, 1000, 64
 
@@ -312,8 +312,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         return cut(labelled.join(mixed, "sig").select("sig", "cls", "lead", "label"), name)
 
     first = members.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    tried, links = first, verified(first, "first")
-    labels = components(links)
+    tried, links = cut(first, "first"), verified(first, "first")
+    labels = cut(components(links), "labels")
     rest = still_open(labels, "open")
     sized = reps.select("cls", "n", "bits")
     for turn in range(BRIDGES):
@@ -331,8 +331,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         found = verified(met, "bridge")
         if not found.take(1):
             break
-        tried, links = tried.union(met), links.union(found)
-        labels = components(links)
+        tried, labels = tried.union(met), merged(labels, found)
         rest = still_open(labels, "open")
     # In a group of many sets only those count that have few chunks elsewhere: a set with more than d filled chunks
     # in other groups shares one of these with each partner, and meets it there.
@@ -343,25 +342,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     thin = in_crowd.groupBy("cls", "band").agg(F.count("*").alias("c")).join(spare, ["cls", "band"]).where("c >= s").select("cls", "band")
     thin_rows = cut(in_crowd.join(thin, ["cls", "band"]).select(*rest.columns), "thin-rows")
     thin = cut(thin_rows.select("cls").distinct(), "thin")
-    still = rest.join(crowded, "sig", "left_anti")
-    still = cut(still.join(sized, "cls"), "open-bits")
-    side = lambda x: still.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lead", "label", "n", "bits")))
-    # the leader was compared with every member before; only pairs across components remain
-    paired = side("a").join(
-        side("b"),
-        (side("a")["sig"] == side("b")["sig"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("cls_a") != F.col("lead_a")) & _possible(percent),
-    )
-    more = paired.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
-    labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-    def across(groups: DataFrame) -> DataFrame:
-        """Pairs of different components in the same group of `groups` (key, cls, label) whose bitmaps allow a link."""
-        of = groups.join(sized, "cls")
-        side = lambda x: of.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "label", "n", "bits")))
-        a, b = side("a"), side("b")
-        met = a.join(b, (a["key"] == b["key"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _possible(percent))
-        return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-
+    groups = rest.join(crowded, "sig", "left_anti").select(F.col("sig").alias("key"), "cls")
+    more = []
     if thin.take(1):
         every = cut(arrays_of(thin, "thin").join(thin, "cls").withColumn("size", F.size("arr")), "thin-sets")
         small, top = small_sizes(percent)
@@ -369,7 +351,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         keys = cut(every.where(F.col("size") <= top).select("cls", "arr").mapInArrow(_subsets(percent), "key long, cls long").join(sized.select("cls", "n"), "cls"), "subsets")
         leads = keys.groupBy("key").agg(F.min(F.struct("n", "cls")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.cls").alias("lead"))
         met = keys.join(leads, "key").where("cls <> lead")
-        more = more.union(met.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")))
+        more.append(met.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")))
         rows = every.where(F.col("size") > small)
         seen = rows.select("cls", "arr").orderBy(F.xxhash64("cls"), "cls").limit(SEEN).select(F.explode("arr").alias("s"))
         often = seen.groupBy("s").agg(F.count("*").alias("f")).where("f > 1").orderBy(F.desc("f"), "s").limit(FREQUENT).toArrow()
@@ -383,17 +365,26 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             for i in range(depth + 1):
                 most = most * (F.col("p") + depth - i) / (i + 1)
             full = chain.groupBy("key").agg(F.count("*").alias("c"), F.max("p").alias("p")).where((F.col("c") > CROWD) & (8 * F.col("p") <= F.col("c")) & (most <= CHAINS))
-            full = if_small(cut(full.select("key"), "full"))
-            groups = chain if depth == deepest else chain.join(full, "key", "left_anti")
-            more = more.union(across(labelled(groups.select("key", "cls"))))
+            full = cut(full.select("key"), "full")
+            if depth == deepest or not full.take(1):
+                groups = groups.union(chain.select("key", "cls"))
+                break
+            full = if_small(full)
+            groups = groups.union(chain.join(full, "key", "left_anti").select("key", "cls"))
             chain = chain.join(full, "key", "left_semi").select("cls", "p", "e", "key", "at", F.posexplode("e").alias("next", "s"))
             chain = chain.where((F.col("next") > F.col("at")) & (F.col("next") < F.col("p") + depth))
             chain = chain.select("cls", "p", "e", F.col("next").alias("at"), F.xxhash64("key", "s").alias("key"))
-    more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    # pairs of different components in one group; the bitmaps must allow a link
+    groups = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(sized, "cls")
+    side = lambda x: groups.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "label", "n", "bits")))
+    a, b = side("a"), side("b")
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _possible(percent))
+    more.append(met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
+    more = cut(reduce(DataFrame.union, more).distinct().join(tried, ["a", "b"], "left_anti"), "more")
     if more.take(1):
         extra = verified(more, "second")
         if extra.take(1):
-            labels = components(links.union(extra))
+            labels = merged(labels, extra)
 
     classed = reps.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = classed.groupBy("label").agg(F.min("least_id").alias("component_id"))
