@@ -13,13 +13,11 @@ from docwatch.session import table
 
 
 def _nodes(spark, sf):
-    """Nodes of the pages, each with a JSON-LD block, a small table and a next link that depend on its id."""
+    """Nodes of the pages, each with a JSON-LD block that depends on its id."""
     i = F.col("page_id").cast("string")
     kind = F.when(F.col("page_id") % 3 == 0, "NewsArticle").when(F.col("page_id") % 3 == 1, "Product").otherwise("BlogPosting")
     block = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": ["'), kind, F.lit('"], "headline": "H'), i, F.lit('", "author": {"name": "A'), (F.col("page_id") % 7).cast("string"), F.lit('"}, "datePublished": "2024-02-03T04:05:06Z"}]}</script>'))
-    tab = F.concat(F.lit("<table><tr><th>a<th colspan=2>b<tr><td>"), i, F.lit("<td>x <i>y</i><td>z</table>"))
-    nxt = F.when(F.col("page_id") % 8 == 3, '<a href="/list?start=40">4</a><a href="/list?start=20">3</a><a href="/list?page=2">2</a>').when(F.col("page_id") % 8 == 5, '<link rel="next" href="/r"><a href="/n">Next »</a>').when(F.col("page_id") % 2 == 0, '<a href="/list?page=3">3</a><a href="/list?page=2">2</a>').otherwise('<a href="/n">Next »</a>')
-    return P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", F.concat("html", block, tab, nxt).alias("html")))
+    return P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", F.concat("html", block).alias("html")))
 
 
 @query("structured_data", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'NewsArticle' WHEN 2 THEN 'BlogPosting' END AS schema_type, CASE WHEN page_id % 3 <> 1 THEN 'H' || page_id END AS headline, CASE WHEN page_id % 3 <> 1 THEN 'A' || page_id % 7 END AS author FROM pages")
@@ -32,17 +30,75 @@ def schema_entities(spark, sf):
     return X.json_ld(_nodes(spark, sf)).groupBy("schema_type").agg(F.countDistinct("page_id").alias("pages"))
 
 
-@query("page_tables", "SELECT page_id, c AS col, CASE c WHEN 0 THEN 'a' ELSE 'b' END AS header, CASE c WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN 'x y' ELSE 'z' END AS text FROM pages, range(3) r(c)")
+#: Tables by page_id % 7: a thead with a caption; two header rows of spans; a first row of th that spans; th as row headers; a layout table; one row of data only; a table in a cell.
+_TABLES = [
+    "<table><caption>Report {i}</caption><thead><tr><th>Name<th>Status<th>Date</thead><tbody><tr><td>P{i}<td>Active<td>x <i>y</i><tr><td>Other<td>Idle<td></tbody><tfoot><tr><td>sum<td>2<td></tfoot></table>",
+    '<table><tr><th rowspan=2>City {i}<th colspan=2>Size<th rowspan="2"><tr><th>Area<th>Area<tr><td>a<td>1<td>2<td>3<tr><td>b<td>4<td>5<tr><td>c</table>',
+    "<table><tr><th>a<th colspan=2>b<tr><td>{i}<td>x <i>y</i><td>z<tr><td>1<td>2<td>3<td>4<td>5<td>6</table>",
+    '<table><thead><tr><th>City<th>People</thead><tr><th scope="row">Jakarta<td>{i}<tr><th>Dhaka<td>7</table>',
+    '<table><tr><td><img src="logo.png"><td>Site {i}</table>',
+    "<table><tr><th>A<th>B<tr><td>1<td>{i}</table>",
+    "<table><tr><th>k<th>v<tr><td>1<td><table><tr><th>m<th>n<tr><td>{i}<td>in<tr><td>q<td>r</table><tr><td>2<td>end</table>",
+]
+
+
+@query(
+    "page_tables",
+    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'Report ' || page_id END AS caption, t.headers, t.header_rows, t.row, t.cells FROM pages, (SELECT * FROM (VALUES
+    (0, 'Name|Status|Date', 1, 0, 'P#|Active|x y'), (0, 'Name|Status|Date', 1, 1, 'Other|Idle|'),
+    (1, 'City #|Size / Area|Size / Area|col_4', 2, 0, 'a|1|2|3'), (1, 'City #|Size / Area|Size / Area|col_4', 2, 1, 'b|4|5|'), (1, 'City #|Size / Area|Size / Area|col_4', 2, 2, 'c'),
+    (2, 'a|b', 1, 0, '#|x y'), (2, 'a|b', 1, 1, '1|2|3|4|5|6'), (3, 'City|People', 1, 0, 'Jakarta|#'), (3, 'City|People', 1, 1, 'Dhaka|7'),
+    (6, 'k|v', 1, 0, '1|'), (6, 'k|v', 1, 1, '2|end'), (6, 'm|n', 1, 0, '#|in'), (6, 'm|n', 1, 1, 'q|r')) v(kind, headers, header_rows, row, cells)) t
+    WHERE page_id % 7 = t.kind""".replace("t.headers,", "replace(t.headers, '#', page_id::VARCHAR) AS headers,").replace("t.cells", "replace(t.cells, '#', page_id::VARCHAR) AS cells"),
+)
 def page_tables(spark, sf):
-    return X.page_tables(_nodes(spark, sf)).select("page_id", F.col("col").cast("long").alias("col"), "header", "text")
+    text = F.element_at(F.array(*map(F.lit, _TABLES)), (F.col("page_id") % 7 + 1).cast("int"))
+    pages = table(spark, sf, "pages").select("page_id", "url", F.concat("html", F.replace(text, F.lit("{i}"), F.col("page_id").cast("string"))).alias("html"))
+    t = X.page_tables(P.dom_nodes(pages)).select("page_id", "caption", F.array_join("headers", "|").alias("headers"), "header_rows", F.posexplode("rows").alias("row", "cells"))
+    return t.withColumn("cells", F.array_join("cells", "|"))
+
+
+#: Addresses and links by page_id % 8.
+_PAGERS = [
+    ("/list?offset=25&q=a", ""), ("/list?start=0", ""), ("/list?offset=40", '<a href="/list?offset=0">a</a><a href="/list?offset=20">b</a><a href="/list?offset=40">c</a>'),
+    ("/list", '<a href="/list?start=40">c</a><a href="/list?start=20">b</a>'), ("/list", '<a href="/list?page=3">3</a><a href="/list?page=1">1</a><a href="/list?page=2">2</a>'),
+    ("/list", '<link rel="next" href="/r"><a href="/n">Next »</a>'), ("/list?skip=10", '<a href="?skip=30">Older posts</a>'), ("/list", '<a href="/more">Read more</a><a href="/list?page=2">2</a><a href="/x?from=9">x</a>'),
+]
 
 
 @query(
     "next_pages",
-    f"""SELECT page_id, CASE WHEN page_id % 8 = 3 THEN 'offset' WHEN page_id % 8 = 5 THEN 'rel_next' WHEN page_id % 2 = 1 THEN 'link_text' ELSE 'numbered' END AS method, {SCHEME} || '://' || {AUTHORITY} || CASE WHEN page_id % 8 = 3 THEN '/list?start=20' WHEN page_id % 8 = 5 THEN '/r' WHEN page_id % 2 = 1 THEN '/n' WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '2' THEN '/list?page=3' ELSE '/list?page=2' END AS next_url FROM pages""",
+    f"""SELECT page_id, t.method, {SCHEME} || '://' || {AUTHORITY} || t.link AS next_url, t.size AS page_size, t.own AS current_offset FROM pages JOIN (VALUES
+    (0, 'offset', '/list?offset=50&q=a', 25, 25), (2, 'offset', '/list?offset=60', 20, 40), (3, 'start', '/list?start=40', 20, 20), (4, 'numbered', '/list?page=2', NULL, NULL),
+    (5, 'rel_next', '/r', NULL, NULL), (6, 'offset', '/list?skip=30', 20, 10)) t(kind, method, link, size, own) ON page_id % 8 = t.kind""",
 )
 def next_pages(spark, sf):
-    return X.pagination(_nodes(spark, sf))
+    kind = (F.col("page_id") % 8 + 1).cast("int")
+    of = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in _PAGERS]), kind)
+    url = F.concat(F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0), of(0))
+    return X.pagination(P.dom_nodes(table(spark, sf, "pages").select("page_id", url.alias("url"), F.concat("html", of(1)).alias("html"))))
+
+
+@query(
+    "item_fields",
+    f"""SELECT page_id, (k + 1)::INT AS n, CASE WHEN k % 3 = 2 THEN 'Head ' || k ELSE 'Offer ' || k || ' of ' || page_id END AS title, {SCHEME} || '://' || {AUTHORITY} || '/i/' || k AS url, CASE WHEN k % 2 = 0 THEN '$' || k END AS price,
+    CASE WHEN k % 2 = 1 THEN '2024-01-0' || (k % 9 + 1) END AS published, CASE WHEN k % 4 = 0 THEN '/lazy.png' ELSE '/i.png' END AS image FROM pages, range(14) r(k) WHERE k < 8 + page_id % 6""",
+)
+def item_fields(spark, sf):
+    """Eight to thirteen offers a page, more than its menu has links, some with a heading, a price, a time, a lazy image; one of them without a link."""
+    i = F.col("page_id").cast("string")
+    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+
+    def offer(k):
+        n = k.cast("string")
+        head = F.when(k % 3 == 2, c("<h3>Head ", n, '</h3><a href="/i/', n, '"></a>')).otherwise(c('<a href="/i/', n, '">Offer ', n, " of ", i, "</a>"))
+        more = F.when(k % 2 == 0, c('<span class="x item-price">$', n, "</span>")).otherwise(c('<time datetime="2024-01-0', (k % 9 + 1).cast("string"), '">then</time>'))
+        return c('<div class="b a">', head, more, F.when(k % 4 == 0, '<img src="/blank.gif" data-src="/lazy.png">').otherwise('<img src="/i.png">'), "</div>")
+
+    offers = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 6 + 7).cast("int")), offer), "")
+    nodes = P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", "html").withColumn("html", c(F.col("html"), "<section>", offers, '<div class="a b">no link</div></section>')))
+    f = P.item_fields(nodes, P.repeated_items(nodes))
+    return f.select("page_id", "n", "title", "url", "price", "published", "image")
 
 
 @query("link_hosts", rf"SELECT page_id, {HOST} AS host, len(regexp_extract_all(html, '<a href='))::BIGINT AS links FROM pages")
