@@ -35,34 +35,72 @@ def with_category(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("category", failure_category(F.col("status_code"), F.col("error")))
 
 
+#: A delay's ceiling and what it ends below (ms), requests at once, and what a success, a failure and a throttled fetch do to it: factor and floor.
+MOST_DELAY, LEAST_DELAY, CONCURRENCY = 30_000.0, 50.0, 5
+ON_SUCCESS, ON_FAILURE, ON_THROTTLE = 0.9, (1.5, 200.0), (2.0, 500.0)
+#: Seconds of a key's history that one task folds; results don't depend on it.
+BUCKET = 21_600
+
+
 def _in_order(key: str):
     return Window.partitionBy(key).orderBy("ts", "outcome_id")
 
 
-def removed_restored(outcomes: DataFrame, key: str = "domain", threshold: int = 3) -> DataFrame:
+def _bucket(at: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(seconds * 1_000_000))
+
+
+def since_reset(df: DataFrame, key: str, order: list[str], resets: Column, values: dict[str, Column], seconds: int = BUCKET) -> DataFrame:
+    """`df` with a column for each of `values` (numbers): its sum since the last row of the key for which `resets` holds, that row included.
+
+    A scan in segments: `order` begins with a time, and a key's rows are cut by it into buckets of `seconds`, each summed by itself; one row a bucket tells whether it resets and what its end adds up to.
+    Running over these gives what each bucket begins with. So a key's history, however long, is spread over its buckets.
+    """
+    d = df.withColumns({"b_": _bucket(order[0], seconds), "r_": F.coalesce(resets, F.lit(False)).cast("int")}).withColumns({f"{v}_v": F.coalesce(c, F.lit(0)).cast("long") for v, c in values.items()})
+    d = d.withColumn("island_", F.sum("r_").over(Window.partitionBy(key, "b_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(key, "b_", "island_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({v: F.sum(f"{v}_v").over(inside) for v in values})
+    ends = d.groupBy(key, "b_", "island_").agg(*[F.sum(f"{v}_v").alias(v) for v in values])
+    ends = ends.groupBy(key, "b_").agg(F.max("island_").alias("r_"), *[F.max_by(v, "island_").alias(v) for v in values])
+    along = Window.partitionBy(key).orderBy("b_")
+    ends = ends.withColumn("run_", F.sum((F.col("r_") > 0).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = Window.partitionBy(key, "run_").orderBy("b_").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumns({f"{v}_c": F.sum(v).over(upto) for v in values})
+    begins = ends.select(F.col(key).alias("k_"), F.col("b_").alias("kb_"), *[F.lag(f"{v}_c").over(along).alias(f"{v}_c") for v in values])
+    d = d.join(begins, F.col(key).eqNullSafe(F.col("k_")) & F.col("b_").eqNullSafe(F.col("kb_")))
+    carried = {v: F.col(v) + F.when(F.col("island_") == 0, F.coalesce(f"{v}_c", F.lit(0))).otherwise(0) for v in values}
+    return d.withColumns(carried).select(*[c for c in df.columns if c not in values], *values)
+
+
+def _before(df: DataFrame, key: str, column: str, seconds: int) -> DataFrame:
+    """`df` with `before`, the column's value in the row before of the key: within buckets of time, with the last value of the bucket before for the first row."""
+    d = df.withColumn("b_", _bucket("ts", seconds))
+    last = d.groupBy(key, "b_").agg(F.max_by(column, F.struct("ts", "outcome_id")).alias("last_"))
+    last = last.select(F.col(key).alias("k_"), F.col("b_").alias("kb_"), F.lag("last_").over(Window.partitionBy(key).orderBy("b_")).alias("last_"))
+    near = F.lag(column).over(Window.partitionBy(key, "b_").orderBy("ts", "outcome_id"))
+    d = d.withColumn("before", near).join(last, F.col(key).eqNullSafe(F.col("k_")) & (F.col("b_") == F.col("kb_")))
+    return d.withColumn("before", F.coalesce("before", "last_")).drop("b_", "k_", "kb_", "last_")
+
+
+def removed_restored(outcomes: DataFrame, key: str = "domain", threshold: int = 3, seconds: int = BUCKET) -> DataFrame:
     """Events (key, ts, outcome_id, event): REMOVED at the `threshold`-th failure in a row, RESTORED at the next success.
 
-    Blocked or throttled fetches neither count nor interrupt the row. Failures are numbered since the last success by running sums.
+    Blocked or throttled fetches neither count nor interrupt the row. Failures since the last success are counted in segments of time.
     """
-    w = _in_order(key)
-    o = with_category(outcomes)
     counts = (~F.col("category").isin(*BLOCKED)) & (F.col("category") != "none")
-    o = o.withColumn("island", F.sum(F.col("success").cast("long")).over(w)).withColumn("counts", counts.cast("long"))
-    inside = Window.partitionBy(key, "island").orderBy("ts", "outcome_id")
-    o = o.withColumn("failures", F.sum("counts").over(inside))
-    o = o.withColumn("failed_before", F.lag("failures").over(w))
-    event = F.when((F.col("counts") == 1) & (F.col("failures") == threshold), "REMOVED").when(F.col("success") & (F.col("failed_before") >= threshold), "RESTORED")
+    o = with_category(outcomes).withColumn("counts", counts.cast("int"))
+    o = since_reset(o, key, ["ts", "outcome_id"], F.col("success"), {"failures": F.col("counts")}, seconds)
+    o = _before(o, key, "failures", seconds)
+    event = F.when((F.col("counts") == 1) & (F.col("failures") == threshold), "REMOVED").when(F.col("success") & (F.col("before") >= threshold), "RESTORED")
     return o.withColumn("event", event).where("event IS NOT NULL").select(key, "ts", "outcome_id", "event")
 
 
-def next_interval(checks: DataFrame, key: str, changed: str, least: int, most: int, order: list[str]) -> DataFrame:
-    """`checks` with interval_seconds after each: `least` after a change, doubled after each check without one, at most `most`."""
-    w = Window.partitionBy(key).orderBy(*order)
-    c = checks.withColumn("island__", F.sum(F.col(changed).cast("long")).over(w))
-    run = Window.partitionBy(key, "island__").orderBy(*order)
-    doublings = F.row_number().over(run) - F.when(F.col("island__") > 0, 1).otherwise(0)
-    seconds = F.least(F.lit(float(most)), F.lit(float(least)) * F.pow(F.lit(2.0), F.least(doublings, F.lit(60))))
-    return c.withColumn("interval_seconds", seconds.cast("long")).drop("island__")
+def next_interval(checks: DataFrame, key: str, changed: str, least: int, most: int, order: list[str], seconds: int = BUCKET) -> DataFrame:
+    """`checks` with interval_seconds after each: `least` after a change, doubled after each check without one, at most `most`. `order` begins with a time."""
+    c = since_reset(checks, key, order, F.col(changed), {"rows__": F.lit(1), "changes__": F.col(changed).cast("int")}, seconds)
+    doublings = F.col("rows__") - F.when(F.col("changes__") > 0, 1).otherwise(0)
+    interval = F.least(F.lit(float(most)), F.lit(float(least)) * F.pow(F.lit(2.0), F.least(doublings, F.lit(60))))
+    return c.withColumn("interval_seconds", interval.cast("long")).drop("rows__", "changes__")
 
 
 def due_sources(sources: DataFrame, active_jobs: DataFrame, now: Column, slots: int) -> DataFrame:
@@ -71,21 +109,68 @@ def due_sources(sources: DataFrame, active_jobs: DataFrame, now: Column, slots:
     return due.join(active_jobs.select("source_id"), "source_id", "left_anti").orderBy(F.col("next_crawl_at").asc_nulls_first(), "source_id").limit(slots)
 
 
-def circuit_state(outcomes: DataFrame, key: str = "domain") -> DataFrame:
-    """State after each outcome: consecutive_failures, circuit_state (healthy, degraded, open) and opened_at.
+def _then(f: Column, x: Column) -> Column:
+    """The map of delays `f` (low, from, factor, high: low below `from`, else factor times the delay, at most high) followed by the outcome `x` (ok, factor, floor).
 
-    Three failures in a row degrade a domain, six open its circuit; opened_at stays that of the sixth until a success closes it.
+    Every outcome is such a map and so is every chain of them, so a whole bucket is one. Delays are 0 or between their least and most, so factors beyond a million change nothing.
+    """
+    held = lambda v: F.greatest(F.lit(1e-6), F.least(F.lit(1e6), v))
+    eased = lambda v: F.when(v * ON_SUCCESS < LEAST_DELAY, 0.0).otherwise(v * ON_SUCCESS)
+    raised = lambda v: F.least(F.lit(MOST_DELAY), F.greatest(x["floor"], v * x["factor"]))
+    bound = F.greatest(f["from"], F.when(x["ok"], LEAST_DELAY / (f["factor"] * ON_SUCCESS)).otherwise(x["floor"] / (f["factor"] * x["factor"])))
+    low = F.when(bound > f["from"], F.when(x["ok"], 0.0).otherwise(F.least(F.lit(MOST_DELAY), x["floor"]))).otherwise(F.when(x["ok"], eased(f["low"])).otherwise(raised(f["low"])))
+    return F.struct(
+        low.alias("low"), bound.alias("from"), held(f["factor"] * F.when(x["ok"], ON_SUCCESS).otherwise(x["factor"])).alias("factor"), F.when(x["ok"], eased(f["high"])).otherwise(raised(f["high"])).alias("high")
+    )
+
+
+def _delays(o: DataFrame, key: str, seconds: int) -> DataFrame:
+    """`o` (with category, retry_ms) with delay_ms after each row: the outcomes of a bucket make one map, the maps of a key give each bucket's first delay, from which its rows are folded."""
+    throttled = F.col("category").isin(*BLOCKED)
+    factor, floor = (F.when(throttled, ON_THROTTLE[n]).otherwise(ON_FAILURE[n]) for n in (0, 1))
+    row = F.struct("ts", "outcome_id", (F.col("category") == "none").alias("ok"), factor.alias("factor"), F.greatest(floor, F.coalesce("retry_ms", F.lit(0.0))).alias("floor"))
+    none = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("from"), F.lit(1.0).alias("factor"), F.lit(MOST_DELAY).alias("high"))
+    b = o.groupBy(key, _bucket("ts", seconds).alias("b_")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    maps = b.select(key, "b_", F.aggregate("rows", none, _then).alias("m"))
+    of_key = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b_", "m"))).alias("ms"))
+    put = lambda m, v: F.when(v < m["from"], m["low"]).otherwise(F.least(m["high"], v * m["factor"]))
+    start = F.struct(F.lit(0.0).alias("v"), F.array().cast("array<struct<b_:bigint,v:double>>").alias("out"))
+    run = F.aggregate("ms", start, lambda acc, x: F.struct(put(x["m"], acc["v"]).alias("v"), F.concat(acc["out"], F.array(F.struct(x["b_"].alias("b_"), acc["v"].alias("v")))).alias("out")))
+    begins = of_key.select(F.col(key).alias("k_"), F.inline(run["out"]))
+    begins = begins.select("k_", F.col("b_").alias("kb_"), F.col("v").alias("begin"))
+    each = F.struct(F.col("begin").alias("v"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc, x):
+        ok = F.when(acc["v"] * ON_SUCCESS < LEAST_DELAY, 0.0).otherwise(acc["v"] * ON_SUCCESS)
+        v = F.when(x["ok"], ok).otherwise(F.least(F.lit(MOST_DELAY), F.greatest(x["floor"], acc["v"] * x["factor"])))
+        return F.struct(v.alias("v"), F.concat(acc["out"], F.array(v)).alias("out"))
+
+    done = b.join(begins, F.col(key).eqNullSafe(F.col("k_")) & (F.col("b_") == F.col("kb_"))).withColumn("out", F.aggregate("rows", each, step)["out"])
+    done = done.select(F.col(key).alias("k_"), F.explode(F.arrays_zip("rows", "out")).alias("z")).select("k_", F.col("z.rows.outcome_id").alias("id_"), F.col("z.rows.ts").alias("ts_"), F.col("z.out").alias("delay_ms"))
+    return o.join(done, F.col(key).eqNullSafe(F.col("k_")) & (F.col("outcome_id") == F.col("id_")) & (F.col("ts") == F.col("ts_"))).drop("k_", "id_", "ts_")
+
+
+def circuit_state(outcomes: DataFrame, key: str = "domain", retry_after: str | None = None, seconds: int = BUCKET) -> DataFrame:
+    """State after each outcome (key, ts, outcome_id, all three given, each once): consecutive_failures, circuit_state (healthy, degraded, open), opened_at, delay_ms and concurrency.
+
+    Three failures in a row degrade a domain, six open its circuit; opened_at stays that of the sixth until a success closes it. A success takes a tenth off the delay, below 50 ms it ends; a failure makes it
+    half as long again, at least 200 ms, a throttled one twice, at least 500 ms; never less than the seconds that the server asked for (`retry_after`), never more than 30 s. From the third failure
+    on one request goes out at once. Counts and delays are scanned in segments of time, so one domain's history is spread over many tasks.
     """
-    w = _in_order(key)
-    o = with_category(outcomes)
     bad = F.col("category") != "none"
-    o = o.withColumn("island", F.sum((~bad).cast("long")).over(w)).withColumn("bad", bad.cast("long"))
-    inside = Window.partitionBy(key, "island").orderBy("ts", "outcome_id")
-    o = o.withColumn("consecutive_failures", F.sum("bad").over(inside))
+    o = with_category(outcomes).withColumn("retry_ms", F.col(retry_after).cast("double") * 1000 if retry_after else F.lit(None).cast("double"))
+    o = _delays(o, key, seconds)
+    o = since_reset(o, key, ["ts", "outcome_id"], ~bad, {"consecutive_failures": bad.cast("int")}, seconds)
     n = F.col("consecutive_failures")
+    # the time of the sixth failure, as a number that counts once a row of failures
+    sixth = F.when(bad & (n == OPEN_AT), F.unix_micros(F.col("ts").cast("timestamp")))
+    o = since_reset(o, key, ["ts", "outcome_id"], ~bad, {"sixth": sixth}, seconds)
+    opened = F.timestamp_micros("sixth").cast(o.schema["ts"].dataType)
     state = F.when(n >= OPEN_AT, "open").when(n >= DEGRADED_AT, "degraded").otherwise("healthy")
-    opened = F.max(F.when(n == OPEN_AT, F.col("ts"))).over(inside)
-    return o.select(key, "ts", "outcome_id", "category", "consecutive_failures", state.alias("circuit_state"), F.when(n >= OPEN_AT, opened).alias("opened_at"))
+    return o.select(
+        key, "ts", "outcome_id", "category", "consecutive_failures", state.alias("circuit_state"), F.when(n >= OPEN_AT, opened).alias("opened_at"), "delay_ms",
+        F.when(n >= DEGRADED_AT, 1).otherwise(CONCURRENCY).alias("concurrency"),
+    )
 
 
 def circuit_open_edges(states: DataFrame, key: str = "domain") -> DataFrame:

@@ -12,6 +12,8 @@ _O = duck(FETCH_OUTCOMES, "events")
 _CAT = """CASE WHEN status_code IN (403, 404, 410, 429) THEN 'http_' || status_code WHEN status_code BETWEEN 500 AND 599 THEN 'http_5xx' WHEN status_code >= 400 THEN 'other_http_error'
   WHEN status_code IS NOT NULL THEN 'none' WHEN error IS NULL THEN 'none' WHEN contains(lower(error), 'timeout') THEN 'timeout' ELSE 'connection_failure' END"""
 _OC = f"o AS (SELECT *, {_CAT} AS category FROM ({_O}))"
+#: Two of three fetches fail besides, so that long rows of failures occur.
+_HARD = f"o AS (SELECT *, {_CAT} AS category FROM (SELECT * REPLACE (success AND outcome_id % 3 = 0 AS success, CASE WHEN outcome_id % 3 > 0 THEN 503 ELSE status_code END AS status_code) FROM ({_O})))"
 _BLOCKED = "('http_403', 'http_429', 'robots_blocked', 'soft_blocked')"
 
 
@@ -19,6 +21,11 @@ def _outcomes(spark, sf):
     return bind(spark, sf, FETCH_OUTCOMES, "events")
 
 
+def _hard_outcomes(spark, sf):
+    fails = F.col("outcome_id") % 3 > 0
+    return _outcomes(spark, sf).withColumns({"success": F.col("success") & ~fails, "status_code": F.when(fails, 503).otherwise(F.col("status_code"))})
+
+
 @query("failure_categories", f"WITH {_OC} SELECT domain, category, count(*) AS n FROM o WHERE category <> 'none' GROUP BY ALL")
 def failure_categories(spark, sf):
     return M.failure_counts(_outcomes(spark, sf))
@@ -26,13 +33,13 @@ def failure_categories(spark, sf):
 
 @query(
     "removed_restored",
-    f"""WITH {_OC}, i AS (SELECT *, sum(success::INT) OVER w AS island, (category NOT IN {_BLOCKED} AND category <> 'none')::INT AS counts FROM o WINDOW w AS (PARTITION BY domain ORDER BY ts, outcome_id)),
+    f"""WITH {_HARD}, i AS (SELECT *, sum(success::INT) OVER w AS island, (category NOT IN {_BLOCKED} AND category <> 'none')::INT AS counts FROM o WINDOW w AS (PARTITION BY domain ORDER BY ts, outcome_id)),
     f AS (SELECT *, sum(counts) OVER (PARTITION BY domain, island ORDER BY ts, outcome_id) AS failures FROM i),
     g AS (SELECT *, lag(failures) OVER (PARTITION BY domain ORDER BY ts, outcome_id) AS prev FROM f)
-    SELECT domain, ts, outcome_id, CASE WHEN counts = 1 AND failures = 2 THEN 'REMOVED' ELSE 'RESTORED' END AS event FROM g WHERE (counts = 1 AND failures = 2) OR (success AND prev >= 2)""",
+    SELECT domain, ts, outcome_id, CASE WHEN counts = 1 AND failures = 3 THEN 'REMOVED' ELSE 'RESTORED' END AS event FROM g WHERE (counts = 1 AND failures = 3) OR (success AND prev >= 3)""",
 )
 def removed_restored(spark, sf):
-    return M.removed_restored(_outcomes(spark, sf), threshold=2)
+    return M.removed_restored(_hard_outcomes(spark, sf))
 
 
 @query(
@@ -52,21 +59,30 @@ st AS (SELECT domain, ts, outcome_id, category, consecutive_failures, CASE WHEN
   CASE WHEN consecutive_failures >= 6 THEN max(CASE WHEN consecutive_failures = 6 THEN ts END) OVER (PARTITION BY domain, island ORDER BY ts, outcome_id) END AS opened_at FROM n)"""
 
 
-@query("circuit_states", f"WITH {_STATES} SELECT * FROM st")
+_RETRY = "CASE WHEN o.status_code = 429 THEN o.outcome_id % 9 END"
+
+
+@query(
+    "circuit_states",
+    f"""WITH RECURSIVE {_STATES}, q AS (SELECT st.*, row_number() OVER (PARTITION BY st.domain ORDER BY st.ts, st.outcome_id) AS k, greatest(CASE WHEN st.category IN {_BLOCKED} THEN 500.0 ELSE 200.0 END::DOUBLE, coalesce(({_RETRY}) * 1000.0, 0)::DOUBLE) AS floor
+      FROM st JOIN o ON o.outcome_id = st.outcome_id),
+    f AS (SELECT domain, 0::BIGINT AS k, 0::DOUBLE AS delay FROM q WHERE k = 1
+      UNION ALL SELECT q.domain, q.k, CASE WHEN q.category = 'none' THEN CASE WHEN delay * 0.9::DOUBLE < 50 THEN 0 ELSE delay * 0.9::DOUBLE END ELSE least(30000, greatest(q.floor, delay * CASE WHEN q.category IN {_BLOCKED} THEN 2.0 ELSE 1.5 END::DOUBLE)) END
+      FROM f JOIN q ON q.domain = f.domain AND q.k = f.k + 1)
+    SELECT q.* EXCLUDE (k, floor), round(f.delay + 0.0000001::DOUBLE, 3) AS delay_ms, CASE WHEN consecutive_failures >= 3 THEN 1 ELSE 5 END AS concurrency FROM q JOIN f USING (domain, k)""",
+)
 def circuit_states(spark, sf):
-    return M.circuit_state(_outcomes(spark, sf))
+    o = _outcomes(spark, sf).withColumn("retry", F.expr(_RETRY.replace("o.", "")))
+    return M.circuit_state(o, retry_after="retry").withColumn("delay_ms", F.round(F.col("delay_ms") + 1e-7, 3))
 
 
 @query(
     "circuit_open_edges",
-    f"""WITH {_STATES}, e AS (SELECT *, lag(circuit_state) OVER (PARTITION BY domain ORDER BY ts, outcome_id) AS prev FROM st)
-    SELECT domain, ts, outcome_id, consecutive_failures FROM e WHERE circuit_state <> 'healthy' AND prev = 'healthy'""",
+    f"""WITH {_STATES.replace(_OC, _HARD)}, e AS (SELECT *, lag(circuit_state) OVER (PARTITION BY domain ORDER BY ts, outcome_id) AS prev FROM st)
+    SELECT domain, ts, outcome_id, consecutive_failures FROM e WHERE circuit_state = 'open' AND prev IS DISTINCT FROM 'open'""",
 )
 def circuit_open_edges(spark, sf):
-    # at the smallest tables six failures in a row are rare: the edges into degraded are shown by the same rule
-    s = M.circuit_state(_outcomes(spark, sf)).withColumn("circuit_state", F.when(F.col("circuit_state") != "healthy", "open").otherwise("healthy"))
-    first = s.where("consecutive_failures >= 0")
-    return M.circuit_open_edges(first).select("domain", "ts", "outcome_id", "consecutive_failures")
+    return M.circuit_open_edges(M.circuit_state(_hard_outcomes(spark, sf))).select("domain", "ts", "outcome_id", "consecutive_failures")
 
 
 @query(
