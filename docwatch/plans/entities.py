@@ -27,6 +27,22 @@ def mentions(spark, sf):
     return m.groupBy("entity_type", "raw_text").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
+_SPANS = lambda pattern: f"list_transform(range(1, len(f) + 1), lambda i: {{'s': (list_sum(list_transform(r[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda v: length(v))), 0))::INT, 'm': f[i]}}) FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS f, regexp_split_to_array(t, '{pattern}') AS r FROM d)"
+
+
+@query(
+    "mention_spans",
+    rf"""WITH d AS (SELECT doc_id, {_LIT} AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, 'EMAIL' AS entity_type, unnest({_SPANS(H.EMAIL).replace(" FROM ", ") AS x FROM ", 1)}
+    UNION ALL SELECT doc_id, 'MONEY', unnest({_SPANS(H.MONEY).replace(" FROM ", ") AS x FROM ", 1)})
+    SELECT doc_id, entity_type, trim(x.m) AS raw_text, (x.s + length(x.m) - length(ltrim(x.m)))::INT AS start, true AS there FROM m""",
+)
+def mention_spans(spark, sf):
+    """Where each address and sum stands; there: the text has it at that place."""
+    d = _with_literals(spark, sf)
+    m = H.extract_mentions(d).where("entity_type IN ('EMAIL', 'MONEY')").join(d, "doc_id")
+    return m.select("doc_id", "entity_type", "raw_text", "start", F.expr("substring(text, start + 1, end - start) = raw_text").alias("there"))
+
+
 @query("phone_mentions")
 def phone_mentions(spark, sf):
     return H.extract_mentions(_with_literals(spark, sf)).where("entity_type = 'PHONE'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
