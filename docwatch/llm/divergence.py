@@ -19,6 +19,8 @@ values rank by the item's UTF-8 bytes. An empty table gives an empty result; ext
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,8 @@ from pyspark.sql.window import Window
 
 from docwatch.llm.common import cut
 
-#: Terms a task holds before it passes their counts on; bytes of a text that are read at once; terms (rows) of one portion's trees.
-HELD, BLOCK, ROWS = 800_000, 1 << 20, 4096
+#: Terms a task holds before it passes their counts on, so many at once; bytes of a text that are read at once; terms (rows) of one portion's trees.
+HELD, AT_ONCE, BLOCK, ROWS = 500_000, 50_000, 1 << 20, 4096
 #: Lower-cases A-Z and turns what no term holds into spaces.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PATH = "array<struct<rank:int,count:long,p:long,z:long>>"
@@ -53,12 +55,16 @@ def _counted():
     """(lang, source, term, count, docs) of what a task has read, in portions; a group without terms has a row with term null."""
     from collections import Counter
 
-    def told(held: dict) -> pa.RecordBatch:
-        rows = [(*g, t, n >> 40, n & (1 << 40) - 1) for g, terms in held.items() for t, n in (*terms.items(), (None, 0))]
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-        arrays[2] = arrays[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "count", "docs"])
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+
+    def told(held: dict):
+        for group, terms in held.items():
+            rows = iter((*terms.items(), (None, 0)))
+            while some := list(islice(rows, AT_ONCE)):
+                columns = [[group[0]] * len(some), [group[1]] * len(some), [t for t, _ in some], [n >> 40 for _, n in some], [n & (1 << 40) - 1 for _, n in some]]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                arrays[2] = arrays[2].cast(pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "count", "docs"])
 
     def run(batches):
         held: dict = {}  # by group and term: occurrences * 2**40 + documents
@@ -75,10 +81,10 @@ def _counted():
                     terms[t] = terms.get(t, 0) + (n << 40 | 1)
                 size += len(terms)
                 if size > HELD:
-                    yield told(held)
+                    yield from told(held)
                     held, size = {}, 0
         if held:
-            yield told(held)
+            yield from told(held)
 
     return run
 
