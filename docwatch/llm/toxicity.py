@@ -28,6 +28,7 @@ neighbouring tokens of a sentence that hold a landmark whole in 1.5 times its le
 
 from __future__ import annotations
 
+import gc
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -35,7 +36,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -447,21 +447,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     drawn = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     picked = drawn[0].union(drawn[1])  # 2 * sample narrow rows at most
     rows = docs.select("doc_id", "text").where(F.length("text") <= TRAINED_LENGTH).join(F.broadcast(picked), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * sample).select("text", "toxic")
-
-    def fitted(batches):
-        texts, y = [], []
-        for b in batches:
-            texts += b.column("text").to_pylist()
-            y += b.column("toxic").to_pylist()
-        if texts:
-            counts = pa.array([[y.count(c) for c in (0, 1)]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fit(texts, y))], pa.binary()), counts], ["model", "have"])
-
-    # the bounded sample is fitted in one task, so the driver gets the model only
-    found = rows.mapInArrow(fitted, "model binary, have array<long>").collect()
-    model = cloudpickle.loads(bytes(found[0]["model"])) if found else fit([], [])
-    have = [max(1, n) for n in (found[0]["have"] if found else (0, 0))]
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * sample).collect()
+    texts, y = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    model = fit(texts, y)
+    have = [max(1, y.count(c)) for c in (0, 1)]
+    del rows, texts, y
+    gc.collect()  # what the fit leaves behind would stay in the driver for the stages that follow
     if all(number.get(c) for c in (0, 1)):
         model.base += float(np.log(number[1] / number[0]) - np.log(have[1] / have[0]))
     return model
