@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docwatch.operators import entities as H
 from docwatch.plans.names import common, words_in_order
 from docwatch.plans.registry import query
-from docwatch.session import table
+from docwatch.session import settled, table
 
 _LIT = "text || ' mail Team@Example.org, see https://x.example.org/a?b=1 pay $1,250.50 or 300 dollars, call +1 555 123 4567 on 2024-01-02'"
 
@@ -100,8 +100,8 @@ _FUZZY = f"""{_PEOPLE.replace('{documents}', 'documents')}, known AS ({_KNOWN}),
 
 
 def _people(spark, sf):
-    """(doc_id, source, entity_type, n, m): names and their mentions."""
-    return spark.sql(f"WITH {_PEOPLE} SELECT * FROM b", documents=table(spark, sf, "documents"))
+    """(doc_id, source, entity_type, n, m): names and their mentions; settled, so that texts are read once."""
+    return settled(spark.sql(f"WITH {_PEOPLE} SELECT * FROM b", documents=table(spark, sf, "documents")))
 
 
 def _known(b):
