@@ -45,7 +45,7 @@ def mention_spans(spark, sf):
 
 @query("phone_mentions")
 def phone_mentions(spark, sf):
-    return H.extract_mentions(_with_literals(spark, sf)).where("entity_type = 'PHONE'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+    return H.extract_mentions(_with_literals(spark, sf), types=("PHONE",)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
 
 
 _FORMS = ["Inc.", "  LTD", "Holding", "co"]
