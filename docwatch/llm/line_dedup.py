@@ -16,7 +16,7 @@ later copy; the first copy in order of (doc_id, hash of the text, line) stays. A
 Two prunings lose nothing. Of documents with the same text only the first enters: all others are one run, whole. And a
 stretch of neighbouring lines that each occur elsewhere, but hold too few letters for `min_words` words, holds no run
 and is part of no other's earlier copy. A name of very many positions never meets in one task: what is known of a name is sent to all tasks where
-there are few names, else joined with salted keys.
+there are few names, else what is known of names of very many positions is, and the rest joined by name.
 
 Null and empty texts have no line. Lines are compared exactly, blank lines count as lines of a run. Rows with the same
 doc_id and text are one document and get the same result. A null doc_id comes first. Extra columns stay, whatever their names. Names are 64-bit hashes.
@@ -32,8 +32,8 @@ from docwatch.llm.common import cut, fresh
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
-#: Names up to this number are sent to all tasks (they are counted first); joins of more are salted this many ways.
-FEW, SALTS = 100_000, 16
+#: Names up to this number are sent to all tasks (they are counted first); of more only those of more than HOT positions are.
+FEW, HOT = 100_000, 10_000
 AT = ["doc_id", "tkey", "i"]
 
 
@@ -46,18 +46,22 @@ def _same(a: str, b: str) -> Column:
 
 
 def _told(rows: DataFrame, names: DataFrame, few: int) -> DataFrame:
-    """`rows` joined with what `names` (one row each) knows of their name."""
+    """`rows` joined with what `names` (one row each; c, if there, is how many positions have it) knows of their name."""
     names = cut(names, "names")
+    told = names.drop("c")
     if names.limit(few + 1).count() <= few:
-        return rows.join(F.broadcast(names), "name")
-    (salt,) = fresh(rows, "salt")
-    salted = names.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn(salt, F.pmod(F.xxhash64(*AT), F.lit(SALTS)).cast("int")).join(salted, ["name", salt]).drop(salt)
+        return rows.join(F.broadcast(told), "name")
+    counts = names if "c" in names.columns else rows.groupBy("name").agg(F.count("*").alias("c"))
+    hot = cut(counts.where(F.col("c") > HOT).select("name"), "hot")  # one name in HOT rows at most
+    if not hot.take(1):
+        return rows.join(told, "name")
+    rest = rows.join(F.broadcast(hot), "name", "left_anti").join(told, "name")
+    return rest.unionByName(rows.join(F.broadcast(told.join(F.broadcast(hot), "name")), "name"))
 
 
 def _repeated(named: DataFrame, few: int) -> DataFrame:
     """Rows of `named` whose name occurs at two positions at least, with the first of these."""
-    groups = named.groupBy("name").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").drop("last")
+    groups = named.groupBy("name").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count("*").alias("c")).where("first <> last").drop("last")
     return _told(named, groups, few)
 
 
@@ -122,7 +126,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 0, few: int = FEW) -> tuple[
         longer = levels[j].select(*[F.col(c).alias(f"n_{c}") for c in AT], F.col("name").alias("n_name"))
         new = members.where(F.col("k") > j).join(longer, _same("", "n_") & (F.col("i") + F.col("length") == F.col("n_i")))
         new = cut(new.select(*AT, "k", (F.col("length") + (1 << j)).alias("length"), "asks", F.xxhash64("name", "n_name", F.lit(-j - 1)).alias("name")), "longer")
-        groups = new.groupBy("name").agg(F.count("*").alias("c"), F.min(_place()).alias("first"), F.max("asks").alias("asked")).where("c > 1 AND asked").select("name", "first")
+        groups = new.groupBy("name").agg(F.count("*").alias("c"), F.min(_place()).alias("first"), F.max("asks").alias("asked")).where("c > 1 AND asked").select("name", "first", "c")
         new = _told(new, groups, few).withColumn("asks", F.col("asks") & (F.col("first") < _place())).select(*AT, "k", "length", "asks", "name")
         new = cut(new, "narrower")
         moved = new.where("asks").select(*[F.col(c).alias(f"m_{c}") for c in AT], F.lit(True).alias("moved"))
