@@ -9,8 +9,9 @@ only which suffixes share a prefix matters here and not the order of the interva
 
 The longest common prefix with an earlier position is then found exactly: from the highest level at which a position has an
 earlier partner, its interval is narrowed by the names of the next lower levels, each narrowing one aggregate,
-so after the last one every position knows the longest run that starts there and occurs earlier. Runs that no
-longer run contains are the maximal repeated runs. A run of at least `min_words` words is deleted where it is a
+so after the last one every position knows the longest run that starts there and occurs earlier. Of the members of an interval that share a longer
+stretch than it can still be narrowed to, all but the first go: they would meet the same names at each step, and only the first is asked for. An interval enters
+with the level it starts from. Runs that no longer run contains are the maximal repeated runs. A run of at least `min_words` words is deleted where it is a
 later copy; the first copy in order of (doc_id, hash of the text, line) stays. A later copy may overlap the earlier one.
 
 Two prunings lose nothing. Of documents with the same text only the first enters: all others are one run, whole. And a
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwatch.llm.common import cut, fresh
+from docwatch.llm.common import cut, drop, fresh, scope
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,17 +46,17 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}tkey") == F.col(f"{b}tkey"))
 
 
-def _told(rows: DataFrame, names: DataFrame, few: int) -> DataFrame:
-    """`rows` joined with what `names` (one row each; c, if there, is how many positions have it) knows of their name."""
+def _told(rows: DataFrame, names: DataFrame, few: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with what `names` (one row each; c, if there, is how many positions have it) knows of their name; `how` is inner, or left if c is there."""
     names = cut(names, "names")
     told = names.drop("c")
     if names.limit(few + 1).count() <= few:
-        return rows.join(F.broadcast(told), "name")
+        return rows.join(F.broadcast(told), "name", how)
     counts = names if "c" in names.columns else rows.groupBy("name").agg(F.count("*").alias("c"))
     hot = cut(counts.where(F.col("c") > HOT).select("name"), "hot")  # one name in HOT rows at most
     if not hot.take(1):
-        return rows.join(told, "name")
-    rest = rows.join(F.broadcast(hot), "name", "left_anti").join(told, "name")
+        return rows.join(told, "name", how)
+    rest = rows.join(F.broadcast(hot), "name", "left_anti").join(told, "name", how)
     return rest.unionByName(rows.join(F.broadcast(told.join(F.broadcast(hot), "name")), "name"))
 
 
@@ -83,57 +84,104 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.select(*AT, F.xxhash64("line").alias("name"), F.length("line").alias("letters"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 0, few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """(maximal repeated runs that are later copies: doc_id, tkey, i, lines; later copies of whole texts: doc_id, tkey).
+def _asked(members: DataFrame, few: int) -> DataFrame:
+    """`members` of the intervals in which a position still asks for a longer prefix."""
+    return _told(members, members.groupBy("name").agg(F.max("asks").alias("asked"), F.count("*").alias("c")).where("asked").select("name", "c"), few)
 
-    The first table covers the documents that aren't in the second; of its runs all those of `min_words` words are there, of shorter ones not all.
-    """
-    copies = cut(later_copies(docs), "copies")
-    lines = cut(line_table(docs), "lines")
-    gone = copies.select(F.col("doc_id").alias("c_doc_id"), F.col("tkey").alias("c_tkey"))
-    if copies.limit(few + 1).count() <= few:
-        gone = F.broadcast(gone)
-    lines = lines.join(gone, _same("", "c_"), "left_anti")
-    level = _repeated(lines, few).dropDuplicates(AT)
+
+def _levels(docs: DataFrame, copies: DataFrame, min_words: int, few: int) -> list[DataFrame]:
+    """For each level k its repeated names: doc_id, tkey, i, name, first (position)."""
+    spark = docs.sparkSession
+    with scope() as own:
+        lines = cut(line_table(docs), "lines")
+        gone = copies.select(F.col("doc_id").alias("c_doc_id"), F.col("tkey").alias("c_tkey"))
+        if copies.limit(few + 1).count() <= few:
+            gone = F.broadcast(gone)
+        lines = lines.join(gone, _same("", "c_"), "left_anti")
+        level = _repeated(lines, few).repartition("doc_id", "tkey").dropDuplicates(AT)
     stretch = level.withColumn("s", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "tkey").orderBy("i")))
     # a line of n letters has (n + 1) / 2 words at most
     most = F.sum(F.floor((F.col("letters") + 1) / 2)).over(Window.partitionBy("doc_id", "tkey", "s"))
     level = cut(stretch.withColumn("most", most).where(F.col("most") >= min_words).select(*AT, "name", "first"), "level")
+    drop(spark, own)
     levels = [level]
     while level.take(1):
         step = 1 << (len(levels) - 1)
         after = level.select(F.col("doc_id").alias("a_doc_id"), F.col("tkey").alias("a_tkey"), (F.col("i") - step).alias("a_i"), F.col("name").alias("a_name"))
         pairs = level.join(after, _same("", "a_") & (F.col("i") == F.col("a_i"))).select(*AT, F.xxhash64("name", "a_name", F.lit(len(levels))).alias("name"))
-        level = cut(_repeated(cut(pairs, "pairs"), few).select(*AT, "name", "first"), "level")
+        with scope() as own:
+            repeated = _repeated(cut(pairs, "pairs"), few).select(*AT, "name", "first")
+        level = cut(repeated, "level")
+        drop(spark, own)
         levels.append(level)
-    levels.pop()
-    if not levels:
-        levels = [level]
-    # the highest level at which a position has an earlier partner; all positions of such an interval take part in narrowing it
+    return levels[:-1] or levels
+
+
+def _entering(levels: list[DataFrame]) -> DataFrame:
+    """doc_id, tkey, i, k, name, length, asks: the positions of each level's names, those that ask there and those that stand for others.
+
+    A position asks at the highest level at which it has an earlier partner. At lower ones the first of those it shares the next level with stands for it.
+    """
     found = None
     for k, lv in enumerate(levels):
-        rows = lv.select(*AT, F.lit(k).alias("k"), "name", (F.col("first") < _place()).alias("later"))
+        rows = lv.select(*AT, F.lit(k).alias("k"), "name", (F.col("first") < _place()).alias("asks"))
         found = rows if found is None else found.union(rows)
-    top = found.where("later").groupBy(*AT).agg(F.max("k").alias("top"))
-    found = found.join(top.select(*[F.col(c).alias(f"t_{c}") for c in AT], "top"), _same("", "t_") & (F.col("i") == F.col("t_i")), "left")
-    # names of two levels differ but for a collision of hashes: the level is part of the hash
-    members = found.select(*AT, "k", "name", F.expr("shiftleft(1, k)").alias("length"), (F.col("later") & (F.col("k") == F.col("top"))).alias("asks"))
-    members = cut(members, "members")
-    members = cut(_told(members, members.where("asks").select("name").distinct(), few), "intervals")
-    settled = members.where("asks AND k = 0").select(*AT, "length")
-    members = members.where("k > 0")
+    found = found.withColumn("asks_next", F.lead("asks").over(Window.partitionBy(*AT).orderBy("k"))).where("asks_next IS NOT TRUE")
+    return found.select(*AT, "k", "name", F.expr("shiftleft(1, k)").alias("length"), "asks")
+
+
+def _narrowed(rows: DataFrame, level: DataFrame, j: int, few: int) -> DataFrame:
+    """Members of intervals (doc_id, tkey, i, length, asks, name) by the names of level j that follow: those of longer intervals, and in the old ones who stays."""
+    longer = level.select(*[F.col(c).alias(f"n_{c}") for c in AT], F.col("name").alias("n_name"))
+    new_name = F.when(F.col("n_name").isNotNull(), F.xxhash64("name", "n_name", F.lit(-j - 1)))
+    rows = rows.join(longer, _same("", "n_") & (F.col("i") + F.col("length") == F.col("n_i")), "left")
+    rows = cut(rows.select(*AT, "length", "asks", F.col("name").alias("was"), new_name.alias("name")), "longer")
+    on, ended = rows.where("name IS NOT NULL"), rows.where("name IS NULL").select(*AT, "length", "asks", F.col("was").alias("name"))
+    last = F.max(F.when(F.col("asks"), _place()))
+    groups = on.groupBy("name").agg(F.min(_place()).alias("first"), last.alias("last"), F.count("*").alias("c")).where("c > 1")
+    groups = groups.select("name", "first", F.coalesce(F.col("first") < F.col("last"), F.lit(False)).alias("goes"), "c")
+    moves = F.coalesce(F.col("asks") & (F.col("first") < _place()), F.lit(False))
+    if j == 0:  # the end: only those that ask are wanted
+        on = _told(on.where("asks"), groups.where("goes"), few, "left").select(*AT, (F.col("length") + moves.cast("int")).alias("length"), "asks", "name")
+        return on.union(ended.where("asks"))
+    on = cut(_told(on, groups, few, "left"), "told")
+    new = on.where("goes").select(*AT, (F.col("length") + (1 << j)).alias("length"), moves.alias("asks"), "name")
+    # the first of a longer stretch stands for all who share it: they would meet the same names at each further step of the old interval
+    stay = on.where(F.col("first").isNull() | (F.col("first") == _place())).select(*AT, "length", "asks", F.col("was").alias("name"))
+    return _asked(stay.union(ended), few).select(*AT, "length", "asks", "name").union(new)
+
+
+def _longest(levels: list[DataFrame], few: int) -> DataFrame:
+    """doc_id, tkey, i, length: the longest run that starts at each position and occurs earlier."""
+    spark = levels[0].sparkSession
+    with scope() as own:
+        members = _asked(cut(_entering(levels), "members"), few)
+    members = cut(members, "intervals")
+    drop(spark, own)
+    active, before = None, []
     for j in range(len(levels) - 2, -1, -1):
-        longer = levels[j].select(*[F.col(c).alias(f"n_{c}") for c in AT], F.col("name").alias("n_name"))
-        new = members.where(F.col("k") > j).join(longer, _same("", "n_") & (F.col("i") + F.col("length") == F.col("n_i")))
-        new = cut(new.select(*AT, "k", (F.col("length") + (1 << j)).alias("length"), "asks", F.xxhash64("name", "n_name", F.lit(-j - 1)).alias("name")), "longer")
-        groups = new.groupBy("name").agg(F.count("*").alias("c"), F.min(_place()).alias("first"), F.max("asks").alias("asked")).where("c > 1 AND asked").select("name", "first", "c")
-        new = _told(new, groups, few).withColumn("asks", F.col("asks") & (F.col("first") < _place())).select(*AT, "k", "length", "asks", "name")
-        new = cut(new, "narrower")
-        moved = new.where("asks").select(*[F.col(c).alias(f"m_{c}") for c in AT], F.lit(True).alias("moved"))
-        left = members.join(moved, _same("", "m_") & (F.col("i") == F.col("m_i")), "left")
-        both = cut(left.withColumn("asks", F.col("asks") & F.col("moved").isNull()).select(*AT, "k", "length", "asks", "name").union(new), "both")
-        members = cut(_told(both, both.where("asks").select("name").distinct(), few).select(*AT, "k", "length", "asks", "name"), "intervals")
-    longest = settled.union(members.where("asks").select(*AT, "length"))
+        with scope() as own:
+            rows = members.where(F.col("k") == j + 1).select(*AT, "length", "asks", "name")
+            active = _narrowed(rows if active is None else active.union(rows), levels[j], j, few)
+        with scope() as kept:
+            active = cut(active, "active") if j else active
+        active = active if j else cut(active, "longest")
+        drop(spark, own + before)
+        before = kept
+    settled = members.where("asks AND k = 0")
+    return (settled if active is None else settled.select(*active.columns).union(active)).select(*AT, "length")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 0, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """(maximal repeated runs that are later copies: doc_id, tkey, i, lines; later copies of whole texts: doc_id, tkey).
+
+    The first table covers the documents that aren't in the second; of its runs all those of `min_words` words are there, of shorter ones not all.
+    """
+    copies = cut(later_copies(docs), "copies")
+    with scope() as own:
+        longest = _longest(_levels(docs, copies, min_words, few), few)
+    longest = cut(longest, "longest")
+    drop(docs.sparkSession, own)
     before = Window.partitionBy("doc_id", "tkey").orderBy("i")
     longest = longest.withColumns({"p_i": F.lag("i").over(before), "p_length": F.lag("length").over(before)})
     inside = F.coalesce((F.col("p_i") == F.col("i") - 1) & (F.col("p_length") > F.col("length")), F.lit(False))

@@ -17,3 +17,20 @@ def test_many_names_are_joined_once(spark, monkeypatch):
         plan = told._jdf.queryExecution().toString()
         assert "Generate" not in plan and "Broadcast" in plan
         assert set(told.columns) == {"name", "doc_id", "tkey", "i", "first"}
+
+
+def test_nested_copies_stay_linear(spark, monkeypatch):
+    """Texts that share ever longer beginnings: a stretch stands once in the shorter ones it is part of, so no step holds more rows than twice the lines."""
+    docs = [(d, "\n".join([f"w{i}" for i in range(2 * d + 2)] + [f"end {d}"])) for d in range(24)]
+    sizes, cut = {}, line_dedup.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    runs, copies = line_dedup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.i, r.lines) for r in runs.collect()) == [(d, 0, 2 * d) for d in range(1, 24)] and not copies.take(1)
+    lines = sum(2 * d + 3 for d in range(24))
+    assert max(sizes.values()) <= 2 * lines, sizes
