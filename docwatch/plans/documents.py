@@ -25,14 +25,15 @@ BLOCKS = [
 _TYPES = "FORUM_THREAD FORUM_THREAD CLASSIFIED_LISTING CLASSIFIED_LISTING EVENT JOB FAQ_PAGE".split()
 
 
-def _nodes(spark, sf):
-    """Nodes of the pages with their block; in a job's block ~ is 1 to 9 by the id. Kept for the several readings of one query."""
+def _nodes(spark, sf, by_page=False):
+    """Nodes of the pages with their block; in a job's block ~ is 1 to 9 by the id. Kept for the several readings of one query; `by_page` pays where texts are read more than twice."""
     i = F.col("page_id").cast("string")
     block = F.lit("")
     for k, text in enumerate(BLOCKS):
         filled = F.replace(F.replace(F.lit(text), F.lit("#"), i), F.lit("~"), (F.col("page_id") % 9 + 1).cast("string")) if k == 5 else F.replace(F.lit(text), F.lit("#"), i)
         block = F.when(F.col("page_id") % 8 == k, filled).otherwise(block)
-    return P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", F.concat("html", block).alias("html"))).persist()
+    nodes = P.dom_nodes(table(spark, sf, "pages").select("page_id", "url", F.concat("html", block).alias("html")))
+    return P.kept_by_page(nodes) if by_page else nodes.persist()
 
 
 @query(
@@ -92,5 +93,5 @@ def schema_fields(spark, sf):
 def assembled_documents(spark, sf):
     kinds = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("page_id") % 8 + 1).cast("int"))
     types = table(spark, sf, "pages").where("page_id % 8 < 7").select("page_id", kinds.alias("page_type"))
-    d = D.assemble_documents(_nodes(spark, sf), types, F.lit("2024-03-06 00:00:00").cast("timestamp"))
+    d = D.assemble_documents(_nodes(spark, sf, by_page=True), types, F.lit("2024-03-06 00:00:00").cast("timestamp"))
     return d.select("page_id", "extractor", "body", "author", "publisher", F.coalesce("section", F.lit("x")).alias("section_or_x"), "status", "confidence")

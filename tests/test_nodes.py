@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from docwatch.operators import pages as P
+from docwatch.plans.catalog import QUERIES
 
 
 class _Pages:
@@ -22,3 +23,17 @@ def test_nodes_leave_a_task_in_small_batches():
     assert max(b.num_rows for b in out) <= 4096 and sum(b.num_rows for b in out) == 41_000 + 2 + 2
     ids = [i for b in out for i in b.column("page_id").to_pylist()]
     assert ids == [p for p in range(1000) for _ in range(41)] + [1001, 1002] * 2
+
+
+def test_kept_nodes_are_dealt_out_once(spark, sf):
+    """Texts of nodes meet the elements they are in without being moved again, joins being shuffled ones."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["assembled_documents"](spark, sf)
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.catalog.clearCache()
+    assert "REPARTITION_BY_COL" in plan and "hashpartitioning(t_page" not in plan
