@@ -152,3 +152,32 @@ def test_items(spark):
     f = P.item_fields(n, g, most=5).orderBy("page_id", "n").collect()
     assert [(r.n, r.title, r.url, r.price) for r in f if r.page_id == 0] == [(k + 1, f"T{k}", f"https://forum.example.com/i/{k}", str(k)) for k in range(5)]
     assert [r.title for r in f if r.page_id == 2] == [f"t{k}" for k in range(5)] and f[0].description == "H0 T0 0"
+
+
+def test_schema_blocks(spark):
+    """Graphs in lists, types with their vocabulary, texts that strict JSON refuses, more than 1000 blocks, and items of microdata."""
+    ld = lambda text, kind="application/ld+json": f'<script type="{kind}">{text}</script>'
+    many = ld('{"@graph": [' + ", ".join(f'{{"@type": "T{k % 2}", "n": {k}}}' for k in range(2500)) + "]}") + ld('{"@type": "Last"}')
+    pages = [
+        ld('[{"@graph": [{"@type": "https://schema.org/MusicEvent"}, {"@type": ["NGO", "Person"]}]}, {"@type": "Person"}, {"@type": "WebPage", "@graph": {"@type": "http://schema.org/FAQPage"}}]', "application/LD+JSON; charset=utf-8"),
+        ld('/* a "note" */ {"@type": "Event", "name": "no // comment, ]", /* b */ "x": [1, 2, ], "y": NaN, }') + ld('//<![CDATA[ {"@type": "Person", "name": "]]>"} //]]>') + ld('<!-- {"@type": "JobPosting"} -->') + ld('<!-- note --> {"@type": "Product"}'),
+        ld('{"@type": "A", "@type": "B", "name": "x\x01y"}') + ld("{not valid json") + ld('{"name": "no type"}') + ld("null") + ld("") + ld('"Event"'),
+        many,
+        '<div itemscope itemtype="https://schema.org/Event"><p itemprop="location" itemscope itemtype="https://schema.org/Place">x</p></div><b itemscope>y</b><i itemscope itemtype=" http://schema.org/Person  http://schema.org/x">z</i>' + ld('{"@type": "Event"}'),
+        "<p>none</p><script>var x</script>",
+    ]
+    n = nodes(spark, *pages)
+    blocks = [[] for _ in pages]
+    for r in X.json_ld(n).select("page_id", "ord", "schema_type", F.try_variant_get("block", "$.name", "string").alias("name"), F.try_variant_get("block", "$.n", "int").alias("n")).orderBy("page_id", "ord").collect():
+        blocks[r.page_id].append((r.schema_type, r.name, r.n))
+    types = lambda i: [b[0] for b in blocks[i] if b[0]]
+    assert types(0) == ["MusicEvent", "NGO", "Person", "WebPage", "FAQPage"]
+    assert [b[:2] for b in blocks[1]] == [("Event", "no // comment, ]"), ("Person", "]]>"), ("JobPosting", None), ("Product", None)]
+    assert blocks[2][0][:2] == ("B", "x\x01y") and types(2) == ["B"]
+    assert blocks[3] == [(f"T{k % 2}", None, k) for k in range(2500)] + [("Last", None, None)]
+    assert types(4) == ["Event"] and blocks[5] == []
+    seen = [[] for _ in pages]
+    for r in X.schema_types(n).select("page_id", X.entity_type(F.col("schema_type")).alias("t")).collect():
+        seen[r.page_id].append(r.t)
+    assert sorted(seen[0]) == ["Event", "FAQPage", "Organization", "Person", "WebPage"] and sorted(seen[1]) == ["Event", "JobPosting", "Person", "Product"]
+    assert seen[2] == ["B"] and len(seen[3]) == 2501 and sorted(seen[4]) == ["Event", "Event", "Person"] and seen[5] == []
