@@ -11,7 +11,8 @@ Plan: equal rows (of id and vector) are counted and k of them kept at most, whic
 bounded size by a hash of the id, vector and copy, queries by one of the id and vector, both in the narrowest integers that hold
 the table's values. First all queries meet one block of candidates; the k-th score found there is the floor with which they go to all other
 blocks (a stated query set against all rows, in blocks). Each tile returns k rows a
-query at most and a window ranks them. Work is queries x rows, spread over tiles of equal size whatever the ids are.
+query at most and a window ranks them. Work is queries x rows, spread over tiles of equal size whatever the ids are. All joins are shuffled ones, so nothing that grows
+with the rows passes through the driver.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Only
 vectors of one length are compared. Equal rows are one query but each a candidate; rows with the query's id are never its
@@ -137,7 +138,8 @@ def _met(query: DataFrame, cand: DataFrame, blocks: list[int], tiles: int, k: in
     query = query.groupBy("n", "qb").agg(F.collect_list(F.struct("vec_id", "key", "x", "floor")).alias("r"))
     query = query.select("n", "qb", F.col("r.vec_id").alias("q_ids"), F.col("r.key").alias("q_keys"), F.col("r.x").alias("q_data"), F.col("r.floor").alias("q_floor"))
     query = query.withColumn("cb", F.explode(F.sequence(F.lit(blocks[0]), F.lit(blocks[1])).cast("array<bigint>")))
-    met = query.join(cand, ["n", "cb"]).repartition(min(tiles, TASKS), "cb", "qb")
+    # sizes of arrays are guessed far too low, so a join by these guesses may send all rows through the driver
+    met = query.join(cand.hint("merge"), ["n", "cb"]).repartition(min(tiles, TASKS), "cb", "qb")
     return met.select("q_ids", "q_keys", "q_data", "q_floor", "c_ids", "c_data").mapInArrow(_tiles(k), "query_id long, q_key long, vec_id long, score long")
 
 
@@ -163,7 +165,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 20) -> DataFrame:
     if c_blocks > 1:
         found = cut(found, "first-block")
         floors = found.groupBy(F.col("query_id").alias("vec_id"), F.col("q_key").alias("key")).agg(F.count("*").alias("c"), F.min("score").alias("floor"))
-        floored = query.join(floors.where(F.col("c") == k).drop("c"), ["vec_id", "key"], "left")
+        floored = query.join(floors.where(F.col("c") == k).drop("c").hint("merge"), ["vec_id", "key"], "left")
         floored = floored.withColumn("floor", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))))
         found = found.union(_met(floored, cand.where("cb > 0"), [1, c_blocks - 1], (c_blocks - 1) * q_blocks, k))
     best = Window.partitionBy("query_id", "q_key").orderBy(F.col("score").desc(), "vec_id")
