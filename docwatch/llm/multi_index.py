@@ -10,6 +10,7 @@ among the sampled rows. (Among all rows the true neighbours are nearer, so recal
 
 Plan. Rows in the order of cells are dealt into zones of about ZONE rows; a cell with more is split by a hash of the row. A query goes to a zone once, with the list of
 the cells that it visits there. Queries of a zone are taken in blocks, too, so tiles have a bounded size. Each tile returns k rows a query at most and a window ranks them.
+The join of both is a shuffled one; of what grows with the rows nothing passes through the driver but the counts by cell, as an Arrow table.
 Of equal vectors the 2 k rows of least ids (k of each id) are indexed: no query can have more of them among its k best.
 
 Vectors that are null or empty, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of
@@ -195,8 +196,8 @@ def _of_length(v: DataFrame, k: int) -> DataFrame:
     cells = cut(kept.select("vec_id", "x", "key", "copy").mapInArrow(_assign(index), "vec_id long, x array<double>, key long, copy int, cell int"), "multi-index")
     many = len(index.first) * len(index.second)
     count = np.zeros(many, np.int64)
-    for r in cells.groupBy("cell").count().collect():
-        count[r["cell"]] = r["count"]
+    counted = cells.groupBy("cell").count().toArrow()
+    count[np.asarray(counted["cell"].combine_chunks())] = np.asarray(counted["count"].combine_chunks())
     # zones in the order of cells; a large cell has several of its own
     parts = np.maximum(1, -(-count // ZONE))
     small = np.where(parts == 1, count, 0)
@@ -215,7 +216,8 @@ def _of_length(v: DataFrame, k: int) -> DataFrame:
     blocks = -(-asked // QUERIES) or 1
     query = query.groupBy("zone", F.pmod(order, F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "key", "x", "cells")).alias("r"))
     query = query.select("zone", "block", F.col("r.vec_id").alias("q_ids"), F.col("r.key").alias("q_keys"), F.col("r.x").alias("q_data"), F.col("r.cells").alias("q_cells"))
-    met = query.join(cand, "zone").repartition("zone", "block")
+    # sizes of arrays are guessed far too low, so a join by these guesses may send all rows through the driver
+    met = query.join(cand.hint("merge"), "zone").repartition("zone", "block")
     return met.select("q_ids", "q_keys", "q_data", "q_cells", "c_ids", "c_data", "c_cells").mapInArrow(_tiles(k), "query_id long, q_key long, vec_id long, score double")
 
 
